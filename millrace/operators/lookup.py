@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.naming import OrderBy, col, cols, order_names, require
+from millrace.operators.positions import BROADCAST_ROWS
 from millrace.session import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PHRASES_IN_PATTERN = 500
 """Up to this many search phrases become one regular expression."""
 
@@ -103,44 +111,42 @@ def _literal(phrase: str) -> str:
 def _by_substrings(df: DataFrame, phrases: DataFrame, find: str) -> DataFrame:
     """The same replacement for lookups of any size, through equi-joins.
 
-    Each distinct text lists its substrings of the lengths in use and meets the
-    phrases by equality; the matches of one text, never more than its substrings,
-    come back together and are applied from left to right.
+    A phrase of length n is found by its anchor, the hash of its first 2^b characters
+    where 2^b <= n < 2^(b+1).  Every text computes the hashes of its substrings of
+    these few lengths; where one meets an anchor, the phrase lengths of that anchor
+    are tried, and the piece must equal a whole phrase.  Rows carry ids, so only
+    positions and hashes are shuffled, and equal texts do not meet.
     """
-    phrases = materialize(phrases)
-    lengths = sorted(r[0] for r in phrases.select(F.length("__search")).distinct().collect())
-    text = F.col("__text")
-    pieces = [
-        F.transform(
-            F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - F.lit(n - 1))).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda at, n=n: F.struct(at.alias("at"), text.substr(at, F.lit(n)).alias("piece")),
-        )
-        for n in lengths
-    ]
-    texts = df.select(col(find).alias("__text")).where(text.isNotNull()).distinct()
-    found = (
-        texts.select("__text", F.explode(F.concat(*pieces) if len(pieces) > 1 else pieces[0]).alias("__m"))
-        .join(phrases, F.col("__m.piece") == F.col("__search"))
-        .groupBy("__text")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.col("__m.at").alias("at"),
-                        (-F.length("__search")).alias("size"),
-                        F.col("__field_0").alias("value"),
-                    )
-                )
-            ).alias("__matches")
-        )
+    rows = materialize(df.withColumn("__id", F.monotonically_increasing_id()))
+    sized = phrases.withColumn("__size", F.length("__search"))
+    kinds = T.StructType([*sized.schema.fields, T.StructField("__bits", T.IntegerType()), T.StructField("__hash", T.LongType())])
+    phrases = materialize(sized.mapInPandas(_anchors, kinds))
+    anchors = phrases.groupBy("__bits", "__hash").agg(F.collect_set("__size").alias("__sizes"))
+    bits = sorted(r[0] for r in phrases.select("__bits").distinct().collect())  # some 30 at most
+
+    known = anchors.select("__hash").distinct().limit(BROADCAST_ROWS + 1).collect()
+    wanted = np.sort(np.array([r[0] for r in known], np.int64)) if len(known) <= BROADCAST_ROWS else None
+    grams = rows.select(F.col("__id").alias("__row"), col(find).alias("__text")).mapInPandas(
+        _gram_lister(bits, wanted), "__row long, __at int, __gram_bits int, __gram long"
     )
+    hits = grams.join(anchors, (F.col("__gram_bits") == F.col("__bits")) & (F.col("__gram") == F.col("__hash")))
+    hits = hits.select("__row", "__at", F.explode("__sizes").alias("__size"))
+    pieces = rows.select("__id", col(find).alias("__text")).join(hits, F.col("__id") == F.col("__row"))
+    pieces = pieces.select("__row", "__at", F.col("__text").substr(F.col("__at"), F.col("__size")).alias("__piece"))
+    match = F.struct(
+        F.col("__at").alias("at"), (-F.length("__search")).alias("shorter"), F.col("__field_0").alias("value")
+    )
+    matches = (
+        pieces.join(phrases, F.col("__piece") == F.col("__search"))
+        .groupBy("__row")
+        .agg(F.array_sort(F.collect_list(match)).alias("__matches"))
+    )
+    text = col(find)
     start = F.struct(F.lit(1).alias("next"), F.lit("").alias("done"))
 
     def apply(state: Column, m: Column) -> Column:
         grown = F.struct(
-            (m["at"] - m["size"]).alias("next"),
+            (m["at"] - m["shorter"]).alias("next"),
             F.concat(state["done"], text.substr(state["next"], m["at"] - state["next"]), m["value"]).alias("done"),
         )
         return F.when(m["at"] >= state["next"], grown).otherwise(state)
@@ -148,8 +154,59 @@ def _by_substrings(df: DataFrame, phrases: DataFrame, find: str) -> DataFrame:
     def finish(state: Column) -> Column:
         return F.concat(state["done"], text.substr(state["next"], F.length(text)))
 
-    replaced = found.select(
-        text.alias("__old"), F.aggregate("__matches", start, apply, finish).alias("__new")
-    )
-    joined = df.join(replaced, col(find) == F.col("__old"), "left")
-    return joined.withColumn(find, F.coalesce(F.col("__new"), col(find))).select(*cols(df.columns))
+    joined = rows.join(matches, F.col("__id") == F.col("__row"), "left")
+    replaced = F.when(F.col("__row").isNull(), text).otherwise(F.aggregate("__matches", start, apply, finish))
+    return joined.withColumn(find, replaced).select(*cols(df.columns))
+
+
+# Base of the rolling hash, any odd number, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _window_hashes(texts: Iterable[str], bits: Sequence[int]) -> Iterator[list[np.ndarray]]:
+    """For each text, per window length 2^bits, the hashes of all its windows.
+
+    Prefix sums of a polynomial over the characters make the cost of a text linear
+    in its length for every window length.
+    """
+    powers = inverses = np.ones(1, np.uint64)
+    for text in texts:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        if len(codes) > len(powers):
+            factors = np.ones(2 * len(codes), np.uint64)
+            factors[1:] = _BASE
+            powers = np.cumprod(factors)
+            factors[1:] = _INVERSE
+            inverses = np.cumprod(factors)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * powers[: len(codes)], out=sums[1:])
+        hashes = []
+        for b in bits:
+            count = max(0, len(codes) - (1 << b) + 1)
+            hashes.append(((sums[1 << b :] - sums[:count]) * inverses[:count] if count else sums[:0]).view(np.int64))
+        yield hashes
+
+
+def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        bits = [int(n).bit_length() - 1 for n in frame["__size"]]
+        hashes = [
+            next(_window_hashes([phrase[: 1 << b]], [b]))[0][0] for phrase, b in zip(frame["__search"], bits, strict=True)
+        ]
+        yield frame.assign(__bits=np.array(bits, np.int32), __hash=np.array(hashes, np.int64))
+
+
+def _gram_lister(bits: Sequence[int], wanted: np.ndarray | None):
+    """Lists (row, 1-based position, bits, hash) of all windows, or of those with a wanted hash."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame[frame["__text"].notna()]
+            for row, hashes in zip(frame["__row"], _window_hashes(frame["__text"], bits), strict=True):
+                for b, found in zip(bits, hashes, strict=True):
+                    at = np.flatnonzero(np.isin(found, wanted)) if wanted is not None else np.arange(len(found))
+                    if len(at):
+                        yield pd.DataFrame({"__row": row, "__at": at + 1, "__gram_bits": b, "__gram": found[at]})
+
+    return run

@@ -31,11 +31,13 @@ def similar_sets(
 
     Records without overlap never qualify; ties go to the smaller id.
     """
-    asked = F.array(*[F.lit(q) for q in sorted(set(query))]).cast("array<string>")
-    tags = F.array_distinct(col(set_column))
-    overlap = F.size(F.array_intersect(tags, asked)) / F.size(F.array_union(tags, asked))
-    scored = df.withColumn(score, overlap).where(col(score) > 0)
-    return scored.orderBy(col(score).desc(), col(id_column).asc()).limit(k)
+    wanted = sorted(set(query))
+    asked = F.array(*[F.lit(q) for q in wanted]).cast("array<string>")
+    shared = F.size(F.array_intersect(col(set_column), asked))
+    jaccard = shared / (F.size(F.array_distinct(col(set_column))) + len(wanted) - shared)
+    # ranked before the filter, which would otherwise score every record twice
+    best = df.withColumn(score, jaccard).orderBy(col(score).desc_nulls_last(), col(id_column).asc()).limit(k)
+    return best.where(col(score) > 0)
 
 
 def tag_counts(df: DataFrame, set_column: str, tag: str = "tag", count: str = "count") -> DataFrame:

@@ -129,61 +129,94 @@ def multi_row_fold(
     Such steps compose into steps of the same kind, so a group of any size is
     folded block by block in parallel.
     """
-    number = {"__scale": (scale, 1.0), "__shift": (shift, 0.0), "__low": (low, -float("inf")), "__high": (high, float("inf"))}
-    out_schema = T.StructType([*(f for f in df.schema.fields if f.name != field), T.StructField(field, T.DoubleType())])
+    require(df, group_by)
+    parts_of_step = {
+        "__scale": (scale, 1.0),
+        "__shift": (shift, 0.0),
+        "__low": (low, -float("inf")),
+        "__high": (high, float("inf")),
+    }
     # the order is settled on the input columns before the step columns join them
     order = sort_keys(df, order_by, tie_break)
-    stepped = df.withColumns(
-        {
-            name: F.lit(default)
-            if part is None
-            else F.coalesce((F.expr(part) if isinstance(part, str) else part).cast("double"), F.lit(default))
-            for name, (part, default) in number.items()
-        }
-    )
-    kept = [f.name for f in out_schema.fields if f.name != field]
-    start = float(init)
-
-    def steps(rows: pa.Table) -> zip:
-        return zip(*(rows.column(n).to_pylist() for n in ("__scale", "__shift", "__low", "__high")), strict=True)
-
-    def summarise(rows: pa.Table) -> dict:
-        a, b, lo, hi = 1.0, 0.0, -float("inf"), float("inf")
-        for scale_, shift_, low_, high_ in steps(rows):
-            if scale_ == 0.0:  # a restart forgets everything before it, bounds included
-                a, b, lo, hi = 0.0, shift_, shift_, shift_
-            else:
-                a, b, lo, hi = scale_ * a, scale_ * b + shift_, scale_ * lo + shift_, scale_ * hi + shift_
-                if scale_ < 0.0:
-                    lo, hi = hi, lo
-            lo, hi = min(high_, max(low_, lo)), min(high_, max(low_, hi))
-        return {"a": a, "b": b, "lo": lo, "hi": hi}
-
-    def combine(before: dict | None, block: dict) -> dict:
-        value = start if before is None else before["value"]
-        value = min(block["hi"], max(block["lo"], block["a"] * value + block["b"]))
-        return {"a": 0.0, "b": 0.0, "lo": 0.0, "hi": 0.0, "value": value}
-
-    def emit(rows: pa.Table, before: dict | None) -> pa.Table:
-        value, values = start if before is None else before["value"], []
-        for scale_, shift_, low_, high_ in steps(rows):
-            value = min(high_, max(low_, scale_ * value + shift_))
-            values.append(value)
-        return rows.select(kept).append_column(field, pa.array(values, pa.float64()))
-
+    stepped = df.withColumns({n: _number(part, default) for n, (part, default) in parts_of_step.items()})
     parts = split_by_group_size(stepped, group_by, group_rows)
     results = []
     if parts.cold is not None:
         window = Window.partitionBy(*cols(group_by)).orderBy(*order)
-        rows = parts.cold.withColumn(POSITION, F.row_number().over(window))
-        results.append(_by_group(rows, group_by).applyInArrow(_emitter(emit, []), out_schema))
+        opens = F.when(F.row_number().over(window) == 1, F.lit(float(init)))
+        results.append(_fold_in_order(parts.cold.withColumn("__opens", opens), field))
     if parts.hot is not None:
         rows = with_block(numbered(parts.hot, group_by, order, parts.hot_rows, group_rows), group_rows)
-        state = "a double, b double, lo double, hi double, value double"
-        results.append(_scan_blocks(rows, group_by, summarise, combine, emit, state, out_schema))
+        carried = _carried_states(rows, group_by, _compose_steps, _apply_block(float(init)), _STEP_STATE)
+        window = Window.partitionBy(*cols(group_by), F.col(BLOCK)).orderBy(POSITION)
+        before = F.coalesce(F.col("__state_value"), F.lit(float(init)))
+        opens = F.when(F.row_number().over(window) == 1, before)
+        kept = [c for c in carried.columns if c not in (POSITION, BLOCK, "__known") and not c.startswith("__state_")]
+        results.append(_fold_in_order(carried.withColumn("__opens", opens).select(*cols(kept), "__opens"), field))
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
 
 
+_STEP_STATE = "a double, b double, lo double, hi double, value double"
+
+
+def _number(part: Column | str | None, default: float) -> Column:
+    if part is None:
+        return F.lit(default)
+    return F.coalesce((F.expr(part) if isinstance(part, str) else part).cast("double"), F.lit(default))
+
+
+def _steps(rows: pa.Table | pa.RecordBatch) -> list[tuple[float, float, float, float]]:
+    columns = [rows.column(n).to_pylist() for n in ("__scale", "__shift", "__low", "__high")]
+    return list(zip(*columns, strict=True))
+
+
+def _compose_steps(rows: pa.Table) -> dict:
+    """A stretch of steps as one: x becomes a * x + b held between lo and hi."""
+    a, b, lo, hi = 1.0, 0.0, -float("inf"), float("inf")
+    for scale, shift, low, high in _steps(rows):
+        if scale == 0.0:  # a restart forgets everything before it, bounds included
+            a, b, lo, hi = 0.0, shift, shift, shift
+        else:
+            a, b, lo, hi = scale * a, scale * b + shift, scale * lo + shift, scale * hi + shift
+            if scale < 0.0:
+                lo, hi = hi, lo
+        lo, hi = min(high, max(low, lo)), min(high, max(low, hi))
+    return {"a": a, "b": b, "lo": lo, "hi": hi}
+
+
+def _apply_block(init: float) -> Callable[[dict | None, dict], dict]:
+    def combine(before: dict | None, block: dict) -> dict:
+        value = init if before is None else before["value"]
+        return {"value": min(block["hi"], max(block["lo"], block["a"] * value + block["b"]))}
+
+    return combine
+
+
+def _fold_in_order(rows: DataFrame, field: str) -> DataFrame:
+    """Fold rows as they come: the window below has sorted every stretch.
+
+    A row with a value in ``__opens`` starts a stretch from that value.  Partitions
+    stream through in Arrow batches whatever the sizes of their groups.
+    """
+    helpers = ("__scale", "__shift", "__low", "__high", "__opens")
+    kept = [f for f in rows.schema.fields if f.name not in (*helpers, field)]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = 0.0
+        for batch in batches:
+            values = []
+            for opens, (scale, shift, low, high) in zip(batch.column("__opens").to_pylist(), _steps(batch), strict=True):
+                if opens is not None:
+                    value = opens
+                value = min(high, max(low, scale * value + shift))
+                values.append(value)
+            columns = [batch.column(n) for n in names] + [pa.array(values, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, field])
+
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(field, T.DoubleType())]))
+
+
 def _by_group(rows: DataFrame, keys: Sequence[str]):
     return rows.groupBy(*cols(keys))
 
@@ -201,25 +234,30 @@ def _emitter(emit, state_fields):
 
 
 def _scan_blocks(rows, keys, summarise, combine, emit, state, schema):
-    fields = T.StructType.fromDDL(state)
-    names = [f.name for f in fields.fields]
-    key_fields = [rows.schema[k] for k in keys]
-    ids = [T.StructField(f"__id_{i}", f.dataType) for i, f in enumerate(key_fields)]
+    names = [f.name for f in T.StructType.fromDDL(state).fields]
+    known = _carried_states(rows, keys, summarise, combine, state)
+    return known.groupBy(*cols(keys), F.col(BLOCK)).applyInArrow(_emitter(emit, names), schema)
+
+
+def _carried_states(rows, keys, summarise, combine, state):
+    """Add ``__state_*``, the state before each block, and ``__known``, false for a first block."""
+    fields = T.StructType.fromDDL(state).fields
+    names = [f.name for f in fields]
+    ids = [T.StructField(f"__id_{i}", rows.schema[k].dataType) for i, k in enumerate(keys)]
     id_names = [f.name for f in ids]
-    block_field = T.StructField("__id_block", T.LongType())
-    state_fields = [T.StructField(f"__state_{f.name}", f.dataType) for f in fields.fields]
-    summary_schema = T.StructType([*ids, block_field, *state_fields])
-    carry_schema = T.StructType([*ids, block_field, *state_fields, T.StructField("__known", T.BooleanType())])
+    state_fields = [T.StructField(f"__state_{f.name}", f.dataType) for f in fields]
+    summary_schema = T.StructType([*ids, T.StructField("__id_block", T.LongType()), *state_fields])
+    carry_schema = T.StructType([*summary_schema.fields, T.StructField("__known", T.BooleanType())])
     key_list = list(keys)
 
     def summaries(table: pa.Table) -> pa.Table:
         table = table.sort_by(POSITION)
         head = table.slice(0, 1)
-        data = table.drop_columns([POSITION, BLOCK])
+        effect = summarise(table.drop_columns([POSITION, BLOCK]))
         out = {i: head.column(k) for i, k in zip(id_names, key_list, strict=True)}
-        out["__id_block"] = head.column(BLOCK)
-        effect = summarise(data)
-        return pa.table({**out, **{f"__state_{n}": [effect.get(n)] for n in names}})
+        return pa.table(
+            {**out, "__id_block": head.column(BLOCK), **{f"__state_{n}": [effect.get(n)] for n in names}}
+        )
 
     def carries(table: pa.Table) -> pa.Table:
         table = table.sort_by("__id_block")
@@ -234,9 +272,9 @@ def _scan_blocks(rows, keys, summarise, combine, emit, state, schema):
 
     blocks = rows.groupBy(*cols(keys), F.col(BLOCK)).applyInArrow(_cast_to(summaries, summary_schema), summary_schema)
     carried = blocks.groupBy(*id_names).applyInArrow(_cast_to(carries, carry_schema), carry_schema)
-    same = (F.col(BLOCK) == F.col("__id_block")) & all_equal((col(k), F.col(i)) for k, i in zip(keys, id_names, strict=True))
-    known = rows.join(carried, same).drop("__id_block", *id_names)
-    return known.groupBy(*cols(keys), F.col(BLOCK)).applyInArrow(_emitter(emit, names), schema)
+    pairs = zip(keys, id_names, strict=True)
+    same = (F.col(BLOCK) == F.col("__id_block")) & all_equal((col(k), F.col(i)) for k, i in pairs)
+    return rows.join(carried, same).drop("__id_block", *id_names)
 
 
 def _cast_to(fn, schema: T.StructType):
