@@ -34,7 +34,8 @@ def similar_sets(
     wanted = sorted(set(query))
     asked = F.array(*[F.lit(q) for q in wanted]).cast("array<string>")
     shared = F.size(F.array_intersect(col(set_column), asked))
-    jaccard = shared / (F.size(F.array_distinct(col(set_column))) + len(wanted) - shared)
+    either = F.size(F.array_distinct(col(set_column))) + len(wanted) - shared
+    jaccard = F.try_divide(shared, either)  # NULL for two empty sets
     # ranked before the filter, which would otherwise score every record twice
     best = df.withColumn(score, jaccard).orderBy(col(score).desc_nulls_last(), col(id_column).asc()).limit(k)
     return best.where(col(score) > 0)

@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.naming import OrderBy, all_equal, col, cols, require, sort_keys
 from millrace.operators.positions import (
@@ -278,9 +279,7 @@ def _carried_states(rows, keys, summarise, combine, state):
 
 
 def _cast_to(fn, schema: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    target = to_arrow_schema(schema, timezone="UTC")
+    target = to_arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
         return fn(table).select(target.names).cast(target)
