@@ -17,12 +17,7 @@ ABSOLUTE_TOLERANCE = 1e-12
 
 SAMPLE_ROWS = 20
 
-_KEY_FUNCS = {
-    "sum": F.sum,
-    "min": F.min,
-    "max": F.max,
-    "count": lambda c: F.count(F.lit(1)),
-}
+_KEY_FUNCS = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 
 
 class RowParity(NamedTuple):
@@ -82,29 +77,43 @@ def compare_key_aggregates(
 
     ``count`` counts rows, NULL or not; the others skip NULLs.  Sums may differ by
     rounding within the tolerances.  A key only one side has is always reported.
-    Both sides share one shuffle, after partial aggregation.
+    Both sides are summed in one aggregation, so they meet without a join.
     """
     if func not in _KEY_FUNCS:
         raise ValueError(f"unknown aggregate {func!r}; have {sorted(_KEY_FUNCS)}")
     for side in (source, target):
         require(side, [*keys, *columns])
-    per_side = [
-        df.groupBy(*cols(keys))
-        .agg(*[_KEY_FUNCS[func](col(c)).cast("double").alias(c) for c in columns])
-        .withColumn("__source", F.lit(is_source))
-        for df, is_source in ((source, True), (target, False))
-    ]
-    long = per_side[0].unionByName(per_side[1]).unpivot([*cols(keys), F.col("__source")], cols(columns), "column", "value")
-    merged = long.groupBy(*cols(keys), "column").agg(
-        F.count_if("__source").alias("in_source"),
-        F.count_if(~F.col("__source")).alias("in_target"),
-        F.max(F.when(F.col("__source"), F.col("value"))).alias("source_value"),
-        F.max(F.when(~F.col("__source"), F.col("value"))).alias("target_value"),
-    )
-    same = (F.col("in_source") == F.col("in_target")) & _close(F.col("source_value"), F.col("target_value"))
-    return merged.where(~same).select(
-        *cols(keys), "column", F.lit(func).alias("func"), "source_value", "target_value"
+    names = [*keys, *columns]
+    rows = _both(source, target, names)
+    is_source = F.col("__source")
+    merged = rows.groupBy(*cols(keys)).agg(
+        F.count_if(is_source).alias("__in_source"),
+        F.count_if(~is_source).alias("__in_target"),
+        *[_key_value(func, c, is_source).alias(f"__source_{i}") for i, c in enumerate(columns)],
+        *[_key_value(func, c, ~is_source).alias(f"__target_{i}") for i, c in enumerate(columns)],
     )
+    one_sided = (F.col("__in_source") == 0) | (F.col("__in_target") == 0)
+    differing = [
+        F.when(
+            one_sided | ~_close(F.col(f"__source_{i}"), F.col(f"__target_{i}")),
+            F.struct(
+                F.lit(c).alias("column"),
+                F.lit(func).alias("func"),
+                F.col(f"__source_{i}").alias("source_value"),
+                F.col(f"__target_{i}").alias("target_value"),
+            ),
+        )
+        for i, c in enumerate(columns)
+    ]
+    found = merged.select(*cols(keys), F.explode(F.array_compact(F.array(*differing))).alias("__found"))
+    return found.select(*cols(keys), "__found.*")
+
+
+def _key_value(func: str, column: str, side: Column) -> Column:
+    """The aggregate of one side; NULL, like a group that is not there, when it has no rows."""
+    if func == "count":
+        return F.nullif(F.count_if(side), F.lit(0).cast("long")).cast("double")
+    return _KEY_FUNCS[func](F.when(side, col(column))).cast("double")
 
 
 def parity_report(

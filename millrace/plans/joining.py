@@ -25,22 +25,20 @@ GROUP BY c.c_custkey, c.c_mktsegment
 def sales_summary(t):
     """The flagship: line totals above a price, per customer and segment.
 
-    Sums are taken before each join, so the joins move one row per order and one
-    per customer instead of one per line, and no hot customer gathers its lines.
+    Lines are summed per customer before the segment is joined: the join with orders
+    may split a hot key, the sums shrink on the map side, and only one row per
+    customer moves on.
     """
     lines = select_columns(t.lineitem, ["l_orderkey", "l_quantity", "l_extendedprice"])
     priced = with_formulas(
         filter_true(lines, "l_extendedprice > 1000"),
         [("line_total", "l_quantity * l_extendedprice", "decimal(18,2)")],
     )
-    per_order = summarize(
-        priced, ["l_orderkey"], [Agg("line_total", "sum", "total"), Agg("line_total", "count", "lines")]
-    )
     orders = select_columns(t.orders, ["o_orderkey", "o_custkey"])
     per_customer = summarize(
-        join(per_order, orders, ["l_orderkey"], ["o_orderkey"]),
+        join(select_columns(priced, ["l_orderkey", "line_total"]), orders, ["l_orderkey"], ["o_orderkey"]),
         ["o_custkey"],
-        [Agg("total", "sum", "total"), Agg("lines", "sum", "lines")],
+        [Agg("line_total", "sum", "total"), Agg("line_total", "count", "lines")],
     )
     customers = select_columns(t.customer, ["c_custkey", "c_mktsegment"])
     return join(customers, per_customer, ["c_custkey"], ["o_custkey"]).select(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from os.path import commonprefix
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,20 +58,36 @@ def read_many(
 ) -> DataFrame:
     """Many files in one scan; missing columns are NULL. ``path_column`` names each row's file.
 
-    The list may come from a DataFrame with one string column. A reader needs its
-    paths on the driver, so a list longer than ``max_paths`` is an error: read their
-    folder with a glob instead.
+    The list may come from a DataFrame with one string column.  A scan needs its
+    paths on the driver, so up to ``max_paths`` are collected; a longer list stays
+    distributed, and selects the files from a scan of the folder they share.
     """
+    longer = None
     if isinstance(paths, DataFrame):
-        rows = paths.select(col(paths.columns[0])).distinct().limit(max_paths + 1).collect()
-        paths = sorted(r[0] for r in rows)
+        listed = paths.select(col(paths.columns[0]).alias("__listed")).distinct()
+        found = [r[0] for r in listed.limit(max_paths + 1).collect()]
+        longer = listed if len(found) > max_paths else None
+        paths = sorted(found)
     if not paths:
         raise ValueError("no paths to read")
-    if len(paths) > max_paths:
-        raise ValueError(f"more than {max_paths} paths; read the folder with a glob")
-    merge = {"mergeSchema": "true"} if schema is None and (fmt or _extension(paths[0])) in ("parquet", "orc") else {}
-    df = read_files(spark, paths, fmt, schema, **{**merge, **options})
-    return df.withColumn(path_column, F.col("_metadata.file_path")) if path_column else df
+    known = fmt or _extension(paths[0])
+    merge = {"mergeSchema": "true"} if schema is None and known in ("parquet", "orc") else {}
+    options = {**merge, **options}
+    if longer is None:
+        df = read_files(spark, paths, known, schema, **options)
+        return df.withColumn(path_column, F.col("_metadata.file_path")) if path_column else df
+    first, last = longer.agg(F.min("__listed"), F.max("__listed")).first()
+    folder = commonprefix([first, last]).rpartition("/")[0]
+    df = read_files(spark, folder, known, schema, recursiveFileLookup="true", **options)
+    df = df.withColumn("__file", F.col("_metadata.file_path"))
+    wanted = longer.select(_bare_path(F.col("__listed")).alias("__wanted")).distinct()
+    df = df.join(wanted, _bare_path(F.col("__file")) == F.col("__wanted"), "left_semi")
+    return df.withColumnRenamed("__file", path_column) if path_column else df.drop("__file")
+
+
+def _bare_path(path: Column) -> Column:
+    """A path without its scheme and leading slashes, which different listings write differently."""
+    return F.regexp_replace(path, "^([A-Za-z0-9+.-]+:)?/*", "")
 
 
 def inline_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:

@@ -102,6 +102,7 @@ def upsert(
     keys: Sequence[str],
     sequence_by: str | None = None,
     delete_when: str | None = None,
+    keep_versions: int = 2,
 ) -> DataFrame:
     """Apply changes to the parquet table at path ``target``; returns the new state.
 
@@ -111,9 +112,12 @@ def upsert(
 
     Plain files cannot be updated in place, and a table cannot be overwritten while
     it is read: the new state is written beside the old one as the next version, and
-    counts only once it is complete.  Tables whose catalog updates rows go through
+    counts only once it is complete.  The last ``keep_versions`` states stay, so that
+    running readers finish.  Tables whose catalog updates rows go through
     ``merge_into`` instead, which rewrites only the files it touches.
     """
+    if keep_versions < 1:
+        raise ValueError("keep_versions must be at least 1")
     gone = F.coalesce(F.expr(delete_when), F.lit(False)) if delete_when else F.lit(False)
     changes = source.withColumn(DELETED, gone)
     version = _latest_version(spark, target)
@@ -122,6 +126,9 @@ def upsert(
     else:
         new = merge_rows(changes, spark.read.parquet(_version_path(target, version)), keys, sequence_by)
     new.write.mode("overwrite").parquet(_version_path(target, (version or 0) + 1))
+    for old in _complete_versions(spark, target)[:-keep_versions]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_version_path(target, old))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return read_latest(spark, target)
 
 
@@ -161,15 +168,19 @@ def _version_path(target: str, version: int) -> str:
 
 
 def _latest_version(spark: SparkSession, target: str) -> int | None:
-    """Highest version whose write finished."""
+    return max(_complete_versions(spark, target), default=None)
+
+
+def _complete_versions(spark: SparkSession, target: str) -> list[int]:
+    """Versions whose write finished, oldest first."""
     root = spark._jvm.org.apache.hadoop.fs.Path(target)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(root):
-        return None
+        return []
     complete = []
     for status in files.listStatus(root):
         name = status.getPath().getName()
         done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
         if name.startswith(_VERSION) and files.exists(done):
-            complete.append(int(name[len(_VERSION):]))
-    return max(complete, default=None)
+            complete.append(int(name[len(_VERSION) :]))
+    return sorted(complete)

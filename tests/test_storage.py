@@ -46,8 +46,11 @@ def test_many_files_and_listing(spark, people, tmp_path):
     assert files.columns == ["name", "path", "length", "modificationTime"] and files.where("length > 0").count() == files.count()
     again = read_many(spark, files.select("path"), fmt="parquet")
     assert again.count() == 4
+    write_path(people, f"{tmp_path}/three.parquet")
+    longer = read_many(spark, files.select("path"), fmt="parquet", path_column="file", max_paths=1)
+    assert rows(longer, "id", "extra") == rows(again, "id", "extra") and longer.where("file like '%three%'").isEmpty()
     with pytest.raises(ValueError):
-        read_many(spark, files.select("path"), fmt="parquet", max_paths=1)
+        read_many(spark, [])
 
 
 def test_tables_and_queries(spark, people):
@@ -82,6 +85,7 @@ def test_upsert_replays_late_changes_and_deletions(spark, people, tmp_path):
     for batch in (people, gone, gone, late, people):
         upsert(spark, batch, target, ["id"], "seq", delete_when="name = '-'")
     assert rows(read_latest(spark, target)) == [(1, "Anna", 3)]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["version=4", "version=5"]
     back = late.withColumn("seq", F.lit(9))
     assert rows(upsert(spark, back, target, ["id"], "seq", delete_when="name = '-'")) == [(1, "Anna", 3), (2, "late", 9)]
     (tmp_path / "t" / "version=99").mkdir()  # an interrupted write does not count
