@@ -7,9 +7,17 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.naming import all_equal, col, cols, require
-from millrace.operators.positions import BROADCAST_ROWS, HOT_ROWS, partitions_for
+from millrace.operators.positions import (
+    BROADCAST_BYTES,
+    BROADCAST_ROWS,
+    HOT_ROWS,
+    fits_broadcast,
+    partitions_for,
+    row_bytes,
+)
 
 HOWS = ("inner", "left", "right", "full", "left_anti")
 
@@ -74,16 +82,23 @@ def append_fields(
 ) -> DataFrame:
     """Append the fields of every source row to every target row.
 
-    The source is normally one row of scalars.  Its size is counted: up to
-    ``broadcast_rows`` it is shipped to every task; beyond that the rows meet
-    through an equi-join on (source chunk, target slice), so that neither side is
-    ever copied whole into one task.
+    The source is normally one row of scalars: these become constants, so that a
+    filter on them reaches the scan.  Otherwise the source is measured; a small one
+    is shipped to every task, and beyond that the rows meet through an equi-join on
+    (source chunk, target slice), so that neither side is ever copied whole into one
+    task.
     """
     source = _renamed(source, {c: f"{c}{suffix}" for c in source.columns if c in target.columns}, target.columns)
-    rows = source.count()
-    if rows <= broadcast_rows:
+    if all(isinstance(f.dataType, _CONSTANT_TYPES) for f in source.schema.fields):
+        head = source.limit(2).collect()
+        if len(head) == 1:
+            return target.withColumns(
+                {f.name: F.lit(head[0][f.name]).cast(f.dataType) for f in source.schema.fields}
+            )
+    rows, size = source.agg(F.count(F.lit(1)), F.sum(row_bytes(source.columns))).first()
+    if fits_broadcast(rows, size, broadcast_rows):
         return target.crossJoin(F.broadcast(source))
-    chunks = partitions_for(rows, broadcast_rows)
+    chunks = max(partitions_for(rows, broadcast_rows), partitions_for(size, BROADCAST_BYTES))
     slices = max(1, target.sparkSession.sparkContext.defaultParallelism)
     spread = target.withColumns(
         {"__slice": F.pmod(F.monotonically_increasing_id(), F.lit(slices)), "__chunk": _each(chunks)}
@@ -95,6 +110,10 @@ def append_fields(
     return spread.join(chunked, meet).select(*cols(target.columns), *cols(source.columns))
 
 
+# Types whose values survive the way to the driver and back unchanged.
+_CONSTANT_TYPES = (T.BooleanType, T.NumericType, T.StringType, T.DateType)
+
+
 class _Pair:
     """The two sides with every name made unique, and the condition between them."""
 

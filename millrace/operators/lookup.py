@@ -20,7 +20,8 @@ from millrace.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PHRASES_IN_PATTERN = 500
-"""Up to this many search phrases become one regular expression."""
+PATTERN_CHARS = 50_000
+"""Up to these many search phrases, and characters in them, become one regular expression."""
 
 
 def find_replace(
@@ -87,11 +88,12 @@ def _first_per_key(lookup: DataFrame, search: str, fields: Sequence[str], order_
 
 
 def _replace_inside(df: DataFrame, phrases: DataFrame, find: str, limit: int) -> DataFrame:
-    known = phrases.limit(limit + 1).collect()
-    if not known:
+    count, chars = phrases.agg(F.count(F.lit(1)), F.sum(F.length("__search") + F.length("__field_0"))).first()
+    if not count:
         return df
-    if len(known) <= limit:
-        return df.withColumn(find, _by_pattern(col(find), {r["__search"]: r["__field_0"] for r in known}))
+    if count <= limit and chars <= PATTERN_CHARS:
+        known = {r["__search"]: r["__field_0"] for r in phrases.collect()}
+        return df.withColumn(find, _by_pattern(col(find), known))
     return _by_substrings(df, phrases, find)
 
 

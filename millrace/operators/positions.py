@@ -23,7 +23,8 @@ HOT_ROWS = 2_000_000
 """Largest group one window task sorts; also the rows per block of a larger one."""
 
 BROADCAST_ROWS = 100_000
-"""Largest counted side that is broadcast."""
+BROADCAST_BYTES = 64 << 20
+"""A side is broadcast only when both its counted rows and its measured bytes stay below these."""
 
 POSITION = "__position"
 BLOCK = "__block"
@@ -53,17 +54,28 @@ def split_by_group_size(df: DataFrame, keys: Sequence[str], hot_rows: int | None
         total = df.count()
         return HotSplit(df, None, 0, 0) if total <= hot_rows else HotSplit(None, df, total, 1)
     sizes = df.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias(_SIZE)).where(F.col(_SIZE) > hot_rows)
-    groups, rows = sizes.agg(F.count(F.lit(1)), F.sum(_SIZE)).first()
+    groups, rows, key_bytes = sizes.agg(
+        F.count(F.lit(1)), F.sum(_SIZE), F.sum(row_bytes(keys))
+    ).first()
     if not groups:
         return HotSplit(df, None, 0, 0)
     renamed = {k: f"__hot_{i}" for i, k in enumerate(keys)}
     hot_keys = materialize(sizes.select(*[col(k).alias(a) for k, a in renamed.items()]))
-    if groups <= BROADCAST_ROWS:
+    if fits_broadcast(groups, key_bytes):
         hot_keys = F.broadcast(hot_keys)
     same = all_equal((col(k), F.col(a)) for k, a in renamed.items())
     return HotSplit(df.join(hot_keys, same, "left_anti"), df.join(hot_keys, same, "left_semi"), rows, groups)
 
 
+def row_bytes(names: Sequence[str]) -> Column:
+    """Estimated size of the named columns of a row, from their text form."""
+    return F.octet_length(F.to_json(F.struct(*cols(names))))
+
+
+def fits_broadcast(rows: int, size: int | None, max_rows: int = BROADCAST_ROWS) -> bool:
+    return rows <= max_rows and (size or 0) <= BROADCAST_BYTES
+
+
 def partitions_for(rows: int, rows_per_partition: int) -> int:
     return max(1, -(-rows // max(1, rows_per_partition)))
 

@@ -19,6 +19,7 @@ _COLUMN_MAPPING = {
     "delta.minReaderVersion": "2",
     "delta.minWriterVersion": "5",
 }
+# Characters that such a table needs the properties for (fixed values).
 _UNSAFE = re.compile(r"[ ,;{}()\[\]\t\n=]")
 _VERSION = "version="
 

@@ -14,12 +14,12 @@ def sides(spark):
 
 
 def test_null_keys_match(spark):
-    left = spark.createDataFrame([(1,), (None,)], "key int")
-    right = spark.createDataFrame([(1, "matched"), (None, "null_matched")], "key int, label string")
-    out = join(left, right, ["key"])
-    assert out.columns == ["key", "label"]
-    assert rows(out, "label") == [("matched",), ("null_matched",)]
-    assert rows(join(left, right, ["key"], null_safe=False), "label") == [("matched",)]
+    codes = spark.createDataFrame([("x",), (None,), ("y",), (None,)], "code string")
+    names = spark.createDataFrame([("x", "ex"), (None, "blank"), ("z", "zed")], "code string, name string")
+    out = join(codes, names, ["code"])
+    assert out.columns == ["code", "name"]
+    assert rows(out) == [(None, "blank"), (None, "blank"), ("x", "ex")]
+    assert rows(join(codes, names, ["code"], null_safe=False)) == [("x", "ex")]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
@@ -81,6 +81,19 @@ def test_append_fields(spark, sides):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert append_fields(left, one.where("limit > 3")).isEmpty()
+    stamped = one.select(F.lit("2024-05-01 10:00:00").cast("timestamp").alias("at"), F.lit(None).cast("int").alias("none"))
+    assert rows(append_fields(left, stamped), "at", "none") == rows(left.crossJoin(stamped), "at", "none")
+
+
+def test_appended_scalars_reach_the_scan(spark, sides, tmp_path):
+    sides[1].where("k is not null").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    mean = table.agg(F.avg("k").alias("mean"), F.max("v").alias("last"), F.lit(None).cast("date").alias("day"))
+    above = append_fields(table, mean).where("k > mean and v < last")
+    assert above.dtypes[2:] == [("mean", "double"), ("last", "string"), ("day", "date")]
+    assert above.isEmpty() and rows(append_fields(table, mean).where("k > mean"), "k", "last") == [(7, "G")]
+    plan = above._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "LessThan(v,G)" in plan
 
 
 @pytest.fixture(scope="module")

@@ -153,10 +153,14 @@ def test_order_is_asked_for(skewed):
 
 
 def test_dedupe_by_key(spark):
-    df = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, "only", 1)], "id int, val string, version int")
-    assert rows(dedupe_by_key(df, ["id"], "version"), "val") == [("new",), ("only",)]
-    assert rows(dedupe_by_key(df, ["id"], "version", descending=False), "val") == [("old",), ("only",)]
-    plan = dedupe_by_key(df, ["id"], "version")._jdf.queryExecution().executedPlan().toString()
+    df = spark.createDataFrame(
+        [("p", 10, "c"), ("p", 30, "b"), ("p", 30, "a"), ("q", None, "z"), (None, 5, "n"), (None, 6, "m")],
+        "part string, rev int, who string",
+    )
+    assert rows(dedupe_by_key(df, ["part"], "rev")) == [(None, 6, "m"), ("p", 30, "a"), ("q", None, "z")]
+    assert rows(dedupe_by_key(df, ["part"], "rev", descending=False), "who") == [("c",), ("n",), ("z",)]
+    assert rows(dedupe_by_key(df, ["part"], [("rev", True), ("who", True)]), "who") == [("b",), ("m",), ("z",)]
+    plan = dedupe_by_key(df, ["part"], "rev")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 

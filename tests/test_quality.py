@@ -23,13 +23,13 @@ SCHEMA = "CustomerID int, TotalSales double, TransactionCount int"
 
 @pytest.fixture(scope="module")
 def source(spark):
-    return spark.createDataFrame([(1, 10.0, 1), (1, 20.0, 1), (2, 5.0, 1), (3, None, 1)], SCHEMA)
+    return spark.createDataFrame([(1, 10.0, 1), (1, 20.5, 1), (2, 5.0, 1), (3, None, 1)], SCHEMA)
 
 
 def test_drift_in_one_value_is_one_mismatch(source):
-    target = source.withColumn("TotalSales", F.when(F.col("TotalSales") == 20, 25.0).otherwise(F.col("TotalSales")))
+    target = source.withColumn("TotalSales", F.when(F.col("TotalSales") == 20.5, 24.5).otherwise(F.col("TotalSales")))
     out = compare_key_aggregates(source, target, ["CustomerID"], ["TotalSales", "TransactionCount"])
-    assert rows(out) == [(1, "TotalSales", "sum", 30.0, 35.0)]
+    assert rows(out) == [(1, "TotalSales", "sum", 30.5, 34.5)]
     assert compare_key_aggregates(source, target, ["CustomerID"], ["TotalSales"], "count").isEmpty()
     assert compare_key_aggregates(source, target, ["CustomerID"], ["TotalSales"], "min").isEmpty()
     with pytest.raises(ValueError):

@@ -66,10 +66,10 @@ def test_concat_of_hot_groups(spark):
 
 def test_latest_and_counts(spark):
     df = spark.createDataFrame(
-        [("sdp", "edit1", 1), ("sdp", "edit2", 2), ("job", "editJ", 1), ("job", None, None)], "fmt string, code string, at int"
+        [("red", "first", 1), ("red", "second", 2), ("blue", "only", 1), ("blue", None, None)], "fmt string, code string, at int"
     )
-    assert rows(latest_by(df, ["fmt"], ["at"])) == [("job", "editJ", 1), ("sdp", "edit2", 2)]
-    assert [tuple(r) for r in category_counts(df.unionAll(df.limit(1)), "fmt", "n").collect()] == [("sdp", 3), ("job", 2)]
+    assert rows(latest_by(df, ["fmt"], ["at"])) == [("blue", "only", 1), ("red", "second", 2)]
+    assert [tuple(r) for r in category_counts(df.unionAll(df.limit(1)), "fmt", "n").collect()] == [("red", 3), ("blue", 2)]
 
 
 def test_union_and_difference(spark):
@@ -128,14 +128,15 @@ def test_dates(spark):
 
 def test_tag_sets(spark):
     df = spark.createDataFrame(
-        [(1, ["append_fields", "join"]), (2, ["filter", "select"]), (3, ["append_fields", "filter", "filter"]), (4, None), (5, [])],
+        [(4, ["fig", "pear"]), (7, ["kiwi", "lime"]), (2, ["pear", "plum", "plum"]), (9, None), (1, [])],
         "id int, tags array<string>",
     )
-    best = similar_sets(df, "id", "tags", ["append_fields", "join"], k=2).collect()
-    assert [(r.id, round(r.score, 4)) for r in best] == [(1, 1.0), (3, 0.3333)]
+    best = similar_sets(df, "id", "tags", ["pear", "fig", "pear"], k=3).collect()
+    assert [(r.id, round(r.score, 4)) for r in best] == [(4, 1.0), (2, 0.3333)]
+    assert [r.id for r in similar_sets(df, "id", "tags", ["pear"], k=1).collect()] == [2]
     assert similar_sets(df, "id", "tags", ["none"], k=2).isEmpty() and similar_sets(df, "id", "tags", [], k=2).isEmpty()
     counts = [tuple(r) for r in tag_counts(df, "tags").collect()]
-    assert counts == [("append_fields", 2), ("filter", 2), ("join", 1), ("select", 1)]
+    assert counts == [("pear", 2), ("fig", 1), ("kiwi", 1), ("lime", 1), ("plum", 1)]
 
 
 def test_lineage(spark):
