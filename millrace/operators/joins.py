@@ -100,12 +100,8 @@ def append_fields(
         return target.crossJoin(F.broadcast(source))
     chunks = max(partitions_for(rows, broadcast_rows), partitions_for(size, BROADCAST_BYTES))
     slices = max(1, target.sparkSession.sparkContext.defaultParallelism)
-    spread = target.withColumns(
-        {"__slice": F.pmod(F.monotonically_increasing_id(), F.lit(slices)), "__chunk": _each(chunks)}
-    )
-    chunked = source.withColumn("__source_chunk", F.pmod(F.monotonically_increasing_id(), F.lit(chunks))).withColumn(
-        "__source_slice", _each(slices)
-    )
+    spread = target.withColumns({"__slice": _bucket(target, slices), "__chunk": _each(chunks)})
+    chunked = source.withColumns({"__source_chunk": _bucket(source, chunks), "__source_slice": _each(slices)})
     meet = (F.col("__slice") == F.col("__source_slice")) & (F.col("__chunk") == F.col("__source_chunk"))
     return spread.join(chunked, meet).select(*cols(target.columns), *cols(source.columns))
 
@@ -193,6 +189,11 @@ def _renamed(df: DataFrame, names: dict[str, str], taken: Sequence[str]) -> Data
     return df.withColumnsRenamed(names) if names else df
 
 
+def _bucket(df: DataFrame, n: int) -> Column:
+    """One of ``n`` buckets by the contents of the row, the same whenever it is computed."""
+    return F.pmod(F.xxhash64(F.to_json(F.struct(*cols(df.columns)))), F.lit(n))
+
+
 def _each(n: int) -> Column:
     return F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
 

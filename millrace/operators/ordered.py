@@ -177,7 +177,10 @@ def record_id(
 
 
 def row_tag(df: DataFrame, column: str = "RowTag") -> DataFrame:
-    """A unique but not dense id; costs no shuffle."""
+    """A unique but not dense id; costs no shuffle.
+
+    The ids follow the layout of the input: write the result down before using it twice.
+    """
     return df.withColumn(column, F.monotonically_increasing_id())
 
 

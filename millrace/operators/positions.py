@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millrace.naming import all_equal, col, cols, quote
-from millrace.session import materialize
+from millrace.session import materialize, with_row_tag
 
 HOT_ROWS = 2_000_000
 """Largest group one window task sorts; also the rows per block of a larger one."""
@@ -90,7 +90,7 @@ def numbered(
     each group within each partition turns partition offsets into positions.
     """
     # equal rows carry distinct tags, so even a group of copies can be split
-    tagged = df.withColumn(_TAG, F.monotonically_increasing_id())
+    tagged = with_row_tag(df, _TAG)
     layout = [*[col(k).asc() for k in keys], *order, F.col(_TAG).asc()]
     stored = materialize(
         tagged.repartitionByRange(partitions_for(total_rows, rows_per_partition), *layout)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.naming import OrderBy, cols, sort_keys
 from millrace.operators.positions import HOT_ROWS, POSITION, in_ordered_groups, numbered
+from millrace.session import with_row_tag
 
 _TOP_K = 100_000  # rows a single task may hold for a global first/last N
 _GROUP_TOP_K = 1000  # up to here Spark trims groups before the shuffle
@@ -23,7 +24,9 @@ def sort(df: DataFrame, order_by: OrderBy, tie_break: bool = True) -> DataFrame:
     if not order_by:
         return df
     keys = sort_keys(df, order_by, tie_break)
-    return df.orderBy(*keys, F.monotonically_increasing_id()) if tie_break else df.orderBy(*keys)
+    if not tie_break:
+        return df.orderBy(*keys)
+    return with_row_tag(df, "__tag").orderBy(*keys, "__tag").drop("__tag")
 
 
 def sample(

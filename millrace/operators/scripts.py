@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -98,12 +99,12 @@ def scan_groups(
     parts = split_by_group_size(df, keys, group_rows)
     results = []
     if parts.cold is not None:
-        window = Window.partitionBy(*cols(keys)).orderBy(*order)
-        rows = parts.cold.withColumn(POSITION, F.row_number().over(window))
-        results.append(_by_group(rows, keys).applyInArrow(_emitter(emit, []), schema))
+        results.append(_emit_stretches(_opened(parts.cold, keys, order), df.columns, emit, [], schema))
     if parts.hot is not None:
         rows = with_block(numbered(parts.hot, keys, order, parts.hot_rows, group_rows), group_rows)
-        results.append(_scan_blocks(rows, keys, summarise, combine, emit, state, schema))
+        carried = _opened(_carried_states(rows, keys, summarise, combine, state), [*keys, BLOCK], [F.col(POSITION)])
+        fields = [f.name for f in T.StructType.fromDDL(state).fields]
+        results.append(_emit_stretches(carried, df.columns, emit, fields, schema))
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
 
 
@@ -218,26 +219,49 @@ def _fold_in_order(rows: DataFrame, field: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*kept, T.StructField(field, T.DoubleType())]))
 
 
-def _by_group(rows: DataFrame, keys: Sequence[str]):
-    return rows.groupBy(*cols(keys))
+def _opened(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Sort every stretch (rows of the same keys) and mark its first row in ``__opens``."""
+    window = Window.partitionBy(*cols(keys)).orderBy(*order)
+    return rows.withColumn("__opens", F.row_number().over(window) == 1)
 
 
-def _emitter(emit, state_fields):
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(POSITION)
-        before = None
-        if state_fields and rows.column("__known")[0].as_py():
-            before = {f: rows.column(f"__state_{f}")[0].as_py() for f in state_fields}
-        extra = [n for n in rows.column_names if n in (POSITION, BLOCK, "__known") or n.startswith("__state_")]
-        return emit(rows.drop_columns(extra), before)
+_BATCH_ROWS = 10_000
 
-    return run
 
+def _emit_stretches(rows: DataFrame, columns, emit, state_fields, schema) -> DataFrame:
+    """Hand each stretch to ``emit``; small stretches share Arrow batches both ways."""
+    target = to_arrow_schema(schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))
+    columns = list(columns)
+
+    def emitted(stretch: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(stretch).combine_chunks()
+        before = None
+        if state_fields and table.column("__known")[0].as_py():
+            before = {f: table.column(f"__state_{f}")[0].as_py() for f in state_fields}
+        return emit(table.select(columns), before).select(target.names).cast(target)
 
-def _scan_blocks(rows, keys, summarise, combine, emit, state, schema):
-    names = [f.name for f in T.StructType.fromDDL(state).fields]
-    known = _carried_states(rows, keys, summarise, combine, state)
-    return known.groupBy(*cols(keys), F.col(BLOCK)).applyInArrow(_emitter(emit, names), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, ready, ready_rows = [], [], 0
+        for batch in batches:
+            cut = 0
+            for start in np.flatnonzero(batch.column("__opens").to_numpy(zero_copy_only=False)):
+                if start > cut:
+                    stretch.append(batch.slice(cut, start - cut))
+                if stretch:
+                    ready.append(emitted(stretch))
+                    ready_rows += ready[-1].num_rows
+                stretch, cut = [], start
+                if ready_rows >= _BATCH_ROWS:
+                    yield from pa.concat_tables(ready).combine_chunks().to_batches()
+                    ready, ready_rows = [], 0
+            if cut < batch.num_rows:
+                stretch.append(batch.slice(cut))
+        if stretch:
+            ready.append(emitted(stretch))
+        if ready:
+            yield from pa.concat_tables(ready).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, schema)
 
 
 def _carried_states(rows, keys, summarise, combine, state):

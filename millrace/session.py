@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -61,6 +63,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_tag(df: DataFrame, name: str) -> DataFrame:
+    """Add a unique number that a retried task computes again for the same row.
+
+    Rows read from files keep their order; rows that come out of a shuffle may not,
+    so these are written down before they are numbered.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    stable = materialize(df) if _SHUFFLE.search(plan) else df
+    return stable.withColumn(name, F.monotonically_increasing_id())
+
+
+_SHUFFLE = re.compile(r"\bExchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)")
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete every scratch copy of this application (call when its results are written)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))

@@ -21,6 +21,7 @@ from millrace.operators.sampling import sample, sample_fraction, sort
 from millrace.operators.scripts import map_groups, map_pandas, multi_row_fold, scan_groups
 from millrace.operators.sets import unique
 from millrace.naming import sort_keys
+from millrace.session import with_row_tag
 
 SCHEMA = "id long, k string, ts int, v int, note string"
 
@@ -130,6 +131,15 @@ def test_positions_of_a_group_of_copies(spark):
     assert [r[0] for r in got.select(POSITION).orderBy(POSITION).collect()] == list(range(200))
 
 
+def test_tags_are_given_to_written_rows(spark, skewed, tmp_path):
+    """A retried task must tag a row alike: files are tagged as they are, shuffled rows once written."""
+    skewed.write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    assert str(tmp_path) in with_row_tag(scan.where("v > 0"), "tag").inputFiles()[0]
+    shuffled = with_row_tag(scan.groupBy("k").count(), "tag")
+    assert str(tmp_path) not in shuffled.inputFiles()[0] and shuffled.select("tag").distinct().count() == shuffled.count()
+
+
 def test_group_split(skewed):
     parts = split_by_group_size(skewed, ["k"], 100)
     assert parts.hot_groups == 1 and parts.hot_rows == 400
