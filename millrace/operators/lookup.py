@@ -101,7 +101,10 @@ def _by_pattern(text: Column, values: dict[str, str]) -> Column:
     """Cut the text into phrases and the stretches between them, map, and glue."""
     longest_first = sorted(values, key=lambda p: (-len(p), p))
     either = "|".join(_literal(p) for p in longest_first)
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?:{either})|(?:(?!{either}).)+"), F.lit(0))
+    # most characters cannot begin a phrase, which the class finds out at once
+    first = "".join(sorted({rf"\x{{{ord(p[0]):x}}}" for p in longest_first}))
+    between = rf"(?:(?!(?=[{first}])(?:{either})).)++"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?:{either})|{between}"), F.lit(0))
     table = F.create_map(*[F.lit(v) for p in longest_first for v in (p, values[p])])
     return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
 
@@ -199,6 +202,11 @@ def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(__bits=np.array(bits, np.int32), __hash=np.array(hashes, np.int64))
 
 
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Membership in a sorted array, at the cost of a binary search per value."""
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
 def _gram_lister(bits: Sequence[int], wanted: np.ndarray | None):
     """Lists (row, 1-based position, bits, hash) of all windows, or of those with a wanted hash."""
 
@@ -207,7 +215,7 @@ def _gram_lister(bits: Sequence[int], wanted: np.ndarray | None):
             frame = frame[frame["__text"].notna()]
             for row, hashes in zip(frame["__row"], _window_hashes(frame["__text"], bits), strict=True):
                 for b, found in zip(bits, hashes, strict=True):
-                    at = np.flatnonzero(np.isin(found, wanted)) if wanted is not None else np.arange(len(found))
+                    at = np.arange(len(found)) if wanted is None else np.flatnonzero(_among(found, wanted))
                     if len(at):
                         yield pd.DataFrame({"__row": row, "__at": at + 1, "__gram_bits": b, "__gram": found[at]})
 

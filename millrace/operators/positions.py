@@ -22,6 +22,9 @@ from millrace.session import materialize, with_row_tag
 HOT_ROWS = 2_000_000
 """Largest group one window task sorts; also the rows per block of a larger one."""
 
+RANGE_PARTITIONS = 20_000
+"""Most partitions of a range shuffle; sorting spills, so larger ones cost disk, not memory."""
+
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 """A side is broadcast only when both its counted rows and its measured bytes stay below these."""
@@ -91,9 +94,10 @@ def numbered(
     """
     # equal rows carry distinct tags, so even a group of copies can be split
     tagged = with_row_tag(df, _TAG)
+    parts = min(partitions_for(total_rows, rows_per_partition), RANGE_PARTITIONS)
     layout = [*[col(k).asc() for k in keys], *order, F.col(_TAG).asc()]
     stored = materialize(
-        tagged.repartitionByRange(partitions_for(total_rows, rows_per_partition), *layout)
+        tagged.repartitionByRange(parts, *layout)
         .sortWithinPartitions(*layout)
         .withColumn(_PART, F.spark_partition_id())
         .withColumn(_OFFSET_IN_PART, F.monotonically_increasing_id().bitwiseAND(F.lit(_PART_ROW_MASK)))
