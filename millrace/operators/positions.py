@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millrace.naming import all_equal, col, cols, quote
-from millrace.session import materialize, with_row_tag
+from millrace.session import local_table, materialize, with_row_tag
 
 HOT_ROWS = 2_000_000
 """Largest group one window task sorts; also the rows per block of a larger one."""
@@ -136,7 +136,7 @@ def _piece_offsets(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     for part, start, size in sorted((r[_PART], r[_START], r[_SIZE]) for r in pieces.collect()):
         rebased.append((part, start - before))
         before += size
-    return F.broadcast(pieces.sparkSession.createDataFrame(rebased, f"{_PART} int, {_START} long"))
+    return F.broadcast(local_table(pieces.sparkSession, rebased, f"{_PART} int, {_START} long"))
 
 
 def in_ordered_groups(

@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -30,6 +34,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
+    """A few rows as a relation whose size Spark knows, so that joins can plan with it."""
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(struct)
+    if len(columns) != len(struct):
+        raise ValueError(f"rows have {len(columns)} fields, the schema {len(struct)}")
+    kinds = to_arrow_schema(struct)
+    arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds.types, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kinds), struct)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.naming import col
+from millrace.session import local_table
 
 # File extensions and the Spark format and options each stands for (fixed values).
 FORMATS = {
@@ -92,7 +93,7 @@ def _bare_path(path: Column) -> Column:
 
 def inline_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
     """A small hand-typed table."""
-    return spark.createDataFrame(list(rows), schema)
+    return local_table(spark, list(rows), schema)
 
 
 def read_query(spark: SparkSession, sql: str, views: Mapping[str, DataFrame] | None = None) -> DataFrame:
