@@ -93,6 +93,7 @@ def scan_groups(
     ``group_rows`` are cut into blocks: ``summarise(rows)`` gives the effect of one
     block as a dict with the fields of the DDL ``state``, and ``combine(before,
     summary)`` the state after it.  Only summaries, one row per block, meet in order.
+    One stretch is in memory at a time: choose fewer ``group_rows`` for very wide rows.
     """
     require(df, keys)
     order = sort_keys(df, order_by, tie_break)
