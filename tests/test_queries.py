@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from millrace.plans import ORACLES, QUERIES, run
 from millrace.plans.registry import TABLES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="driver tables not present")
 
@@ -31,7 +31,7 @@ def _comparable(records, names, wanted):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, duck, name):
-    got = QUERIES[name](spark, SF_DIR)
+    got = run(name, spark, SF_DIR)
     result = duck.execute(ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(got.columns) == sorted(names)
