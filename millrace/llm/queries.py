@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import prepare
+from millrace.llm.packing import pack, tokenize
 from millrace.llm.sharding import shard, text_key
+from millrace.llm.token_counts import token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +35,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SEQUENCE_TOKENS, END_TOKEN = 4096, 1
+
+
+@query()
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    pieces = tokenize(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), END_TOKEN, SEQUENCE_TOKENS)
+    return pack(pieces, SEQUENCE_TOKENS, ["doc_id", "piece"])
+
+
+TOKEN_LIMIT = 512
+
+
+@query()
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    counted = docs.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        token_count(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")).alias("n_tokens"),
+    )
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 SHARDS, SHARD_TOLERANCE = 40, 0.01
 
 
