@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 from millrace.session import configure
 
 # Rows and bytes of one Arrow batch: what a Python worker holds at a time.
-_BATCHES = {
+_SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 _SLICE_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings of the library, and Arrow batches that stay small where texts are long."""
-    for key, value in _BATCHES.items():
+    for key, value in _SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return configure(spark)

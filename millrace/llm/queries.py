@@ -12,6 +12,7 @@ from millrace.llm.common import prepare
 from millrace.llm.packing import pack, tokenize
 from millrace.llm.sharding import shard, text_key
 from millrace.llm.token_counts import token_count
+from millrace.llm.warc import archived_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +36,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+FROM k
+""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(_table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 SEQUENCE_TOKENS, END_TOKEN = 4096, 1
 
 
