@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import prepare
+from millrace.llm import language_id, quality
+from millrace.llm.common import held_out, prepare
 from millrace.llm.packing import pack, tokenize
 from millrace.llm.sharding import shard, text_key
 from millrace.llm.token_counts import token_count
@@ -63,6 +64,30 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces, SEQUENCE_TOKENS, ["doc_id", "piece"])
 
 
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~held_out(F.col("doc_id"))), "text", "lang", ["doc_id"])
+    scored = docs.withColumn("found", language_id.language_of(docs, F.col("text"), model))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score")
+
+
+GOOD_SCORE = 0.7
+
+
+@query()
+def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    model = quality.train(docs, labels, "doc_id", "text", "quality")
+    scored = docs.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        quality.quality_score(docs, F.col("text"), model).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= GOOD_SCORE).cast("int"))
+
+
 TOKEN_LIMIT = 512
 
 
