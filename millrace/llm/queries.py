@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import language_id, quality
 from millrace.llm.common import held_out, prepare
+from millrace.llm.minhash_dedup import near_duplicates
 from millrace.llm.packing import pack, tokenize
 from millrace.llm.sharding import shard, text_key
 from millrace.llm.token_counts import token_count
@@ -72,6 +73,29 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score")
 
 
+@query(r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingles FROM w
+), u AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT doc_id, l.b FROM reach JOIN l ON l.a = reach.other
+)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM s JOIN reach USING (doc_id) GROUP BY doc_id, shingles
+""")
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", shingle_words=2, percent=80)
+
+
 GOOD_SCORE = 0.7
 
 

@@ -76,12 +76,12 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
     firsts = np.repeat(bounds[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     owner = np.repeat(np.arange(texts), counts)
     h = np.zeros(len(firsts), np.uint64)
-    factor = np.uint64(1)
+    factor = 1
     for k in range(size):
         at = firsts + k
         inside = at < bounds[owner + 1]
-        factor *= _BASE
-        h[inside] += hashes[at[inside]] * factor
+        factor = factor * int(_BASE) % (1 << 64)
+        h[inside] += hashes[at[inside]] * np.uint64(factor)
     h = mix(h + lengths[owner].clip(max=size).astype(np.uint64))
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
