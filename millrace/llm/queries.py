@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import language_id, quality
 from millrace.llm.common import held_out, prepare
+from millrace.llm.embedding_dedup import near_vectors
+from millrace.llm.inner_products import top_products
 from millrace.llm.minhash_dedup import near_duplicates
 from millrace.llm.packing import pack, tokenize
 from millrace.llm.sharding import shard, text_key
@@ -96,6 +98,43 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", shingle_words=2, percent=80)
 
 
+@query("""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM v
+  UNION SELECT vec_id, l.b FROM reach JOIN l ON l.a = reach.other
+)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, min(other) AS component_id,
+  vec_id = min(other) AS kept
+FROM reach GROUP BY vec_id
+""")
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", threshold=0.9)
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+""")
+def op7_exact_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5)
+
+
 GOOD_SCORE = 0.7
 
 
