@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,41 +23,84 @@ from millrace.llm.common import fresh, slices, utf8
 from millrace.session import local_table, materialize
 
 _CACHED = 600_000
+_LEARNED = 4_000  # words that the library encodes at a time
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _RANK_ROWS = 50_000  # pieces of one length that one group numbers
 
 
+class _Codes(dict):
+    """Numbers words as they are first looked up, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self)
+        self.new.append(word)
+        return code
+
+
 class WordIds:
     """Token ids of texts for a vocabulary whose pre-tokens never span white space.
 
     The library encodes every distinct word once per worker; texts are put together from the ids of their words.
+    Where the vocabulary ignores the case of ASCII letters and parts them from a comma or full stop, so do the words.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = self.tokenizer.encode_batch(["a b", "a", "b"], add_special_tokens=False)
-        if probe[0].ids != probe[1].ids + probe[2].ids:
+        probe = ["a b", "a", "b", "Ab", "ab", "Q.", "q", ".", "q,", ","]
+        x = [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
+        if x[0] != x[1] + x[2]:
             raise ValueError(f"{path} keeps white space in its tokens")
+        self.caseless = x[3] == x[4]
+        self.parts_marks = x[5] == x[6] + x[7] and x[8] == x[6] + x[9]
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes = _Codes()
         self.ids = np.empty(1 << 20, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        ends = self.starts[-1] + np.cumsum([len(x) for x in ids])
-        if ends[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), int(ends[-1])), np.uint32)])
-        self.ids[self.starts[-1] : ends[-1]] = [i for x in ids for i in x]
-        self.codes |= dict(zip(words, range(len(self.codes), len(self.codes) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, ends])
+        for k in range(0, len(words), _LEARNED):
+            texts = [w.decode() for w in words[k : k + _LEARNED]]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ends = self.starts[-1] + np.cumsum([len(x) for x in ids])
+            if ends[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), int(ends[-1])), np.uint32)])
+            self.ids[self.starts[-1] : ends[-1]] = list(chain.from_iterable(ids))
+            self.starts = np.concatenate([self.starts, ends])
+
+    def _simplified(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same tokens in fewer distinct words: lower case, and a blank before a mark that ends a word."""
+        if self.caseless and b"<|" not in data.tobytes():  # special strings are told apart by case
+            data = _LOWER[data]
+        if self.parts_marks and len(data) > 1:
+            mark = (data == 44) | (data == 46)
+            mark[1:] &= _LETTER[data[:-1]]
+            mark[:-1] &= _BLANK[data[1:]]
+            mark[0] = False
+            last = offsets[1:][(offsets[1:] > 1)] - 1
+            mark[last] = ((data[last] == 44) | (data[last] == 46)) & _LETTER[data[last - 1]]
+            begin = offsets[:-1][offsets[:-1] < len(data)]
+            mark[begin] = False
+            at = np.flatnonzero(mark)
+            data = np.insert(data, at, 32)
+            offsets = offsets + np.searchsorted(at, offsets)
+        return data, offsets
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind each other, and len+1 offsets into them."""
+        data, offsets = self._simplified(data, offsets)
         body, words, per_text = data.tobytes(), [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             found = body[a:b].split()  # at ASCII white space: no multi-byte character holds such a byte
@@ -64,10 +108,10 @@ class WordIds:
             words += found
         if len(self.codes) > _CACHED:
             self._clear()
-        new = list(dict.fromkeys([w for w in words if w not in self.codes]))
-        if new:
-            self._learn(new)
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        if self.codes.new:
+            self._learn(self.codes.new)
+            self.codes.new = []
         begins, sizes = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
         ends = np.cumsum(sizes)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
