@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import language_id, quality
@@ -13,6 +13,7 @@ from millrace.llm.common import held_out, prepare
 from millrace.llm.embedding_dedup import near_vectors
 from millrace.llm.inner_products import top_products
 from millrace.llm.minhash_dedup import near_duplicates
+from millrace.llm.mixing import Weights, mix, word_count
 from millrace.llm.packing import pack, tokenize
 from millrace.llm.sharding import shard, text_key
 from millrace.llm.token_counts import token_count
@@ -40,6 +41,92 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Target weights; names that are not listed have weight 1.
+MIX_WEIGHTS = Weights(
+    domain={"web": 5, "reference": 3, "books": 2},
+    language={"en": 5, "de": 2, "fr": 2},
+    source={"src0": 4, "src1": 2},
+)
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 2, 11
+
+
+def domain_of(source: Column) -> Column:
+    """The crawl is the web; sources of even number are reference works, all others books."""
+    return F.when(source == "src0", "web").when(source.rlike("^src[0-9]*[02468]$"), "reference").otherwise("books")
+
+
+def _weight_sql(name: str, weights: Mapping[str, int]) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+def _deal_sql(name: str, parent: str, budget: str, weights: Mapping[str, int]) -> str:
+    """CTEs that deal the budgets of ``parent`` (columns up to ``name``, excluded) to the children named ``name``."""
+    path = {"d": "d", "l": "d, l", "s": "d, l, s"}[name]
+    above = path.rpartition(", ")[0]
+    part = f"PARTITION BY {above} " if above else ""
+    join = f"JOIN {parent} USING ({above})" if above else f", {parent}"
+    return f"""
+c_{name} AS (
+  SELECT {path}, sum(supply) * {MIX_EPOCHS} AS cap, {_weight_sql(name, weights)} AS w FROM leaf GROUP BY {path}
+), o_{name} AS (
+  SELECT {", ".join("c." + x for x in path.split(", "))}, cap, w, {budget} AS b,
+    sum(w) OVER ({part}ORDER BY cap::DOUBLE / w DESC, {name} DESC) AS heavier,
+    coalesce(sum(cap) OVER ({part}ORDER BY cap::DOUBLE / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM c_{name} c {join}
+), b_{name} AS (
+  SELECT *, cap * heavier <= (b - before) * w AS fills FROM o_{name}
+), d_{name} AS (
+  SELECT {path}, CASE WHEN fills THEN cap ELSE (b - coalesce(sum(cap) FILTER (fills) OVER ({part.strip()}), 0)) * w
+    // sum(w) FILTER (NOT fills) OVER ({part.strip()}) END AS {name}_budget
+  FROM b_{name}
+)"""
+
+
+@query(f"""
+WITH t AS (
+  SELECT doc_id, CASE WHEN source = 'src0' THEN 'web' WHEN regexp_matches(source, '^src[0-9]*[02468]$') THEN 'reference'
+      ELSE 'books' END AS d, coalesce(lang, '(none)') AS l, coalesce(source, '(none)') AS s,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n
+  FROM documents
+), leaf AS (
+  SELECT d, l, s, sum(n)::HUGEINT AS supply FROM t GROUP BY d, l, s
+), total AS (
+  SELECT sum(supply) * {MIX_PERCENT} // 100 AS b FROM leaf
+), {_deal_sql("d", "total", "b", MIX_WEIGHTS.domain)},
+{_deal_sql("l", "d_d", "d_budget", MIX_WEIGHTS.language)},
+{_deal_sql("s", "d_l", "l_budget", MIX_WEIGHTS.source)},
+plan AS (
+  SELECT leaf.*, s_budget // supply AS epochs, s_budget % supply AS room FROM leaf JOIN d_s USING (d, l, s) WHERE supply > 0
+), e AS (
+  SELECT doc_id, d, l, s, n, room, epochs, unnest(range(0, epochs::BIGINT + 1))::INTEGER AS epoch FROM t JOIN plan USING (d, l, s)
+), k AS (
+  SELECT *, ('0x' || substr(md5('{MIX_SEED}|' || epoch || '|' || doc_id), 1, 15))::BIGINT AS o FROM e
+), r AS (
+  SELECT *, sum(n) OVER (PARTITION BY d, l, s, epoch ORDER BY o, doc_id::VARCHAR ROWS UNBOUNDED PRECEDING) AS reached FROM k
+)
+SELECT doc_id, d AS mix_domain, epoch AS mix_epoch, n AS mix_tokens, o AS mix_order
+FROM r WHERE epoch < epochs OR (room > 0 AND reached <= room)
+""")
+def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mix_documents(docs, MIX_EPOCHS).drop("text", "lang", "source")
+
+
+def mix_documents(docs: DataFrame, max_epochs: int) -> DataFrame:
+    return mix(
+        docs,
+        key=F.col("doc_id"),
+        domain=domain_of(F.col("source")),
+        language=F.col("lang"),
+        source=F.col("source"),
+        tokens=word_count(F.col("text")),
+        weights=MIX_WEIGHTS,
+        share_percent=MIX_PERCENT,
+        max_epochs=max_epochs,
+        seed=MIX_SEED,
+    )
+
+
 @query("""
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
