@@ -38,8 +38,8 @@ def _scores(queries: np.ndarray, candidates: np.ndarray, bound: float) -> np.nda
 
 
 def rotation(vectors: np.ndarray) -> np.ndarray:
-    """Right singular vectors, the strongest first."""
-    return np.linalg.svd(vectors, full_matrices=True)[2].T if len(vectors) else np.eye(vectors.shape[1])
+    """Right singular vectors, the strongest first: the eigenvectors of the Gram matrix of the components."""
+    return np.linalg.eigh(vectors.T @ vectors)[1][:, ::-1]
 
 
 class Best:
