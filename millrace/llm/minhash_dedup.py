@@ -7,8 +7,10 @@
   the 40 bands of 5 registers once in eight million.
 * A bucket's pairs are not listed.  In a few rounds every class is compared with one leader of the buckets it is in,
   the one it shares most bands with; links found join components.  What is left are buckets that hold several
-  components: their members are compared sketch by sketch inside tiles of bounded size, and only pairs of different
-  components that may reach the similarity leave the tile.
+  components.  Their members are compared sketch by sketch inside tiles of bounded size; classes of different
+  components that may reach the similarity fall into one cluster.  Each cluster's full sets then meet in tiles, which
+  multiply incidence matrices, so every pair is confirmed exactly and a tile returns at most one row per component.
+  Tiles within one component are left out: however large it is, only what may still join it is compared with it.
 * The similarity of a pair is estimated from its registers, corrected for accidental agreement; pairs that are more
   than five standard deviations below the threshold go, and all others are confirmed on their full sets.
 """
@@ -25,12 +27,15 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, utf8
 from millrace.llm.components import components
+from millrace.llm.vectors import groups
 from millrace.llm.words import mix, shingles, words
 from millrace.session import materialize
 
 REGISTERS, BAND, MANTISSA = 200, 5, 10
 ROUNDS = 3
-_TILE = 512
+_TILE = 2048  # sketches of one bucket that meet in a task, twice at most
+_CHUNK = 128  # full sets of one cluster, likewise
+_STRIPE, _PAIRS, _COLUMNS = 64, 1 << 16, 4096
 _BROADCAST_IDS = 1_000_000  # 16 MB of ids and classes
 _PROBES = np.random.default_rng(5).integers(0, REGISTERS, (400, REGISTERS))
 _FACTORS = np.random.default_rng(6).integers(1, 1 << 62, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,64 +173,142 @@ def _class_of(size: int):
     return F.arrow_udf(work, "long")
 
 
+def _texts_of(docs: DataFrame, key: str, text: str, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(class, text) of the ``wanted`` classes."""
+    wanted = materialize(wanted.distinct().join(classes.select("class", "id"), "class"))
+    if wanted.count() <= _BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    # An id may stand in rows of several texts: the class is worked out again.
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id")
+    return texts.where(_class_of(size)(F.col("text")) == F.col("class")).dropDuplicates(["class"]).select("class", "text")
+
+
 def _links(docs: DataFrame, key: str, text: str, classes: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) of classes that are links, written."""
     side = classes.select("class", "n", "registers")
     for x in ("a", "b"):
         pairs = pairs.join(side.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}")), x)
     likely = materialize(pairs.where(_plausible(percent)).select("a", "b"))
-    ends = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct()
-    wanted = materialize(ends.join(classes.select("class", "id"), "class"))
-    if wanted.count() <= _BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    # An id may stand in rows of several texts: the class is worked out again.
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id")
-    texts = texts.where(_class_of(size)(F.col("text")) == F.col("class")).dropDuplicates(["class"]).select("class", "text")
-    texts = materialize(texts)
+    ends = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class")))
+    texts = materialize(_texts_of(docs, key, text, classes, ends, size))
     for x in ("a", "b"):
         likely = likely.join(texts.select(F.col("class").alias(x), F.col("text").alias(f"text_{x}")), x)
     return materialize(likely.where(_confirmed(percent, size)).select("a", "b"))
 
 
-def _tile_pairs(percent: int):
-    """Pairs of different components in tiles: rows come sorted by tile."""
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        n, comp, chunk = (rows.column(c).to_numpy() for c in ("n", "component", "chunk"))
-        cls, registers = rows.column("class").to_numpy(), _matrix(rows.column("registers").combine_chunks())
-        same = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
-        found_a, found_b = [], []
-        for x in range(len(n)):
-            other = comp != comp[x]
-            other[: x + 1] = False
-            if not same:
-                other &= chunk != chunk[x]
-            y = np.flatnonzero(other & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
-            if len(y):
-                near = similarity(registers[y], registers[x], n[y], n[x : x + 1]) >= _least(np.minimum(n[y], n[x]), percent)
-                found_a.append(np.full(int(near.sum()), cls[x]))
-                found_b.append(cls[y[near]])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+def _set_of(size: int):
+    def work(texts: pa.Array) -> pa.Array:
+        return pa.array([h[c[i] : c[i + 1]].tobytes() for _, _, h, c in _sets(texts, size) for i in range(len(c) - 1)], pa.binary())
+
+    return F.arrow_udf(work, "binary")
+
+
+class _Forest:
+    """Union of numbered things."""
+
+    def __init__(self, size: int):
+        self.root = np.arange(size)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.root[a], self.root[b]
+        while (a != b).any():
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+            a, b = self.root[a], self.root[b]
+
+
+def _edges(names: np.ndarray, forest: _Forest) -> pa.RecordBatch:
+    """Rows (a, b) that join every thing with its root."""
+    a, b = names, names[forest.root]
+    joined = a != b
+    return pa.RecordBatch.from_arrays([pa.array(a[joined]), pa.array(b[joined])], ["a", "b"])
+
+
+def _plausible_edges(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """Joins classes of one bucket tile that lie in different components and may reach the threshold."""
+    n, component = rows.column("n").to_numpy(), rows.column("component").to_numpy()
+    registers, forest = _matrix(rows.column("registers").combine_chunks()), _Forest(len(rows))
+    # The largest component is compared with the others, never with itself.
+    names, sizes = np.unique(component, return_counts=True)
+    asking = np.flatnonzero(component != names[sizes.argmax()])
+    for first in range(0, len(asking), _STRIPE):
+        x = asking[first : first + _STRIPE]
+        small, large = np.minimum(n[x, None], n), np.maximum(n[x, None], n)
+        open_ = (component[x, None] != component) & (100 * small >= percent * large)
+        at, y = np.nonzero(open_)
+        for k in range(0, len(at), _PAIRS):
+            i, j = x[at[k : k + _PAIRS]], y[k : k + _PAIRS]
+            near = similarity(registers[i], registers[j], n[i], n[j]) >= _least(np.minimum(n[i], n[j]), percent)
+            forest.link(i[near], j[near])
+    return _edges(rows.column("class").to_numpy(), forest)
+
+
+def _confirmed_edges(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """Joins components of one cluster tile that hold classes whose full sets reach the threshold."""
+    sets = [np.frombuffer(x, np.int64) for x in rows.column("set").to_pylist()]
+    n, component = np.array([len(x) for x in sets]), rows.column("component").to_numpy()
+    names, at = np.unique(component, return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    found, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    useful = uses[column] > 1  # a shingle of one class is in no intersection
+    owner, column = owner[useful], (np.cumsum(uses > 1) - 1)[column[useful]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int((uses > 1).sum()), _COLUMNS):
+        a, b = np.searchsorted(column, [first, first + _COLUMNS])
+        has = np.zeros((len(sets), _COLUMNS), np.float32)
+        has[owner[a:b], column[a:b] - first] = 1
+        shared += has @ has.T
+    reach = 100 * shared >= percent * (n[:, None] + n - shared)
+    reach &= (shared > 0) & (component[:, None] != component)
+    x, y = np.nonzero(reach)
+    forest = _Forest(len(names))
+    forest.link(at[x], at[y])
+    return _edges(names, forest)
+
+
+def _tiled(tiles: DataFrame, keys: list[str], join, percent: int) -> DataFrame:
+    """Run ``join`` over each tile's rows; (a, b) pairs that join."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")])
-            cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, len(table)]
-            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-                part = table.slice(first, last - first)
-                if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("bucket", "i", "j")):
-                    yield pairs(pa.concat_tables(held))
-                    held = []
-                if len(part):
-                    held.append(part)
-        if held:
-            yield pairs(pa.concat_tables(held))
-
-    return work
+        for tile in groups(batches, keys):
+            yield join(tile, percent)
+
+    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "a long, b long")
+
+
+def _pairs_of_chunks(members: DataFrame, size: Column, rows: int) -> DataFrame:
+    """Deal each bucket's members to chunks of about ``rows`` and bring every two chunks together: columns i, j."""
+    chunks = F.ceil(size / rows).cast("int")
+    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("class"), chunks).cast("int"))
+    spread = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return spread.withColumn("i", F.least("chunk", "with")).withColumn("j", F.greatest("chunk", "with")).drop("with", "chunk")
+
+
+def _cluster_tiles(members: DataFrame) -> DataFrame:
+    """(cluster, class, component) dealt to tiles ``i``, ``j``; two chunks of one component do not meet.
+
+    A component of at least ``_CHUNK`` classes has chunks of its own, small ones share chunks.
+    """
+    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    small = sizes.where(F.col("size") < _CHUNK).groupBy("cluster").agg(F.sum("size").alias("small"))
+    sized = members.join(sizes, ["cluster", "component"]).join(small, "cluster", "left")
+    own = F.when(F.col("size") >= _CHUNK, F.col("component"))
+    of_own = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / _CHUNK))
+    of_small = F.pmod(F.xxhash64("component"), F.ceil(F.coalesce("small", F.lit(1)) / _CHUNK))
+    dealt = sized.select(
+        "cluster", "class", "component", own.alias("own"),
+        F.xxhash64(own, F.when(own.isNotNull(), of_own).otherwise(of_small)).alias("chunk"),
+    )
+    dealt = materialize(dealt)
+    chunks = dealt.select("cluster", "chunk", "own").distinct()
+    other = chunks.select("cluster", F.col("chunk").alias("j"), F.col("own").alias("own_j"))
+    both = chunks.withColumnRenamed("chunk", "i").withColumnRenamed("own", "own_i").join(other, "cluster")
+    both = both.where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("own_i") == F.col("own_j"), F.lit(False)))
+    both = both.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
+    return dealt.join(both, ["cluster", "chunk"]).select("cluster", "i", "j", "class", "component")
 
 
 class _Labels:
@@ -246,6 +329,31 @@ class _Labels:
         self.roots = materialize(renamed.unionByName(roots))
 
 
+def _settle(docs, key, text, classes, meetings, labels: _Labels, tested: DataFrame | None, percent: int, size: int) -> None:
+    """Find the links that the rounds left between components that meet in a bucket."""
+    held = labels.of(meetings, "class", "component")
+    mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    left = held.join(mixed.where(F.col("low") != F.col("high")).select("bucket"), "bucket")
+    # A bucket of two is a pair.
+    pairs = left.where(F.col("size") == 2).groupBy("bucket").agg(F.max("class").alias("a"), F.min("class").alias("b"))
+    pairs = pairs.select("a", "b").distinct()
+    pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    wide = left.where(F.col("size") > 2).join(classes.select("class", "n", "registers"), "class")
+    tiles = _pairs_of_chunks(wide, F.col("size"), _TILE).select("bucket", "i", "j", "class", "component", "n", "registers")
+    near = materialize(_tiled(tiles, ["bucket", "i", "j"], _plausible_edges, percent))
+    if not pairs.isEmpty():
+        labels.merge(_links(docs, key, text, classes, pairs, percent, size))
+    if near.isEmpty():
+        return
+    roots = components(near, "a", "b").select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    firsts = roots.select(F.col("cluster").alias("class"), "cluster").distinct()
+    members = labels.of(roots.unionByName(firsts), "class", "component")
+    meeting = _cluster_tiles(materialize(members))
+    sets = _texts_of(docs, key, text, classes, members.select("class"), size).select("class", _set_of(size)(F.col("text")).alias("set"))
+    confirmed = _tiled(meeting.join(materialize(sets), "class"), ["cluster", "i", "j"], _confirmed_edges, percent)
+    labels.merge(materialize(confirmed))
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: the key (long), n_shingles, component_id, kept.
 
@@ -270,7 +378,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int = 5
     meetings = materialize(members.join(shared, "bucket"))
     labels = _Labels(classes)
     tested = None
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS):
         held = labels.of(meetings, "class", "component")
         order = F.xxhash64(F.lit(turn), "class")
         mixed = (
@@ -283,34 +391,18 @@ def near_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int = 5
             .where(F.col("low") != F.col("high"))
             .select("bucket", "lead.b", "lead.leading")
         )
-        if turn < ROUNDS:
-            met = held.join(mixed, "bucket").where(F.col("component") != F.col("leading"))
-            by_leader = met.groupBy(F.col("class").alias("a"), "b").agg(F.count("*").alias("bands"))
-            best = by_leader.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("best")).select("a", "best.b")
-            pairs = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        else:
-            narrow = held.where(F.col("size") == 2).join(mixed.select("bucket"), "bucket").groupBy("bucket")
-            narrow = narrow.agg(F.max("class").alias("a"), F.min("class").alias("b")).select("a", "b")
-            wide = held.where(F.col("size") > 2).join(mixed.select("bucket"), "bucket")
-            chunks = F.ceil(F.col("size") / _TILE).cast("int")
-            wide = wide.withColumn("chunk", F.pmod(F.xxhash64("class"), chunks).cast("int"))
-            tiles = wide.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
-            tiles = tiles.withColumn("i", F.least("chunk", "with")).withColumn("j", F.greatest("chunk", "with"))
-            tiles = tiles.join(classes.select("class", "n", "registers"), "class")
-            tiles = tiles.select("bucket", "i", "j", "chunk", "class", "component", "n", "registers")
-            sorted_tiles = tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-            tiled = sorted_tiles.mapInArrow(_tile_pairs(percent), "a long, b long")
-            pairs = narrow.unionByName(tiled).distinct()
+        met = held.join(mixed, "bucket").where(F.col("component") != F.col("leading"))
+        by_leader = met.groupBy(F.col("class").alias("a"), "b").agg(F.count("*").alias("bands"))
+        best = by_leader.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("best")).select("a", "best.b")
+        pairs = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        links = _links(docs, key, text, classes, pairs, percent, shingle_words)
-        labels.merge(links)
+            continue
+        labels.merge(_links(docs, key, text, classes, pairs, percent, shingle_words))
         tested = pairs if tested is None else tested.unionByName(pairs)
+    _settle(docs, key, text, classes, meetings, labels, tested, percent, shingle_words)
     placed = labels.of(classes.select("class", "id"), "class", "component")
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     by_class = placed.join(least, "component").select("class", "component_id")
