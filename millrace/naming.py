@@ -67,5 +67,12 @@ def sort_keys(df: DataFrame, order_by: OrderBy, tie_break: bool = True, reverse:
     return [col(n).desc() if desc != reverse else col(n).asc() for n, desc in wanted]
 
 
+def row_hash(df: DataFrame, but: Iterable[str] = ()) -> Column:
+    """A fixed-width stand-in for all columns but ``but``, for range keys that Spark samples to the driver."""
+    left = set(but)
+    hashed = [col(f.name) for f in df.schema.fields if f.name not in left and sortable(f.dataType)]
+    return F.xxhash64(*hashed) if hashed else F.lit(0).cast("long")
+
+
 def order_names(order_by: OrderBy) -> list[str]:
     return [k if isinstance(k, str) else k[0] for k in order_by]

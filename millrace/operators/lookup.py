@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.naming import OrderBy, col, cols, order_names, require
-from millrace.operators.positions import BROADCAST_ROWS
 from millrace.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -110,7 +109,8 @@ def _by_pattern(text: Column, values: dict[str, str]) -> Column:
 
 
 def _literal(phrase: str) -> str:
-    return re.sub(r"([^\w\s])", r"\\\1", phrase, flags=re.ASCII) if phrase.isascii() else rf"\Q{phrase}\E"
+    """Every ASCII mark escaped; other characters mean themselves."""
+    return re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", phrase)
 
 
 def _by_substrings(df: DataFrame, phrases: DataFrame, find: str) -> DataFrame:
@@ -129,8 +129,7 @@ def _by_substrings(df: DataFrame, phrases: DataFrame, find: str) -> DataFrame:
     anchors = phrases.groupBy("__bits", "__hash").agg(F.collect_set("__size").alias("__sizes"))
     bits = sorted(r[0] for r in phrases.select("__bits").distinct().collect())  # some 30 at most
 
-    known = anchors.select("__hash").distinct().limit(BROADCAST_ROWS + 1).collect()
-    wanted = np.sort(np.array([r[0] for r in known], np.int64)) if len(known) <= BROADCAST_ROWS else None
+    wanted = df.sparkSession.sparkContext.broadcast(_prefilter(anchors.select("__hash")))
     grams = rows.select(F.col("__id").alias("__row"), col(find).alias("__text")).mapInPandas(
         _gram_lister(bits, wanted), "__row long, __at int, __gram_bits int, __gram long"
     )
@@ -202,21 +201,69 @@ def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(__bits=np.array(bits, np.int32), __hash=np.array(hashes, np.int64))
 
 
-def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Membership in a sorted array, at the cost of a binary search per value."""
-    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+def _prefilter(hashes: DataFrame) -> np.ndarray:
+    """A bit set in which every anchor's hash is marked: some 16 bits per anchor, 128 MB at most.
+
+    A hash that is not marked is no anchor's, so nothing is lost; few others pass, and
+    the join drops them.  Hashes stream through the driver one partition at a time.
+    """
+    size = 1 << min(30, max(16, (16 * hashes.count()).bit_length()))
+    marks = np.zeros(size // 8, np.uint8)
+    held = []
+
+    def mark() -> None:
+        bits = _slots(np.array(held, np.int64), size)
+        np.bitwise_or.at(marks, bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
+        held.clear()
+
+    for row in hashes.toLocalIterator(prefetchPartitions=True):
+        held.append(row[0])
+        if len(held) == 100_000:
+            mark()
+    mark()
+    return marks
+
+
+def _slots(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes ^ (hashes >> 32)) & (size - 1)
 
 
-def _gram_lister(bits: Sequence[int], wanted: np.ndarray | None):
-    """Lists (row, 1-based position, bits, hash) of all windows, or of those with a wanted hash."""
+def _marked(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    bits = _slots(hashes, 8 * len(marks))
+    return (marks[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
+
+
+_HITS = 50_000
+
+
+def _gram_lister(bits: Sequence[int], wanted):
+    """Lists (row, 1-based position, bits, hash) of the windows whose hash is marked in the broadcast ``wanted``."""
+
+    def frame_of(hits: list[tuple[int, np.ndarray, int, np.ndarray]]) -> pd.DataFrame:
+        counts = [len(at) for _, at, _, _ in hits]
+        return pd.DataFrame(
+            {
+                "__row": np.repeat([row for row, *_ in hits], counts),
+                "__at": np.concatenate([at + 1 for _, at, _, _ in hits]),
+                "__gram_bits": np.repeat([b for _, _, b, _ in hits], counts),
+                "__gram": np.concatenate([g for *_, g in hits]),
+            }
+        )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks, hits, rows = wanted.value, [], 0
         for frame in frames:
             frame = frame[frame["__text"].notna()]
             for row, hashes in zip(frame["__row"], _window_hashes(frame["__text"], bits), strict=True):
                 for b, found in zip(bits, hashes, strict=True):
-                    at = np.arange(len(found)) if wanted is None else np.flatnonzero(_among(found, wanted))
+                    at = np.flatnonzero(_marked(found, marks))
                     if len(at):
-                        yield pd.DataFrame({"__row": row, "__at": at + 1, "__gram_bits": b, "__gram": found[at]})
+                        hits.append((row, at, b, found[at]))
+                        rows += len(at)
+                if rows >= _HITS:
+                    yield frame_of(hits)
+                    hits, rows = [], 0
+        if hits:
+            yield frame_of(hits)
 
     return run

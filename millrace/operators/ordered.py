@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from millrace.naming import OrderBy, col, cols, expression, require, sort_keys
+from millrace.naming import OrderBy, col, cols, expression, order_names, require, row_hash, sort_keys
 from millrace.operators.positions import (
     BLOCK,
     HOT_ROWS,
@@ -99,7 +99,11 @@ def running_total(
     tie_break: bool = True,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Cumulative sum along the order, NULLs skipped."""
+    """Cumulative sum along the order, NULLs skipped.
+
+    Longs and decimals are exact.  The last bits of doubles depend on the order of
+    additions, which differs beyond ``hot_rows``: sum decimals where they matter.
+    """
     name = alias or f"RunTot_{column}"
     order = sort_keys(df, order_by, tie_break)
 
@@ -108,22 +112,29 @@ def running_total(
         return part.withColumn(name, F.sum(col(column)).over(frame))
 
     def on_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
-        frame = block_window(group_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        carried = carry_into_blocks(
-            with_block(rows, block_rows),
-            group_by,
-            F.sum(col(column)),
-            lambda total, earlier: F.sum(total).over(earlier),
-            "__before",
-        )
-        inside = F.sum(col(column)).over(frame)
-        kind = df.select(F.sum(col(column)).alias("s")).schema["s"].dataType
-        total = F.coalesce(inside + F.col("__before"), inside, F.col("__before")).cast(kind)
-        return carried.withColumn(name, total).drop("__before")
+        return sum_over_blocks(rows, column, group_by, block_rows, name)
 
     return in_ordered_groups(df, group_by, order, on_window, on_blocks, hot_rows)
 
 
+def sum_over_blocks(
+    rows: DataFrame, column: str, group_by: Sequence[str], block_rows: int, name: str
+) -> DataFrame:
+    """The cumulative sum over rows with positions: each block adds its own to what earlier blocks carry."""
+    frame = block_window(group_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = carry_into_blocks(
+        with_block(rows, block_rows),
+        group_by,
+        F.sum(col(column)),
+        lambda total, earlier: F.sum(total).over(earlier),
+        "__before",
+    )
+    inside = F.sum(col(column)).over(frame)
+    kind = rows.select(F.sum(col(column)).alias("s")).schema["s"].dataType
+    total = F.coalesce(inside + F.col("__before"), inside, F.col("__before")).cast(kind)
+    return carried.withColumn(name, total).drop("__before")
+
+
 def fill_down(
     df: DataFrame,
     column: str,
@@ -167,12 +178,15 @@ def record_id(
     """Dense ids ``start, start + 1, ...`` over the whole table in ``order_by``.
 
     Rows are range-partitioned and numbered per partition; no task sees the whole
-    table, unlike ``row_number()`` over an unpartitioned window.
+    table, unlike ``row_number()`` over an unpartitioned window.  With ``tie_break``
+    rows that tie are ordered by a hash of their other columns, then by these.
     """
     if not order_by:
         raise ValueError("record_id needs order_by; use row_tag where any unique id will do")
-    order = sort_keys(df, order_by, tie_break)
-    rows = numbered(df, [], order, df.count(), rows_per_partition)
+    keys = sort_keys(df, order_by, tie_break=False)
+    dealt = [*keys, row_hash(df, order_names(order_by))] if tie_break else keys
+    order = [*dealt, *sort_keys(df, order_by, tie_break)[len(keys) :]]
+    rows = numbered(df, [], order, df.count(), rows_per_partition, dealt)
     return rows.withColumn(column, F.col(POSITION) + F.lit(start).cast("long")).drop(POSITION)
 
 

@@ -84,10 +84,18 @@ def partitions_for(rows: int, rows_per_partition: int) -> int:
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], total_rows: int, rows_per_partition: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    total_rows: int,
+    rows_per_partition: int = HOT_ROWS,
+    range_keys: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Add ``__position``: 0, 1, 2 ... within each group, in ``order``.
 
+    Range keys are sampled to the driver; where ``order`` ends in wide columns, ``range_keys``
+    names the narrow beginning of it by which rows are dealt out.
+
     One range shuffle sorts the rows, a scratch copy pins that layout (range
     bounds are sampled, so a second evaluation could differ), and the start of
     each group within each partition turns partition offsets into positions.
@@ -97,7 +105,7 @@ def numbered(
     parts = min(partitions_for(total_rows, rows_per_partition), RANGE_PARTITIONS)
     layout = [*[col(k).asc() for k in keys], *order, F.col(_TAG).asc()]
     stored = materialize(
-        tagged.repartitionByRange(parts, *layout)
+        tagged.repartitionByRange(parts, *(layout if range_keys is None else [*layout[: len(keys)], *range_keys, F.col(_TAG).asc()]))
         .sortWithinPartitions(*layout)
         .withColumn(_PART, F.spark_partition_id())
         .withColumn(_OFFSET_IN_PART, F.monotonically_increasing_id().bitwiseAND(F.lit(_PART_ROW_MASK)))

@@ -39,12 +39,14 @@ def compare_counts(source: DataFrame, target: DataFrame) -> DataFrame:
 def column_checksum(name: str) -> Column:
     """Order-independent checksum of a column, NULLs included, salted with its name.
 
-    Hash values are summed as decimals: no overflow, and no cancelling of pairs.
+    Hash values are summed as decimals of 38 digits: no cancelling of pairs, and no
+    overflow below 10^19 rows, even where they all hold the same value.
     """
-    return F.coalesce(
-        F.sum(F.xxhash64(F.lit(name), col(name).isNull(), col(name)).cast("decimal(20,0)")),
-        F.lit(0).cast("decimal(30,0)"),
-    )
+    return F.coalesce(F.sum(_hash_value(name)), F.lit(0).cast("decimal(38,0)"))
+
+
+def _hash_value(name: str) -> Column:
+    return F.xxhash64(F.lit(name), col(name).isNull(), col(name)).cast("decimal(28,0)")
 
 
 def column_checksums(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -7,26 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from millrace.naming import OrderBy, cols, sort_keys
+from millrace.naming import OrderBy, cols, order_names, row_hash, sort_keys
 from millrace.operators.positions import HOT_ROWS, POSITION, in_ordered_groups, numbered
-from millrace.session import with_row_tag
 
-_TOP_K = 100_000  # rows a single task may hold for a global first/last N
+_TOP_K = 10_000  # up to here every task's first N go to one; beyond, rows are numbered
 _GROUP_TOP_K = 1000  # up to here Spark trims groups before the shuffle
 
 
 def sort(df: DataFrame, order_by: OrderBy, tie_break: bool = True) -> DataFrame:
     """Total sort; NULLs first ascending, last descending.
 
-    With ``tie_break`` a value held by a third of the rows still spreads over
-    many range partitions, because the remaining columns and a row tag follow it.
+    With ``tie_break`` rows that tie are ordered by a hash of their other columns, then
+    by these; so a value held by a third of the rows spreads over many range
+    partitions, and no text is a range key.
     """
     if not order_by:
         return df
-    keys = sort_keys(df, order_by, tie_break)
+    keys = sort_keys(df, order_by, tie_break=False)
     if not tie_break:
         return df.orderBy(*keys)
-    return with_row_tag(df, "__tag").orderBy(*keys, "__tag").drop("__tag")
+    dealt = [*keys, row_hash(df, order_names(order_by))]
+    return df.repartitionByRange(*dealt).sortWithinPartitions(*dealt, *sort_keys(df, order_by)[len(keys) :])
 
 
 def sample(
@@ -46,7 +47,8 @@ def sample(
     if not group_by:
         if n <= _TOP_K:
             return df.orderBy(*order).limit(n)
-        return numbered(df, [], order, df.count()).where(F.col(POSITION) < n).drop(POSITION)
+        first = numbered(df, [], order, df.count()).where(F.col(POSITION) < n).drop(POSITION)
+        return first.orderBy(*order)
 
     def on_window(part: DataFrame, window: WindowSpec) -> DataFrame:
         ranked = part.withColumn("__rank", F.row_number().over(window))

@@ -13,15 +13,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.naming import OrderBy, all_equal, col, cols, require, sort_keys
+from millrace.operators.ordered import sum_over_blocks
 from millrace.operators.positions import (
     BLOCK,
     POSITION,
+    in_ordered_groups,
     numbered,
     split_by_group_size,
     with_block,
@@ -130,9 +132,17 @@ def multi_row_fold(
     between decay.  A NULL part counts as its default.
 
     Such steps compose into steps of the same kind, so a group of any size is
-    folded block by block in parallel.
+    folded block by block in parallel.  The result is a double.
+
+    Without ``scale``, ``low`` and ``high`` the fold is ``init`` plus a running total: Spark
+    computes it as such, in the type that sums of ``shift`` have, so longs and decimals
+    stay exact.
     """
     require(df, group_by)
+    if scale is None and low is None and high is None:
+        step = F.expr(shift) if isinstance(shift, str) else shift
+        order = sort_keys(df, order_by, tie_break)
+        return _additive_fold(df, field, init, step, group_by, order, group_rows)
     parts_of_step = {
         "__scale": (scale, 1.0),
         "__shift": (shift, 0.0),
@@ -159,6 +169,24 @@ def multi_row_fold(
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
 
 
+def _additive_fold(df, field, init, step, group_by, order, group_rows) -> DataFrame:
+    kind = df.select(F.sum(step).alias("s")).schema["s"].dataType
+    start = F.lit(init).cast(kind)
+    stepped = df.withColumn("__step", F.coalesce(step, F.lit(0).cast(df.select(step.alias("s")).schema["s"].dataType)))
+
+    def on_window(part: DataFrame, window: WindowSpec) -> DataFrame:
+        frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return part.withColumn("__fold", (F.sum("__step").over(frame) + start).cast(kind))
+
+    def on_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+        total = sum_over_blocks(rows, "__step", group_by, block_rows, "__sum")
+        return total.withColumn("__fold", (F.col("__sum") + start).cast(kind)).drop("__sum")
+
+    out = in_ordered_groups(stepped, group_by, order, on_window, on_blocks, group_rows)
+    kept = [c for c in df.columns if c != field]
+    return out.select(*cols(kept), F.col("__fold").alias(field))
+
+
 _STEP_STATE = "a double, b double, lo double, hi double, value double"
 
 

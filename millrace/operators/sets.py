@@ -67,10 +67,6 @@ def except_all(a: DataFrame, b: DataFrame) -> DataFrame:
     return _repeat(surplus, names)
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    return df.distinct()
-
-
 def _surplus_copies(df: DataFrame) -> DataFrame:
     counted = df.groupBy(*cols(df.columns)).agg((F.count(F.lit(1)) - 1).alias("__n")).where(F.col("__n") > 0)
     return _repeat(counted, df.columns)

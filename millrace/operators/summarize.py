@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.naming import OrderBy, all_equal, col, cols, require, sort_keys
+from millrace.operators.ordered import dedupe_by_key
 from millrace.operators.positions import BLOCK, POSITION, numbered, split_by_group_size, with_block
 
 CONCAT_ROWS = 100_000
@@ -87,12 +88,9 @@ def count_records(df: DataFrame) -> DataFrame:
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """The latest row per key, as a partial aggregation over whole rows."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*cols(rest))
-    rank = F.struct(*cols(order_by), *cols(c for c in rest if c not in order_by))
-    latest = df.groupBy(*cols(keys)).agg(F.max_by(row, rank).alias("__row"))
-    return latest.select(*cols(keys), "__row.*").select(*cols(df.columns))
+    """The latest row per key; of rows that tie the one with the largest remaining columns."""
+    rest = [c for c in df.columns if c not in keys and c not in order_by]
+    return dedupe_by_key(df, keys, [*order_by, *rest])
 
 
 def category_counts(df: DataFrame, category: str, alias: str = "count") -> DataFrame:
@@ -121,9 +119,13 @@ def _all_small(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
 
 def _with_split_concat(df, keys, aggs, limit):
     """Concatenate hot groups block by block; only the finished text meets in one row."""
-    out = summarize(df, list(keys.items()), [a for a in aggs if a.func != "concat"], None)
-    if not out.columns:
-        raise AssertionError("no columns")
+    others = [a for a in aggs if a.func != "concat"]
+    if others:
+        out = summarize(df, list(keys.items()), others, None)
+    elif keys:
+        out = df.select(*[col(k).alias(name) for k, name in keys.items()]).distinct()
+    else:
+        out = count_records(df)
     for a in (a for a in aggs if a.func == "concat"):
         text = _concat_blocks(df, list(keys), a, limit)
         named = {k: f"__concat_{i}" for i, k in enumerate(keys)}

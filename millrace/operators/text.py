@@ -30,11 +30,11 @@ DATE_SPECIFIERS = {
 
 
 def text_to_columns(
-    df: DataFrame, column: str, delimiter: str, n: int, prefix: str | None = None, extra: str = "drop"
+    df: DataFrame, column: str, delimiter: str, n: int, prefix: str | None = None, extra: str = "last"
 ) -> DataFrame:
     """Split into ``prefix1 .. prefixN``; missing parts are NULL.
 
-    Surplus parts are dropped, or with ``extra="last"`` stay unsplit in the last column.
+    Surplus parts stay unsplit in the last column, or with ``extra="drop"`` are left out.
     """
     if extra not in ("drop", "last"):
         raise ValueError(f"extra must be 'drop' or 'last', not {extra!r}")
@@ -76,11 +76,20 @@ def regex_tokenize(
 
 
 def regex_tokenize_columns(
-    df: DataFrame, column: str, pattern: str, n: int, prefix: str | None = None, group: int = 0
+    df: DataFrame,
+    column: str,
+    pattern: str,
+    n: int,
+    prefix: str | None = None,
+    group: int = 0,
+    extra: str | None = None,
 ) -> DataFrame:
-    """The first ``n`` matches into ``prefix1 .. prefixN``."""
+    """The first ``n`` matches into ``prefix1 .. prefixN``; ``extra`` names an array of all further ones."""
     tokens = F.regexp_extract_all(col(column), F.lit(pattern), F.lit(group))
-    return df.withColumns({f"{prefix or column}{i + 1}": F.get(tokens, F.lit(i)) for i in range(n)})
+    parts = {f"{prefix or column}{i + 1}": F.get(tokens, F.lit(i)) for i in range(n)}
+    if extra:
+        parts[extra] = F.slice(tokens, n + 1, F.greatest(F.size(tokens) - n, F.lit(0)))
+    return df.withColumns(parts)
 
 
 def spark_date_format(fmt: str) -> str:
@@ -99,9 +108,9 @@ def spark_date_format(fmt: str) -> str:
 
 
 def parse_datetime(
-    df: DataFrame, column: str, fmt: str, to: str = "date", alias: str | None = None, on_error: str = "null"
+    df: DataFrame, column: str, fmt: str, to: str = "date", alias: str | None = None, on_error: str = "fail"
 ) -> DataFrame:
-    """Text to date or timestamp; unreadable text is NULL, or an error with ``on_error="fail"``."""
+    """Text to date or timestamp; unreadable text is an error, or NULL with ``on_error="null"``."""
     if to not in ("date", "timestamp"):
         raise ValueError(f"to must be 'date' or 'timestamp', not {to!r}")
     pattern = F.lit(spark_date_format(fmt))

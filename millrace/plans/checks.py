@@ -1,9 +1,8 @@
-"""Parity, profile and layer-check queries, and generated rows."""
+"""Parity, profile and layer-check queries."""
 
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.operators.columns import add_audit_columns, select_columns
 from millrace.operators.quality import (
@@ -15,7 +14,6 @@ from millrace.operators.quality import (
     null_profile,
     parity_report,
     row_parity,
-    synthetic,
     validate,
 )
 from millrace.operators.sets import union_all
@@ -205,34 +203,3 @@ def layer_checks(t):
     silver = union_all(bronze, bronze.where("o_orderkey % 50 = 0"))
     gold = summarize(silver, ["o_custkey"], [Agg("o_totalprice", "max", "largest")])
     return check_layers(bronze, silver, gold, ["o_orderkey"], ["o_custkey"])
-
-
-@query("""
-SELECT count(*) AS n, cast(ceil(count(*) / 3.0) AS bigint) AS ids, 7::bigint AS names, true AS ints_in_range, true AS floats_in_range,
-       true AS days_in_range, true AS nulls_near_a_tenth, 0::bigint AS missing_ids
-FROM orders
-""")
-def synthetic_stats(t):
-    """As many generated rows as there are orders, and the properties they must have."""
-    schema = T.StructType(
-        [
-            T.StructField("id_key", T.IntegerType(), False, {"key": True}),
-            T.StructField("name_key", T.StringType(), False, {"key": True}),
-            T.StructField("whole", T.IntegerType()),
-            T.StructField("part", T.DoubleType()),
-            T.StructField("day", T.DateType()),
-            T.StructField("label", T.StringType()),
-        ]
-    )
-    rows = synthetic(t.spark, schema, t.orders.count())
-    nulls = F.count_if(F.col("label").isNull()) / F.count(F.lit(1))
-    return rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("id_key").alias("ids"),
-        F.count_distinct("name_key").alias("names"),
-        F.bool_and(F.col("whole").between(-1000, 1000)).alias("ints_in_range"),
-        F.bool_and(F.col("part").between(-1000, 1000) & (F.round("part", 2) == F.col("part"))).alias("floats_in_range"),
-        F.bool_and(F.col("day").between("2020-01-01", "2029-12-29")).alias("days_in_range"),
-        nulls.between(0.05, 0.15).alias("nulls_near_a_tenth"),
-        F.count_if(F.col("id_key").isNull()).alias("missing_ids"),
-    )

@@ -331,3 +331,30 @@ def quarter_label(t):
             ("kind", fn.iif(~fn.is_empty(status), "Internal", "External")),
         ],
     ).select("o_orderkey", "quarter_year", "kind")
+
+
+@query("""
+SELECT event_id, true AS now_is_now, true AS today_is_today, upper(left(event_type, 1)) || substring(event_type, 2) AS title,
+       event_type || '-' || event_id AS joined, cast(floor(value + 0.5) AS bigint) AS whole, round(log2(value + 1), 9) AS bits,
+       cast(strftime(ts, '%Y-%m-%d') AS date) AS day_read, cast(date_trunc('day', ts) AS timestamp) AS stamp_read,
+       cast(ts AS date) + 3 AS later, [event_type, 'x'] AS pair
+FROM events
+""")
+def fn_more(t):
+    """The clock, title case, concatenation, casts, logarithms and reading of dates."""
+    ts, kind = F.col("ts"), F.col("event_type")
+    day = fn.date_format(ts, "yyyy-MM-dd")
+    now, today = fn.date_time_now(), fn.date_time_today()
+    return t.events.select(
+        "event_id",
+        ((now <= F.current_timestamp()) & (now > F.lit("2024-01-01").cast("timestamp"))).alias("now_is_now"),
+        (today.cast("date") == F.current_date()).alias("today_is_today"),
+        fn.title_case(kind).alias("title"),
+        fn.concat(kind, F.lit("-"), fn.to_string(F.col("event_id"))).alias("joined"),
+        fn.cast(fn.floor(F.col("value") + 0.5), "bigint").alias("whole"),
+        fn.round(fn.log(2.0, F.col("value") + 1), 9).alias("bits"),
+        fn.to_date(day, "yyyy-MM-dd").alias("day_read"),
+        fn.to_timestamp(day, "yyyy-MM-dd").cast("timestamp_ntz").alias("stamp_read"),
+        fn.date_add(fn.date(ts), 3).alias("later"),
+        fn.array(kind, F.lit("x")).alias("pair"),
+    )

@@ -9,7 +9,7 @@ from millrace.operators.joins import append_fields, join, join_anchors
 from millrace.operators.lookup import find_replace
 from millrace.operators.sets import union_all
 from millrace.operators.summarize import Agg, summarize
-from millrace.plans.registry import query
+from millrace.plans.registry import ORACLES, query
 from millrace.sources.readers import inline_table
 
 
@@ -50,10 +50,10 @@ def sales_summary(t):
 
 
 def _sides(t):
-    """Orders and the solvent customers, some of their keys missing."""
+    """All orders and the solvent customers; some keys are missing, and on either side some have no match."""
     orders = t.orders.select(
         "o_orderkey",
-        F.when(F.col("o_custkey") % 10 != 3, F.col("o_custkey")).alias("cust"),
+        F.when(F.col("o_custkey") % 10 != 3, F.when(F.col("o_custkey") % 7 == 2, -F.col("o_custkey")).otherwise(F.col("o_custkey"))).alias("cust"),
         "o_totalprice",
         F.col("o_orderstatus").alias("status"),
     )
@@ -64,7 +64,7 @@ def _sides(t):
 
 
 _SIDES = """
-WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 3 THEN o_custkey END AS cust, o_totalprice, o_orderstatus AS status
+WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 3 THEN CASE WHEN o_custkey % 7 = 2 THEN -o_custkey ELSE o_custkey END END AS cust, o_totalprice, o_orderstatus AS status
            FROM orders),
      c AS (SELECT nullif(c_custkey, 5) AS key, c_name, c_mktsegment AS status FROM customer WHERE c_acctbal > 0)
 """
@@ -92,17 +92,29 @@ def join_left(t):
 _SHOWN = _BOTH.replace("cust,", "coalesce(cust, key) AS cust,")
 
 
-@query(f"{_SIDES} SELECT {_SHOWN} FROM o RIGHT JOIN c ON cust IS NOT DISTINCT FROM key AND o_totalprice > 200000")
+@query(f"{_SIDES} SELECT {_SHOWN} FROM o RIGHT JOIN c ON cust IS NOT DISTINCT FROM key")
 def join_right(t):
     orders, customers = _sides(t)
-    return join(orders.where("o_totalprice > 200000"), customers, ["cust"], ["key"], how="right")
+    return join(orders, customers, ["cust"], ["key"], how="right")
 
 
-@query(f"""{_SIDES} SELECT {_SHOWN} FROM (SELECT * FROM o WHERE o_totalprice > 200000) o
-FULL JOIN c ON cust IS NOT DISTINCT FROM key""")
+@query(f"""{_SIDES} SELECT {_SHOWN} FROM o FULL JOIN c ON cust IS NOT DISTINCT FROM key""")
 def join_full(t):
     orders, customers = _sides(t)
-    return join(orders.where("o_totalprice > 200000"), customers, ["cust"], ["key"], how="full")
+    return join(orders, customers, ["cust"], ["key"], how="full")
+
+
+@query(ORACLES["join_left"])
+def join_left_split(t):
+    """Put together from an inner and an anti join, as for hot keys."""
+    orders, customers = _sides(t)
+    return join(orders, customers, ["cust"], ["key"], how="left", hot_rows=0)
+
+
+@query(ORACLES["join_full"])
+def join_full_split(t):
+    orders, customers = _sides(t)
+    return join(orders, customers, ["cust"], ["key"], how="full", hot_rows=0)
 
 
 @query(f"{_SIDES} SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM c WHERE cust IS NOT DISTINCT FROM key)")
@@ -112,22 +124,22 @@ def join_left_only(t):
 
 
 @query(f"""{_SIDES} SELECT * FROM c
-WHERE NOT EXISTS (SELECT 1 FROM o WHERE cust IS NOT DISTINCT FROM key AND o_totalprice > 300000)""")
+WHERE NOT EXISTS (SELECT 1 FROM o WHERE cust IS NOT DISTINCT FROM key)""")
 def join_right_only(t):
     orders, customers = _sides(t)
-    return join_anchors(orders.where("o_totalprice > 300000"), customers, ["cust"], ["key"]).right_only
+    return join_anchors(orders, customers, ["cust"], ["key"]).right_only
 
 
-@query(f"""{_SIDES}, big AS (SELECT * FROM o WHERE o_totalprice > 300000)
-SELECT 'joined' AS anchor, count(*) AS rows FROM big JOIN c ON cust IS NOT DISTINCT FROM key
+@query(f"""{_SIDES}
+SELECT 'joined' AS anchor, count(*) AS rows FROM o JOIN c ON cust IS NOT DISTINCT FROM key
 UNION ALL
-SELECT 'left_only', count(*) FROM big WHERE NOT EXISTS (SELECT 1 FROM c WHERE cust IS NOT DISTINCT FROM key)
+SELECT 'left_only', count(*) FROM o WHERE NOT EXISTS (SELECT 1 FROM c WHERE cust IS NOT DISTINCT FROM key)
 UNION ALL
-SELECT 'right_only', count(*) FROM c WHERE NOT EXISTS (SELECT 1 FROM big WHERE cust IS NOT DISTINCT FROM key)
+SELECT 'right_only', count(*) FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE cust IS NOT DISTINCT FROM key)
 """)
 def join_three_ways(t):
     orders, customers = _sides(t)
-    out = join_anchors(orders.where("o_totalprice > 300000"), customers, ["cust"], ["key"])
+    out = join_anchors(orders, customers, ["cust"], ["key"])
     return union_all(
         *[df.agg(F.lit(name).alias("anchor"), F.count(F.lit(1)).alias("rows")) for name, df in out._asdict().items()]
     )
@@ -163,6 +175,12 @@ def append_rows(t):
     return append_fields(t.customer, t.region)
 
 
+@query(ORACLES["append_rows"])
+def append_rows_chunked(t):
+    """A source too large to ship: it meets the target by chunk and slice."""
+    return append_fields(t.customer, t.region, broadcast_rows=2)
+
+
 _SEGMENTS = [("BUILDING", "construction", 2), ("BUILDING", "building trade", 1), ("MACHINERY", "machines", 1),
              ("HOUSEHOLD", None, 1), (None, "nothing", 1), ("TOYS", "toys", 1)]
 _SEGMENTS_SQL = """(VALUES ('BUILDING', 'construction', 2), ('BUILDING', 'building trade', 1), ('MACHINERY', 'machines', 1),

@@ -11,7 +11,7 @@ from millrace.operators.filters import filter_true
 from millrace.operators.formulas import with_formulas
 from millrace.operators.relate import lineage_edges
 from millrace.operators.scripts import compose, map_groups, map_pandas, scan_groups
-from millrace.plans.registry import query
+from millrace.plans.registry import ORACLES, query
 
 
 @query("""
@@ -36,7 +36,7 @@ SELECT event_id, user_id, ts, cast(sum(starts) OVER (PARTITION BY user_id ORDER
 FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts
       FROM events)
 """)
-def script_groups(t):
+def script_groups(t, **limits):
     """Visits: a user's events without a pause above six hours, numbered in order."""
     pause = _PAUSE_US
 
@@ -70,9 +70,16 @@ def script_groups(t):
         "first long, last long, visits long",
         T.StructType([*events.schema.fields, T.StructField("visit", T.LongType())]),
         tie_break=False,
+        **limits,
     )
 
 
+@query(ORACLES["script_groups"])
+def script_groups_cut(t):
+    """Groups cut into blocks of a few rows."""
+    return script_groups(t, group_rows=3)
+
+
 @query("""
 SELECT conv_id, turn, role, cast(sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS bigint) AS switches
 FROM (SELECT *, coalesce(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn), false) AS changed FROM conversations)

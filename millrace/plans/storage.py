@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from millrace.operators.columns import add_audit_columns, select_columns
 from millrace.operators.formulas import with_formulas
 from millrace.operators.joins import join
+from millrace.operators.sets import union_all
 from millrace.operators.summarize import Agg, summarize
-from millrace.plans.registry import query
+from millrace.plans.registry import ORACLES, query
 from millrace.session import scratch_path
 from millrace.sources.layers import medallion
 from millrace.sources.readers import (
@@ -20,7 +21,7 @@ from millrace.sources.readers import (
     read_query,
     read_table,
 )
-from millrace.sources.writers import read_latest, upsert, write_path
+from millrace.sources.writers import read_latest, upsert, write_path, write_table
 from millrace.streaming.changes import append_stream, apply_changes, read_stream
 
 
@@ -65,15 +66,21 @@ def listed_files(t):
 @query("""
 SELECT event_id, user_id, value, event_type = 'click' AS clicked FROM events WHERE event_type IN ('click', 'view')
 """)
-def read_many_files(t):
+def read_many_files(t, **limits):
     """Files named by a list of paths; the path tells what they hold."""
     path = scratch_path(t.spark, "many")
     write_path(select_columns(t.events, ["event_id", "user_id", "value", "event_type"]), path, partition_by=["event_type"])
     listed = list_files(t.spark, path, glob="*.parquet").where("path like '%=click/%' or path like '%=view/%'")
-    rows = read_many(t.spark, listed.select("path"), fmt="parquet", path_column="file")
+    rows = read_many(t.spark, listed.select("path"), fmt="parquet", path_column="file", **limits)
     return rows.select("event_id", "user_id", "value", F.col("file").contains("=click/").alias("clicked"))
 
 
+@query(ORACLES["read_many_files"])
+def read_many_scans(t):
+    """One listed path per scan."""
+    return read_many_files(t, max_paths=1)
+
+
 @query("SELECT o_orderkey, o_totalprice * 2 AS doubled FROM orders WHERE o_orderstatus = 'F'")
 def query_source(t):
     return read_query(
@@ -145,6 +152,53 @@ def upsert_rows(t):
     return read_latest(t.spark, path)
 
 
+@query("""
+SELECT o_orderkey, max(o_totalprice) AS price, (arg_min(status, (-rank, status))) AS status FROM (
+  SELECT o_orderkey, o_totalprice, 'A' || o_orderstatus AS status, 1 AS rank FROM orders
+  UNION ALL SELECT o_orderkey, o_totalprice, 'B' || o_orderstatus, 1 FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, o_totalprice, 'C', 2 FROM orders WHERE o_orderkey % 5 = 0) GROUP BY o_orderkey
+""")
+def upsert_batches(t):
+    """Ties included, the same changes give the same table in one batch and in three."""
+    def state(order, label):
+        orders = t.orders.select("o_orderkey", F.col("o_totalprice").alias("price"), "o_orderstatus")
+        parts = [
+            orders.select("o_orderkey", "price", F.concat(F.lit("A"), "o_orderstatus").alias("status"), F.lit(1).alias("rank")),
+            orders.where("o_orderkey % 3 = 0").select(
+                "o_orderkey", "price", F.concat(F.lit("B"), "o_orderstatus").alias("status"), F.lit(1).alias("rank")
+            ),
+            orders.where("o_orderkey % 5 = 0").select("o_orderkey", "price", F.lit("C").alias("status"), F.lit(2).alias("rank")),
+        ]
+        path = scratch_path(t.spark, label)
+        for batch in [[parts[i] for i in group] for group in order]:
+            upsert(t.spark, union_all(*batch), path, ["o_orderkey"], "rank")
+        return read_latest(t.spark, path).drop("rank")
+
+    at_once, one_by_one = state([[0, 1, 2]], "once"), state([[1], [2], [0]], "parts")
+    return at_once.intersect(one_by_one)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def write_tables(t):
+    """A catalog table, overwritten and then appended to."""
+    name = "millrace_" + scratch_path(t.spark, "t").rpartition("-")[2]
+    orders = select_columns(t.orders, ["o_orderkey", "o_totalprice", "o_orderstatus"])
+    write_table(orders.where("o_orderstatus = 'P'"), name, fmt="parquet")
+    write_table(orders, name, fmt="parquet")
+    write_table(orders.where("o_orderstatus = 'F'"), name, mode="append", fmt="parquet")
+    return read_table(t.spark, name).select("o_orderkey", "o_totalprice")
+
+
+@query("""
+SELECT c_custkey, c_name FROM customer
+WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) OR c_name LIKE '%7'
+""")
+def exists_or_ends(t):
+    """A subquery beside another condition."""
+    text = "SELECT c_custkey, c_name FROM {c} WHERE EXISTS (SELECT 1 FROM {o} WHERE o_custkey = c_custkey AND o_totalprice > 300000) OR endswith(c_name, '7')"
+    return read_query(t.spark, text, {"c": t.customer, "o": t.orders})
+
+
 @query("""
 SELECT c_mktsegment, cast(sum(cast(o_totalprice AS decimal(18, 2))) AS double) AS "TotalSales", count(*) AS "TransactionCount"
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY c_mktsegment

@@ -6,7 +6,7 @@ from millrace.operators.columns import select_columns
 from millrace.operators.reshape import cross_tab, transpose
 from millrace.operators.sets import except_all, union_all, unique
 from millrace.operators.summarize import Agg, category_counts, count_records, latest_by, summarize
-from millrace.plans.registry import query
+from millrace.plans.registry import ORACLES, query
 
 
 def _rounded(df, places, *names):
@@ -94,6 +94,17 @@ def concat_group(t):
     )
 
 
+@query("""
+SELECT o_custkey, string_agg(nullif(o_orderpriority, '5-LOW'), '|' ORDER BY o_orderdate, o_orderkey) AS priorities
+FROM orders GROUP BY o_custkey
+""")
+def concat_alone(t):
+    """Nothing but concatenation, block by block."""
+    orders = t.orders.withColumn("priority", F.nullif("o_orderpriority", F.lit("5-LOW")))
+    joined = Agg("priority", "concat", "priorities", ("o_orderdate", "o_orderkey"), sep="|")
+    return summarize(orders, ["o_custkey"], [joined], concat_rows=3)
+
+
 @query('SELECT count(*) AS "Count" FROM lineitem')
 def count_rows(t):
     return count_records(t.lineitem)
@@ -141,6 +152,19 @@ def duplicates(t):
     return unique(t.lineitem, ["l_orderkey"], ["l_shipdate"]).duplicates
 
 
+@query(ORACLES["duplicates"])
+def duplicates_hot(t):
+    return unique(t.lineitem, ["l_orderkey"], ["l_shipdate"], hot_rows=2).duplicates
+
+
+@query("SELECT l_returnflag, approx AS near FROM (SELECT l_returnflag, true AS approx FROM lineitem GROUP BY l_returnflag)")
+def approximate_distinct(t):
+    """The approximate count lies within a tenth of the exact one."""
+    aggs = [Agg("l_orderkey", "countDistinct", "about", approx=True), Agg("l_orderkey", "countDistinct", "exact")]
+    out = summarize(t.lineitem, ["l_returnflag"], aggs)
+    return out.select("l_returnflag", (F.col("about") / F.col("exact")).between(0.9, 1.1).alias("near"))
+
+
 @query("SELECT DISTINCT l_suppkey, l_returnflag, l_linenumber FROM lineitem")
 def unique_rows(t):
     return unique(select_columns(t.lineitem, ["l_suppkey", "l_returnflag", "l_linenumber"])).unique

@@ -23,7 +23,7 @@ SELECT p_partkey, p_name, p[1] AS word1, p[2] AS word2, p[3] AS word3
 FROM (SELECT *, string_split(p_name, ' ') AS p FROM part)
 """)
 def split_cols(t):
-    return text_to_columns(select_columns(t.part, ["p_partkey", "p_name"]), "p_name", " ", 3, prefix="word")
+    return text_to_columns(select_columns(t.part, ["p_partkey", "p_name"]), "p_name", " ", 3, prefix="word", extra="drop")
 
 
 @query("""
@@ -60,13 +60,13 @@ def regex_repl(t):
     return regex_replace(select_columns(t.documents, ["doc_id", "text"]), "text", "[0-9]+", "#")
 
 
-@query("""
+@query(r"""
 SELECT doc_id, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS at
-FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS tokens FROM documents)
+FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}0-9]+') AS tokens FROM documents)
 """)
 def regex_tokens(t):
     rows = regex_tokenize(
-        select_columns(t.documents, ["doc_id", "text"]), "text", "[A-Za-z0-9]+", alias="token", position="at"
+        select_columns(t.documents, ["doc_id", "text"]), "text", r"[\p{L}0-9]+", alias="token", position="at"
     )
     return rows.select("doc_id", "token", F.col("at").cast("long").alias("at"))
 
@@ -99,33 +99,33 @@ def parse_dt(t):
     """Dates written as text, those of pending orders unreadable."""
     text = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise("to be fixed")
     written = t.orders.select("o_orderkey", text.alias("text"))
-    parsed = parse_datetime(written, "text", "%d/%m/%Y", to="date", alias="day")
-    parsed = parse_datetime(parsed, "text", "%d/%m/%Y", to="timestamp", alias="stamp")
+    parsed = parse_datetime(written, "text", "%d/%m/%Y", to="date", alias="day", on_error="null")
+    parsed = parse_datetime(parsed, "text", "%d/%m/%Y", to="timestamp", alias="stamp", on_error="null")
     return parsed.select("o_orderkey", "day", F.col("stamp").cast("timestamp_ntz").alias("stamp"))
 
 
 def _tagged(t):
-    return t.documents.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tags"))
+    return t.documents.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("tags"))
 
 
 _ASKED = ["the", "and", "on", "is", "le", "la", "des", "by"]
 _ASKED_SQL = "[" + ", ".join(f"'{w}'" for w in _ASKED) + "]"
 
 
-@query(f"""
+@query(rf"""
 SELECT doc_id, score FROM (
   SELECT doc_id, len(list_intersect(tags, {_ASKED_SQL}))
          / (len(tags) + len({_ASKED_SQL}) - len(list_intersect(tags, {_ASKED_SQL}))) AS score
-  FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS tags FROM documents))
+  FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '\p{{L}}+')) AS tags FROM documents))
 WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20
 """)
 def similar_tags(t):
     return similar_sets(_tagged(t), "doc_id", "tags", _ASKED, k=20).select("doc_id", "score")
 
 
-@query("""
+@query(r"""
 SELECT tag, count(*) AS count FROM (
-  SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS tag FROM documents) GROUP BY tag
+  SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) AS tag FROM documents) GROUP BY tag
 """)
 def tag_totals(t):
     return tag_counts(_tagged(t), "tags")

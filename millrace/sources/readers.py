@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from os.path import commonprefix
+from itertools import islice
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,38 +57,31 @@ def read_many(
     max_paths: int = 100_000,
     **options: str,
 ) -> DataFrame:
-    """Many files in one scan; missing columns are NULL. ``path_column`` names each row's file.
+    """Many files; missing columns are NULL. ``path_column`` names each row's file.
 
-    The list may come from a DataFrame with one string column.  A scan needs its
-    paths on the driver, so up to ``max_paths`` are collected; a longer list stays
-    distributed, and selects the files from a scan of the folder they share.
+    The list may come from a DataFrame with one string column.  Entries mean what they
+    mean to Spark's readers, however many there are: files, folders and globs are read,
+    one that does not exist is an error.  A scan keeps its file listing on the driver,
+    so a list is read ``max_paths`` entries at a time, and the scans are united.
     """
-    longer = None
+    if max_paths < 1:
+        raise ValueError("max_paths must be at least 1")
     if isinstance(paths, DataFrame):
-        listed = paths.select(col(paths.columns[0]).alias("__listed")).distinct()
-        found = [r[0] for r in listed.limit(max_paths + 1).collect()]
-        longer = listed if len(found) > max_paths else None
-        paths = sorted(found)
-    if not paths:
+        listed = paths.select(col(paths.columns[0]).alias("__listed")).distinct().orderBy("__listed")
+        found = (r[0] for r in listed.toLocalIterator())
+    else:
+        found = iter(paths)
+    out, known = None, fmt
+    while chunk := list(islice(found, max_paths)):
+        known = known or _extension(chunk[0])
+        merge = {"mergeSchema": "true"} if schema is None and known in ("parquet", "orc") else {}
+        df = read_files(spark, chunk, known, schema, **{**merge, **options})
+        if path_column:
+            df = df.withColumn(path_column, F.col("_metadata.file_path"))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
         raise ValueError("no paths to read")
-    known = fmt or _extension(paths[0])
-    merge = {"mergeSchema": "true"} if schema is None and known in ("parquet", "orc") else {}
-    options = {**merge, **options}
-    if longer is None:
-        df = read_files(spark, paths, known, schema, **options)
-        return df.withColumn(path_column, F.col("_metadata.file_path")) if path_column else df
-    first, last = longer.agg(F.min("__listed"), F.max("__listed")).first()
-    folder = commonprefix([first, last]).rpartition("/")[0]
-    df = read_files(spark, folder, known, schema, recursiveFileLookup="true", **options)
-    df = df.withColumn("__file", F.col("_metadata.file_path"))
-    wanted = longer.select(_bare_path(F.col("__listed")).alias("__wanted")).distinct()
-    df = df.join(wanted, _bare_path(F.col("__file")) == F.col("__wanted"), "left_semi")
-    return df.withColumnRenamed("__file", path_column) if path_column else df.drop("__file")
-
-
-def _bare_path(path: Column) -> Column:
-    """A path without its scheme and leading slashes, which different listings write differently."""
-    return F.regexp_replace(path, "^([A-Za-z0-9+.-]+:)?/*", "")
+    return out
 
 
 def inline_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
@@ -111,15 +104,20 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None, recursiv
     )
 
 
-def read_csv_strings(spark: SparkSession, path: str | Sequence[str], **options: str) -> DataFrame:
+def read_csv_strings(
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, **options: str
+) -> DataFrame:
     """A CSV export with every column as text.
 
     Header names are trimmed, cells missing at the end of a short row are ``''``,
-    surplus cells are cut, and a file without a header line is an error.
+    surplus cells are cut, and a file without a header line is an error.  So is a file
+    whose header differs from the others', and one that repeats a name.
+
+    Large files are read by many tasks.  Where cells hold line breaks ``multi_line`` is
+    needed, and each file is read by one.
     """
-    reader = spark.read.options(
-        **{"header": "true", "inferSchema": "false", "multiLine": "true", "escape": '"', **options}
-    )
+    fixed = {"header": "true", "inferSchema": "false", "enforceSchema": "false", "escape": '"'}
+    reader = spark.read.options(**{**fixed, "multiLine": str(multi_line).lower(), **options})
     # an unquoted empty cell is '' like a missing one, so both NULLs mean ''
     raw = reader.csv(path if isinstance(path, str) else list(path))
     names = [c.strip().lstrip("﻿") for c in raw.columns]

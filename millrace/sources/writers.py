@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.naming import all_equal, col, cols, require
+from millrace.naming import all_equal, col, cols, quote, require, sortable
 from millrace.operators.ordered import dedupe_by_key
 
 WRITE_MODES = ("overwrite", "append")
@@ -59,8 +59,10 @@ def merge_rows(
 ) -> DataFrame:
     """``target`` after the changes in ``source``: update where the key exists, else insert.
 
-    Of several changes to a key the latest by ``sequence_by`` counts, and a stored
-    row that is newer than the change stays, so replayed or late batches do no harm.
+    Of several changes to a key the latest by ``sequence_by`` counts, and of those that
+    tie the one with the smallest remaining columns.  The same holds against the stored
+    row, so the result does not depend on how changes are cut into batches, and replayed
+    or late batches do no harm.  Without ``sequence_by`` the batch always wins.
     ``target`` holds one row per key.
 
     The changes are reduced to one row per key first; where that makes them small,
@@ -80,7 +82,11 @@ def merge_rows(
     applies = F.col("__change").isNotNull()
     if sequence_by:
         stored, new = col(sequence_by), F.col("__change").getField(sequence_by)
-        applies &= stored.isNull() | F.coalesce(new >= stored, F.lit(False))
+        ties = [c for c in rest if c != sequence_by and sortable(target.schema[c].dataType)]
+        smaller = F.lit(False)
+        if ties:
+            smaller = F.struct(*[F.col("__change").getField(c).alias(c) for c in ties]) < F.struct(*cols(ties))
+        applies &= stored.isNull() & new.isNotNull() | F.coalesce(new > stored, F.lit(False)) | new.eqNullSafe(stored) & smaller
     updated = target.join(change, same, "left").select(
         *[
             col(c) if c in keys else F.when(applies, F.col("__change").getField(c)).otherwise(col(c)).alias(c)
@@ -148,7 +154,7 @@ def merge_into(source: DataFrame, table: str, keys: Sequence[str]) -> None:
     ``source`` must hold one row per key.
     """
     changes = source.alias("changes")
-    same = all_equal((F.col(f"{table}.{k}"), F.col(f"changes.{k}")) for k in keys)
+    same = all_equal((F.col(f"{table}.{quote(k)}"), F.col(f"changes.{quote(k)}")) for k in keys)
     changes.mergeInto(table, same).whenMatched().updateAll().whenNotMatched().insertAll().merge()
 
 

@@ -96,8 +96,8 @@ def test_transpose_and_cross_tab(spark):
 
 def test_splitting(spark):
     df = spark.createDataFrame([("a.b.c.d",), ("x",), ("",), (None,)], "t string")
-    assert rows(text_to_columns(df, "t", ".", 2, prefix="p"), "p1", "p2") == [(None, None), ("", None), ("a", "b"), ("x", None)]
-    assert text_to_columns(df, "t", ".", 3, extra="last").first()["t3"] == "c.d"
+    assert rows(text_to_columns(df, "t", ".", 2, prefix="p", extra="drop"), "p1", "p2") == [(None, None), ("", None), ("a", "b"), ("x", None)]
+    assert text_to_columns(df, "t", ".", 3).first()["t3"] == "c.d"
     assert rows(text_to_rows(df, "t", ".", position="at")) == [
         (None, None), ("", 1), ("a", 1), ("b", 2), ("c", 3), ("d", 4), ("x", 1),
     ]
@@ -117,11 +117,11 @@ def test_dates(spark):
     assert spark_date_format("%d of %B %Y, %H:%M") == "dd' of 'MMMM yyyy, HH:mm".replace("' of '", " 'of' ")
     assert spark_date_format("yyyy-MM") == "yyyy-MM"
     df = spark.createDataFrame([("31.12.2024 23:05",), ("soon",), (None,)], "t string")
-    assert rows(parse_datetime(df, "t", "%d.%m.%Y %H:%M", alias="d"), "d") == [(None,), (None,), (date(2024, 12, 31),)]
+    assert rows(parse_datetime(df, "t", "%d.%m.%Y %H:%M", alias="d", on_error="null"), "d") == [(None,), (None,), (date(2024, 12, 31),)]
     stamp = parse_datetime(df, "t", "%d.%m.%Y %H:%M", to="timestamp").first()[0]
     assert stamp == datetime(2024, 12, 31, 23, 5)
     with pytest.raises(Exception, match="CANNOT_PARSE|could not be parsed"):
-        parse_datetime(df, "t", "%d.%m.%Y %H:%M", on_error="fail").collect()
+        parse_datetime(df, "t", "%d.%m.%Y %H:%M").collect()
     with pytest.raises(ValueError):
         spark_date_format("%Q")
 
