@@ -15,6 +15,7 @@ from millrace.operators.positions import (
     BROADCAST_ROWS,
     HOT_ROWS,
     fits_broadcast,
+    heavy_keys,
     partitions_for,
     row_bytes,
 )
@@ -178,8 +179,7 @@ def _has_hot_key(side: tuple[DataFrame, list[str]], hot_rows: int | None) -> boo
     if hot_rows is None:
         return False
     df, keys = side
-    sizes = df.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias("__size"))
-    return not sizes.where(F.col("__size") > hot_rows).isEmpty()
+    return not heavy_keys(df, keys, hot_rows).isEmpty()
 
 
 def _renamed(df: DataFrame, names: dict[str, str], taken: Sequence[str]) -> DataFrame:

@@ -43,10 +43,16 @@ class HotSplit:
     hot: DataFrame | None
     hot_rows: int
     hot_groups: int
+    key_bytes: int = 0
+
+    def pieces_fit_broadcast(self, rows_per_piece: int) -> bool:
+        """Whether one row per hot group and per ``rows_per_piece`` hot rows may be shipped to every task."""
+        pieces = self.hot_groups + partitions_for(self.hot_rows, rows_per_piece)
+        return fits_broadcast(pieces, pieces * (64 + self.key_bytes // max(1, self.hot_groups)))
 
 
 def split_by_group_size(df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS) -> HotSplit:
-    """Count the groups (one aggregation over the key columns) and divide the rows.
+    """Find the groups above ``hot_rows`` and divide the rows.
 
     ``hot_rows=None`` skips the count for callers who know their groups are small.
     ``df`` is evaluated more than once, so it must be deterministic.
@@ -56,7 +62,7 @@ def split_by_group_size(df: DataFrame, keys: Sequence[str], hot_rows: int | None
     if not keys:
         total = df.count()
         return HotSplit(df, None, 0, 0) if total <= hot_rows else HotSplit(None, df, total, 1)
-    sizes = df.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias(_SIZE)).where(F.col(_SIZE) > hot_rows)
+    sizes = heavy_keys(df, keys, hot_rows)
     groups, rows, key_bytes = sizes.agg(
         F.count(F.lit(1)), F.sum(_SIZE), F.sum(row_bytes(keys))
     ).first()
@@ -67,7 +73,29 @@ def split_by_group_size(df: DataFrame, keys: Sequence[str], hot_rows: int | None
     if fits_broadcast(groups, key_bytes):
         hot_keys = F.broadcast(hot_keys)
     same = all_equal((col(k), F.col(a)) for k, a in renamed.items())
-    return HotSplit(df.join(hot_keys, same, "left_anti"), df.join(hot_keys, same, "left_semi"), rows, groups)
+    return HotSplit(df.join(hot_keys, same, "left_anti"), df.join(hot_keys, same, "left_semi"), rows, groups, key_bytes)
+
+
+_SAMPLED_KEYS = 0.01
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows and their exact ``__size``.
+
+    Large limits are looked for in a sample of the key columns first: of a key with
+    100 000 rows a hundredth shows up, and only keys seen half as often are counted.
+    """
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias(_SIZE))
+
+    narrow = df.select(*cols(dict.fromkeys(keys)))
+    if limit >= BROADCAST_ROWS:
+        seen = counted(narrow.sample(_SAMPLED_KEYS, seed=1)).where(F.col(_SIZE) > limit * _SAMPLED_KEYS / 2)
+        named = {k: f"__seen_{i}" for i, k in enumerate(keys)}
+        seen = materialize(seen.select(*[col(k).alias(a) for k, a in named.items()]))
+        same = all_equal((col(k), F.col(a)) for k, a in named.items())
+        narrow = narrow.join(seen, same, "left_semi")
+    return counted(narrow).where(F.col(_SIZE) > limit)
 
 
 def row_bytes(names: Sequence[str]) -> Column:
@@ -90,11 +118,13 @@ def numbered(
     total_rows: int,
     rows_per_partition: int = HOT_ROWS,
     range_keys: Sequence[Column] | None = None,
+    ship_offsets: bool = False,
 ) -> DataFrame:
     """Add ``__position``: 0, 1, 2 ... within each group, in ``order``.
 
     Range keys are sampled to the driver; where ``order`` ends in wide columns, ``range_keys``
-    names the narrow beginning of it by which rows are dealt out.
+    names the narrow beginning of it by which rows are dealt out.  ``ship_offsets`` tells
+    that the groups are known to be so few that their pieces may be broadcast.
 
     One range shuffle sorts the rows, a scratch copy pins that layout (range
     bounds are sampled, so a second evaluation could differ), and the start of
@@ -122,6 +152,8 @@ def numbered(
         F.col(_START),
     )
     same = (F.col(_PART) == F.col("__piece_part")) & all_equal((col(k), F.col(a)) for k, a in renamed.items())
+    if ship_offsets:
+        offsets = F.broadcast(offsets)
     return (
         stored.join(offsets, same)
         .withColumn(POSITION, F.col(_OFFSET_IN_PART) - F.col(_START))
@@ -164,7 +196,8 @@ def in_ordered_groups(
     if parts.cold is not None:
         results.append(on_window(parts.cold, Window.partitionBy(*cols(keys)).orderBy(*order)))
     if parts.hot is not None:
-        rows = numbered(parts.hot, keys, order, parts.hot_rows, hot_rows)
+        few = parts.pieces_fit_broadcast(hot_rows)
+        rows = numbered(parts.hot, keys, order, parts.hot_rows, hot_rows, ship_offsets=few)
         results.append(on_blocks(rows, hot_rows).drop(POSITION, BLOCK))
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
 

@@ -121,25 +121,46 @@ def _key_value(func: str, column: str, side: Column) -> Column:
 def parity_report(
     source: DataFrame, target: DataFrame, keys: Sequence[str], values: Sequence[str], func: str = "sum"
 ) -> DataFrame:
-    """One row per check with its outcome, and a last one, ``all``, for the whole gate."""
-    counts = compare_counts(source, target).select(
-        F.lit("row_count").alias("check"), F.lit("*").alias("column"), F.col("matches").alias("passed")
-    )
-    sums = compare_checksums(source, target, [*keys, *values]).select(
-        F.lit("checksum").alias("check"), "column", F.col("matches").alias("passed")
-    )
-    differing = compare_key_aggregates(source, target, keys, values, func)
-    by_key = differing.agg(
-        *[(F.count_if(F.col("column") == v) == 0).alias(v) for v in values]
-    ).unpivot([], cols(values), "column", "passed").select(
-        F.lit("key_aggregate").alias("check"), "column", "passed"
+    """One row per check with its outcome, and a last one, ``all``, for the whole gate.
+
+    Each side is read once: row counts and checksums are the sums of what each key
+    contributes, and a key's aggregates differ or not.
+    """
+    if func not in _KEY_FUNCS:
+        raise ValueError(f"unknown aggregate {func!r}; have {sorted(_KEY_FUNCS)}")
+    names = list(dict.fromkeys([*keys, *values]))
+    for side in (source, target):
+        require(side, names)
+    is_source, none = F.col("__source"), F.lit(0).cast("decimal(38,0)")
+    by_key = _both(source, target, names).groupBy(*cols(keys)).agg(
+        F.count_if(is_source).alias("__in_source"),
+        F.count_if(~is_source).alias("__in_target"),
+        *[
+            F.sum(F.when(is_source, _hash_value(c)).otherwise(-_hash_value(c))).alias(f"__balance_{i}")
+            for i, c in enumerate(names)
+        ],
+        *[_key_value(func, c, is_source).alias(f"__source_{i}") for i, c in enumerate(values)],
+        *[_key_value(func, c, ~is_source).alias(f"__target_{i}") for i, c in enumerate(values)],
     )
-    checks = counts.unionByName(sums).unionByName(by_key)
-    return checks.groupingSets(
-        [[F.col("check"), F.col("column")], []], F.col("check"), F.col("column")
-    ).agg(F.bool_and("passed").alias("passed")).select(
-        F.coalesce("check", F.lit("all")).alias("check"), F.coalesce("column", F.lit("*")).alias("column"), "passed"
+    one_sided = (F.col("__in_source") == 0) | (F.col("__in_target") == 0)
+    zero = F.lit(0).cast("long")
+    outcomes = by_key.agg(
+        (F.coalesce(F.sum("__in_source"), zero) == F.coalesce(F.sum("__in_target"), zero)).alias("rows"),
+        *[(F.coalesce(F.sum(f"__balance_{i}"), none) == none).alias(f"sum_{i}") for i in range(len(names))],
+        *[
+            (F.count_if(one_sided | ~_close(F.col(f"__source_{i}"), F.col(f"__target_{i}"))) == 0).alias(f"key_{i}")
+            for i in range(len(values))
+        ],
     )
+    checks = [("row_count", "*", F.col("rows"))]
+    checks += [("checksum", c, F.col(f"sum_{i}")) for i, c in enumerate(names)]
+    checks += [("key_aggregate", c, F.col(f"key_{i}")) for i, c in enumerate(values)]
+    every = checks[0][2]
+    for _, _, passed in checks[1:]:
+        every &= passed
+    checks.append(("all", "*", every))
+    listed = [F.struct(F.lit(k).alias("check"), F.lit(c).alias("column"), p.alias("passed")) for k, c, p in checks]
+    return outcomes.select(F.explode(F.array(*listed)).alias("__check")).select("__check.*")
 
 
 def row_parity(migrated: DataFrame, expected: DataFrame, ignore: Sequence[str] = ()) -> RowParity:
@@ -208,6 +229,7 @@ def validate(df: DataFrame) -> DataFrame:
     ).withColumn("passed", F.col("row_count") > 0)
 
 
+# First day and days of generated dates (fixed values).
 _EPOCH = "2020-01-01"
 _DAYS = 3650
 

@@ -68,9 +68,9 @@ def test_snake_case(spark):
 
 
 def test_audit_columns(spark):
-    df = spark.createDataFrame([(1, "a")], ["id", "name"])
+    df = spark.createDataFrame([(7, "pine")], ["tree", "kind"])
     out = add_audit_columns(df, "desk")
-    assert out.columns == ["id", "name", "_ingested_at", "_source_system"]
+    assert out.columns == ["tree", "kind", "_ingested_at", "_source_system"]
     fixed = add_audit_columns(df, "desk", datetime(2024, 1, 2, 3)).first()
     assert fixed["_source_system"] == "desk" and fixed["_ingested_at"] == datetime(2024, 1, 2, 3)
 
