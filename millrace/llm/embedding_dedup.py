@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
+from millrace.llm.forest import Forest
 from millrace.llm.vectors import groups, matrix, packed, usable
 from millrace.session import materialize, with_row_tag
 
-BLOCK_ROWS, LEAST_BLOCKS = 32_768, 16
+BLOCK_ROWS, LEAST_BLOCKS = 32_768, 8
 _STRIPE = 512
 _PAIRS = 1 << 16
 _SLACK = 1e-9  # double rounding in scales and errors
@@ -38,21 +39,6 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return unit, codes, scale, error
 
 
-class _Forest:
-    """Components of one tile's classes."""
-
-    def __init__(self, size: int):
-        self.root = np.arange(size)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = self.root[a], self.root[b]
-        while (a != b).any():
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
-            while (again := self.root[self.root] != self.root).any():
-                self.root = np.where(again, self.root[self.root], self.root)
-            a, b = self.root[a], self.root[b]
-
-
 def _tile(rows: pa.Table, threshold: float) -> pa.RecordBatch:
     dimension, block = rows.column("dimension")[0].as_py(), rows.column("block").to_numpy()
     i, j = (rows.column(c)[0].as_py() for c in ("i", "j"))
@@ -65,7 +51,7 @@ def _tile(rows: pa.Table, threshold: float) -> pa.RecordBatch:
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
     right = right[np.argsort(scale[right])]
-    counts, forest = np.zeros(len(rows), np.int64), _Forest(len(rows))
+    counts, forest = np.zeros(len(rows), np.int64), Forest(len(rows))
     for c in range(0, len(right), 4 * _STRIPE):
         there = right[c : c + 4 * _STRIPE]
         widest, worst = scale[there].max(), error[there].max()

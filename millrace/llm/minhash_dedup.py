@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, utf8
 from millrace.llm.components import components
+from millrace.llm.forest import Forest
 from millrace.llm.vectors import groups
 from millrace.llm.words import mix, shingles, words
 from millrace.session import materialize
@@ -203,22 +204,7 @@ def _set_of(size: int):
     return F.arrow_udf(work, "binary")
 
 
-class _Forest:
-    """Union of numbered things."""
-
-    def __init__(self, size: int):
-        self.root = np.arange(size)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = self.root[a], self.root[b]
-        while (a != b).any():
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
-            while (self.root[self.root] != self.root).any():
-                self.root = self.root[self.root]
-            a, b = self.root[a], self.root[b]
-
-
-def _edges(names: np.ndarray, forest: _Forest) -> pa.RecordBatch:
+def _edges(names: np.ndarray, forest: Forest) -> pa.RecordBatch:
     """Rows (a, b) that join every thing with its root."""
     a, b = names, names[forest.root]
     joined = a != b
@@ -228,7 +214,7 @@ def _edges(names: np.ndarray, forest: _Forest) -> pa.RecordBatch:
 def _plausible_edges(rows: pa.Table, percent: int) -> pa.RecordBatch:
     """Joins classes of one bucket tile that lie in different components and may reach the threshold."""
     n, component = rows.column("n").to_numpy(), rows.column("component").to_numpy()
-    registers, forest = _matrix(rows.column("registers").combine_chunks()), _Forest(len(rows))
+    registers, forest = _matrix(rows.column("registers").combine_chunks()), Forest(len(rows))
     # The largest component is compared with the others, never with itself.
     names, sizes = np.unique(component, return_counts=True)
     asking = np.flatnonzero(component != names[sizes.argmax()])
@@ -264,7 +250,7 @@ def _confirmed_edges(rows: pa.Table, percent: int) -> pa.RecordBatch:
     reach = 100 * shared >= percent * (n[:, None] + n - shared)
     reach &= (shared > 0) & (component[:, None] != component)
     x, y = np.nonzero(reach)
-    forest = _Forest(len(names))
+    forest = Forest(len(names))
     forest.link(at[x], at[y])
     return _edges(names, forest)
 

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import fresh
 from millrace.session import materialize
 
-FANOUT = 32
+FANOUT = 32  # parts that a round cuts an open interval into
+PROBES = 200_000  # that a round asks for at most, unless there are more splitters
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -83,7 +84,8 @@ def _crossings(df: DataFrame, column: str, size: str, targets: list[int]) -> dic
         open_ = [t for _, _, t in wanted]
         spans = sorted({(lo, hi) for lo, hi, _ in wanted})
         # searchsorted(side="right") starts an interval at its probe: lo + 1 ... hi cut [lo, hi] anew.
-        steps = [lo + 1 + (hi - lo - 1) * k // FANOUT for lo, hi in spans for k in range(FANOUT + 1)]
+        fanout = max(2, min(FANOUT, PROBES // max(1, len(spans))))
+        steps = [lo + 1 + (hi - lo - 1) * k // fanout for lo, hi in spans for k in range(fanout + 1)]
         # One probe at each span's start keeps what lies before it apart.
         probes = np.unique(np.array(steps + [lo for lo, _ in spans] + [hi + 1 for _, hi in spans if hi < _HIGH], np.int64))
     return done
@@ -118,7 +120,7 @@ def shard(
     tie: Column,
     size: Column,
     tolerance: float = 0.01,
-    part_bytes: int = 256 << 20,
+    part_bytes: int = 1 << 30,
 ) -> DataFrame:
     """Every row of ``df`` with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 within the shard).
 
