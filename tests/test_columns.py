@@ -57,12 +57,12 @@ def test_column_mistakes_are_errors(sales):
 
 
 def test_snake_case(spark):
-    names = ["CustomerID", "HTTPStatus Code", "already_snake", "Order[Total Price]", "lineNo2"]
+    names = ["BatchID", "HTTPStatus Code", "already_snake", "Order[Total Price]", "lineNo2"]
     assert [snake_case(n) for n in names] == [
-        "customer_id", "http_status_code", "already_snake", "order_total_price", "line_no2",
+        "batch_id", "http_status_code", "already_snake", "order_total_price", "line_no2",
     ]
-    one = spark.createDataFrame([(1,)], ["CustomerID"])
-    assert standardize_column_names(one).columns == ["customer_id"]
+    one = spark.createDataFrame([(1,)], ["BatchID"])
+    assert standardize_column_names(one).columns == ["batch_id"]
     with pytest.raises(ValueError, match="repeated"):
         standardize_column_names(spark.createDataFrame([(1, 2)], ["Cust ID", "custId"]))
 
