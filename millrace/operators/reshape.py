@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.naming import col, cols, require
+from millrace.operators.summarize import Agg, summarize
 
 _CROSS_TAB_FUNCS = {
     "sum": F.sum,
@@ -47,13 +48,19 @@ def cross_tab(
     func: str = "sum",
     headers: Sequence[object] | None = None,
     order_by: Sequence[str] = (),
+    sep: str = ",",
 ) -> DataFrame:
     """One row per key, one column per header value, aggregated with ``func``.
 
     Give ``headers`` where they are known: it fixes the columns and saves the job
-    that lists them.  ``first`` and ``last`` follow ``order_by``.
+    that lists them; without, more of them than ``spark.sql.pivotMaxValues`` (10 000)
+    are an error.  ``first``, ``last`` and ``concat`` (with ``sep``) follow ``order_by``.
     """
     require(df, [*keys, header, value])
+    if func == "concat":
+        # every cell's text is put together first, which divides the rows of a large cell
+        df = summarize(df, [*keys, header], [Agg(value, "concat", "__cell", tuple(order_by), sep)])
+        value, func = "__cell", "max"
     return df.groupBy(*cols(keys)).pivot(header, list(headers) if headers is not None else None).agg(
         _cell(value, func, order_by)
     )

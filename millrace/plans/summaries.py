@@ -225,3 +225,24 @@ def cross_tab_listed(t):
     orders = t.orders.withColumn("price", F.col("o_totalprice").cast("decimal(18,2)"))
     out = cross_tab(orders, ["o_orderstatus"], "o_orderpriority", "price")
     return out.select("o_orderstatus", *[F.col(f"`{c}`").cast("double").alias(c) for c in out.columns[1:]])
+
+
+@query("""
+SELECT o_custkey, string_agg(o_orderkey::varchar, '+' ORDER BY o_orderdate, o_orderkey) FILTER (o_orderstatus = 'F') AS "F",
+       string_agg(o_orderkey::varchar, '+' ORDER BY o_orderdate, o_orderkey) FILTER (o_orderstatus = 'O') AS "O",
+       string_agg(o_orderkey::varchar, '+' ORDER BY o_orderdate, o_orderkey) FILTER (o_orderstatus = 'P') AS "P"
+FROM orders GROUP BY o_custkey
+""")
+def cross_tab_concat(t):
+    order = ["o_orderdate", "o_orderkey"]
+    return cross_tab(t.orders, ["o_custkey"], "o_orderstatus", "o_orderkey", "concat", ["F", "O", "P"], order, sep="+")
+
+
+@query("""
+SELECT o_custkey, arg_min(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F') AS "F",
+       arg_min(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'O') AS "O"
+FROM orders GROUP BY o_custkey
+""")
+def cross_tab_first(t):
+    order = ["o_orderdate", "o_orderkey"]
+    return cross_tab(t.orders, ["o_custkey"], "o_orderstatus", "o_totalprice", "first", ["F", "O"], order)
