@@ -5,9 +5,8 @@
   zeros and ``MANTISSA`` further bits.  Empty registers of small sets copy another one, chosen by a fixed probing order.
 * Registers are banded; classes that agree in a band meet in its bucket.  A pair of similarity 0.8 meets in none of
   the 40 bands of 5 registers once in eight million.
-* A bucket's pairs are not listed.  In a few rounds every class is compared with one leader of the buckets it is in,
-  the one it shares most bands with; links found join components.  What is left are buckets that hold several
-  components.  Their members are compared sketch by sketch inside tiles of bounded size; classes of different
+* A bucket's pairs are not listed.  Every class is compared with one leader, the first class of its buckets with which
+  it shares most bands; links found join components.  What is left are buckets that hold several components.  Their members are compared sketch by sketch inside tiles of bounded size; classes of different
   components that may reach the similarity fall into one cluster.  Each cluster's full sets then meet in tiles, which
   multiply incidence matrices, so every pair is confirmed exactly and a tile returns at most one row per component.
   Tiles within one component are left out: however large it is, only what may still join it is compared with it.
@@ -33,7 +32,6 @@ from millrace.llm.words import mix, shingles, words
 from millrace.session import materialize
 
 REGISTERS, BAND, MANTISSA = 200, 5, 10
-ROUNDS = 3
 _TILE = 2048  # sketches of one bucket that meet in a task, twice at most
 _CHUNK = 128  # full sets of one cluster, likewise
 _STRIPE, _PAIRS, _COLUMNS = 64, 1 << 16, 4096
@@ -315,29 +313,27 @@ class _Labels:
         self.roots = materialize(renamed.unionByName(roots))
 
 
-def _settle(docs, key, text, classes, meetings, labels: _Labels, tested: DataFrame | None, percent: int, size: int) -> None:
-    """Find the links that the rounds left between components that meet in a bucket."""
+def _rest(docs, key, text, classes, meetings, labels: _Labels, tested: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) that leave no two components to be joined, among all classes that meet in a bucket."""
     held = labels.of(meetings, "class", "component")
     mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    left = held.join(mixed.where(F.col("low") != F.col("high")).select("bucket"), "bucket")
-    # A bucket of two is a pair.
-    pairs = left.where(F.col("size") == 2).groupBy("bucket").agg(F.max("class").alias("a"), F.min("class").alias("b"))
-    pairs = pairs.select("a", "b").distinct()
-    pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    left = materialize(held.join(mixed.where(F.col("low") != F.col("high")).select("bucket"), "bucket"))
+    # A bucket of two is a pair, its smaller class the leader.
+    pairs = left.where((F.col("size") == 2) & (F.col("class") != F.col("lead"))).select(F.col("class").alias("a"), F.col("lead").alias("b"))
+    pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
     wide = left.where(F.col("size") > 2).join(classes.select("class", "n", "registers"), "class")
     tiles = _pairs_of_chunks(wide, F.col("size"), _TILE).select("bucket", "i", "j", "class", "component", "n", "registers")
-    near = materialize(_tiled(tiles, ["bucket", "i", "j"], _plausible_edges, percent))
-    if not pairs.isEmpty():
-        labels.merge(_links(docs, key, text, classes, pairs, percent, size))
-    if near.isEmpty():
-        return
+    near = _tiled(tiles, ["bucket", "i", "j"], _plausible_edges, percent)
+    links = _links(docs, key, text, classes, pairs, percent, size)
     roots = components(near, "a", "b").select(F.col("node").alias("class"), F.col("root").alias("cluster"))
     firsts = roots.select(F.col("cluster").alias("class"), "cluster").distinct()
-    members = labels.of(roots.unionByName(firsts), "class", "component")
-    meeting = _cluster_tiles(materialize(members))
+    members = materialize(labels.of(roots.unionByName(firsts), "class", "component"))
+    if members.isEmpty():
+        return links
+    meeting = _cluster_tiles(members)
     sets = _texts_of(docs, key, text, classes, members.select("class"), size).select("class", _set_of(size)(F.col("text")).alias("set"))
     confirmed = _tiled(meeting.join(materialize(sets), "class"), ["cluster", "i", "j"], _confirmed_edges, percent)
-    labels.merge(materialize(confirmed))
+    return materialize(links.unionByName(confirmed))
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -360,35 +356,16 @@ def near_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int = 5
         )
     )
     members = classes.select("class", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    meetings = materialize(members.join(shared, "bucket"))
+    found = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("lead"))
+    meetings = materialize(members.join(found.where(F.col("size") > 1), "bucket"))
     labels = _Labels(classes)
-    tested = None
-    for turn in range(ROUNDS):
-        held = labels.of(meetings, "class", "component")
-        order = F.xxhash64(F.lit(turn), "class")
-        mixed = (
-            held.groupBy("bucket")
-            .agg(
-                F.min(F.struct(order.alias("o"), F.col("class").alias("b"), F.col("component").alias("leading"))).alias("lead"),
-                F.min("component").alias("low"),
-                F.max("component").alias("high"),
-            )
-            .where(F.col("low") != F.col("high"))
-            .select("bucket", "lead.b", "lead.leading")
-        )
-        met = held.join(mixed, "bucket").where(F.col("component") != F.col("leading"))
-        by_leader = met.groupBy(F.col("class").alias("a"), "b").agg(F.count("*").alias("bands"))
-        best = by_leader.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("best")).select("a", "best.b")
-        pairs = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        if pairs.isEmpty():
-            continue
-        labels.merge(_links(docs, key, text, classes, pairs, percent, shingle_words))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-    _settle(docs, key, text, classes, meetings, labels, tested, percent, shingle_words)
+    met = meetings.where(F.col("class") != F.col("lead"))
+    by_leader = met.groupBy(F.col("class").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("bands"))
+    best = by_leader.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("best")).select("a", "best.b")
+    tested = materialize(best)
+    if not tested.isEmpty():
+        labels.merge(_links(docs, key, text, classes, tested, percent, shingle_words))
+        labels.merge(_rest(docs, key, text, classes, meetings, labels, tested, percent, shingle_words))
     placed = labels.of(classes.select("class", "id"), "class", "component")
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     by_class = placed.join(least, "component").select("class", "component_id")
