@@ -166,28 +166,28 @@ def sample_hash_check(t):
     )
 
 
-# The ways for large groups, forced by small limits: they must give the same rows.
+# The ways for large groups, forced on the largest ones by small limits: they must give the same rows.
 
 
 @query(ORACLES["lag_lead"])
 def lag_lead_hot(t):
-    return lag_lead(t, hot_rows=3)
+    return lag_lead(t, hot_rows=75)
 
 
 @query(ORACLES["running_total_per_user"])
 def running_total_hot(t):
-    return running_total_per_user(t, hot_rows=3)
+    return running_total_per_user(t, hot_rows=75)
 
 
 @query(ORACLES["fill_down_types"])
 def fill_down_hot(t):
-    return fill_down_types(t, hot_rows=3)
+    return fill_down_types(t, hot_rows=75)
 
 
 @query(ORACLES["fold_balance"].replace("cast(balance AS double)", "round(balance::double, 6)"))
 def fold_balance_hot(t):
     """Composed steps add up in another order: the last bits of doubles may differ."""
-    out = fold_balance(t, group_rows=3)
+    out = fold_balance(t, group_rows=75)
     return out.withColumn("balance", F.round("balance", 6))
 
 
@@ -210,7 +210,7 @@ def fold_total(t, **limits):
 
 @query(_FOLD_TOTAL)
 def fold_total_hot(t):
-    return fold_total(t, group_rows=3)
+    return fold_total(t, group_rows=75)
 
 
 @query(ORACLES["record_ids"])
@@ -244,7 +244,7 @@ SELECT * EXCLUDE (rn) FROM
 """)
 def sample_group_hot(t):
     """More rows per group than Spark trims before the shuffle."""
-    return sample(t.orders, 1500, "first", ["o_totalprice", "o_orderkey"], ["o_orderstatus"], hot_rows=50)
+    return sample(t.orders, 1500, "first", ["o_totalprice", "o_orderkey"], ["o_orderstatus"], hot_rows=400)
 
 
 @query("SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12000")

@@ -76,8 +76,8 @@ def script_groups(t, **limits):
 
 @query(ORACLES["script_groups"])
 def script_groups_cut(t):
-    """Groups cut into blocks of a few rows."""
-    return script_groups(t, group_rows=3)
+    """The longest groups cut into blocks."""
+    return script_groups(t, group_rows=75)
 
 
 @query("""
