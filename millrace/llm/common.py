@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ _SETTINGS = {
     "spark.sql.python.filterPushdown.enabled": "true",
 }
 _SLICE_BYTES = 2 << 20
+T = TypeVar("T")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -29,6 +32,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return configure(spark)
 
 
+_HELD: dict[object, object] = {}
+
+
+def held_by_worker(key: object, make: Callable[[], T]) -> T:
+    """The one large object, such as a vocabulary with its word cache, that a Python worker keeps between tasks."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Give up what the worker keeps: called by work that needs none of it, and returned to the system where it can be."""
+    if _HELD:
+        _HELD.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts behind each other, and len+1 offsets into them; NULL counts as empty."""
     if isinstance(texts, pa.ChunkedArray):

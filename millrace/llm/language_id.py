@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import share, slices, utf8
+from millrace.llm.common import release, share, slices, utf8
 
 UNDETERMINED = "und"
 _SPACE = 32
@@ -82,6 +82,7 @@ class LanguageModel:
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language and its share 2**-bits among all languages, per text."""
+        release()
         data, offsets = utf8(texts)
         parts = [
             self.code_lengths(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, utf8
+from millrace.llm.common import release, slices, utf8
 from millrace.llm.components import components
 from millrace.llm.forest import Forest
 from millrace.llm.vectors import groups
@@ -89,6 +89,7 @@ def _least(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    release()
     data, offsets = utf8(texts)
     for a, b in slices(offsets):
         found, bounds = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])

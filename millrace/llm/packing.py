@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm.common import fresh, slices, utf8
+from millrace.llm.common import fresh, held_by_worker, slices, utf8
 from millrace.session import local_table, materialize
 
 _CACHED = 600_000
@@ -119,9 +119,6 @@ class WordIds:
         return self.ids[at], np.r_[0, ends][bounds]
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
 def tokenize(
     docs: DataFrame, id_column: str, text_column: str, vocabulary: str, end: int, capacity: int, keep_ids: bool = False
 ) -> DataFrame:
@@ -134,9 +131,7 @@ def tokenize(
     kinds = "__id {}, piece int, start long, length long, ids_crc32 long".format(source.schema["__id"].dataType.simpleString())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _LOADED:
-            _LOADED[vocabulary] = WordIds(vocabulary)
-        words = _LOADED[vocabulary]
+        words = held_by_worker(("words", vocabulary), lambda: WordIds(vocabulary))
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for first, last in slices(offsets):

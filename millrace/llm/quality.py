@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import share, slices, utf8
+from millrace.llm.common import release, share, slices, utf8
 from millrace.llm.words import words
 
 TRIPLES = 2048
@@ -59,6 +59,7 @@ def _repeated(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _blocks(texts: pa.Array) -> Iterator[np.ndarray]:
+    release()
     data, offsets = utf8(texts)
     for a, b in slices(offsets):
         for first in range(a, b, _ROWS):

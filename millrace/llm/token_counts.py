@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.llm.common import held_by_worker
+
 # The pattern that byte-level BPE vocabularies of this kind split texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The vocabulary's \s is the Unicode property, which Python's differs from in four control characters.
@@ -186,15 +188,6 @@ class Merges:
 
 
 _SPLIT = regex.compile(_PATTERN)
-_LOADED: dict[str, Merges] = {}
-
-
-def _merges(path: str) -> Merges:
-    if path not in _LOADED:
-        _LOADED[path] = Merges.load(path)
-    return _LOADED[path]
-
-
 def token_count(text: Column, vocabulary: str) -> Column:
     """Tokens of whole texts without added begin or end tokens; NULL and empty texts have 0.
 
@@ -202,7 +195,8 @@ def token_count(text: Column, vocabulary: str) -> Column:
     """
 
     def count(texts: pa.Array) -> pa.Array:
-        merges, out, some, held = _merges(vocabulary), [], [], 0
+        merges = held_by_worker(("merges", vocabulary), lambda: Merges.load(vocabulary))
+        out, some, held = [], [], 0
         for text in texts.to_pylist():
             some.append(text or "")
             held += len(some[-1])
