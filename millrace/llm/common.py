@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import TypeVar
 
 import numpy as np
@@ -26,6 +28,11 @@ T = TypeVar("T")
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings of the library, and Arrow batches that stay small where texts are long."""
+    # Python workers start elsewhere: without an installed package they need the driver's path to it.
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     for key, value in _SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
