@@ -24,8 +24,6 @@ from millrace.session import local_table, materialize
 
 _CACHED = 600_000
 _LEARNED = 4_000  # words that the library encodes at a time
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _BLANK = np.zeros(256, bool)
@@ -46,6 +44,24 @@ class _Codes(dict):
         return code
 
 
+def _lowered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """ASCII capitals in lower case where the library's ids stay the same.
+
+    It composes (NFC) before it lower-cases, and some small letters have composed forms that their capitals lack: a
+    capital before a byte of another character stays, one before ASCII takes no part in composing.  Special strings are
+    told apart by case: words that hold the beginning of one stay.
+    """
+    capital = (data >= 65) & (data <= 90)
+    capital[:-1] &= data[1:] < 128
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # <|
+    if len(special):
+        cuts = np.union1d(np.flatnonzero(_BLANK[data]), offsets)
+        stays = np.zeros(len(cuts) - 1, bool)
+        stays[np.searchsorted(cuts, special, side="right") - 1] = True
+        capital &= ~np.repeat(stays, np.diff(cuts))
+    return data + (capital.astype(np.uint8) << 5)
+
+
 class WordIds:
     """Token ids of texts for a vocabulary whose pre-tokens never span white space.
 
@@ -82,8 +98,8 @@ class WordIds:
 
     def _simplified(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same tokens in fewer distinct words: lower case, and a blank before a mark that ends a word."""
-        if self.caseless and b"<|" not in data.tobytes():  # special strings are told apart by case
-            data = _LOWER[data]
+        if self.caseless:
+            data = _lowered(data, offsets)
         if self.parts_marks and len(data) > 1:
             mark = (data == 44) | (data == 46)
             mark[1:] &= _LETTER[data[:-1]]

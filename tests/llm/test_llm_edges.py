@@ -16,7 +16,7 @@ from millrace.llm.embedding_dedup import near_vectors
 from millrace.llm.inner_products import top_products
 from millrace.llm.minhash_dedup import near_duplicates
 from millrace.llm.mixing import Weights, budgets, deal, mix, word_count
-from millrace.llm.packing import pack, plan, tokenize
+from millrace.llm.packing import WordIds, pack, plan, tokenize
 from millrace.llm.sharding import shard, text_key
 from millrace.llm.token_counts import Merges, token_count
 from millrace.llm.warc import WarcSource, archived_pages, write_pages
@@ -254,6 +254,26 @@ def test_packing_of_odd_rows(session):
         (1, 0, 3), (3, 0, 0), (3, 1, 0)]
 
 
+def test_capitals_before_combining_marks_have_the_librarys_ids():
+    """Capitals whose small letters alone have composed forms; special strings change no neighbour."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    marked = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    texts = marked + [f"xA{p}Bc, {p}. Q{p}" for p in marked] + ["J\u0323\u030c", "A\u0301 GR\u00d6SSE", "J", "\u030c", "", "AB"]
+    special = ["Ab <|EndOfText|>Cd Ab", "X<|endoftext|>Y AB", "<|", "A<", "|B", "<|ENDOFTEXT|>", "<|startoftext|>."]
+    for some in (texts, texts + special):
+        parts = [t.encode() for t in some]
+        words = WordIds(path)
+        ids, bounds = words.encode(np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum([len(p) for p in parts])])
+        for i, t in enumerate(some):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    # Special strings keep only their own words from being simplified.
+    assert {b"ab", b"<|EndOfText|>Cd"} <= set(words.codes) and b"Ab" not in words.codes
+
+
 def test_plan_places_every_rank_once():
     rng = np.random.default_rng(4)
     counts = Counter(int(x) for x in np.r_[rng.integers(1, 101, 2000), np.full(500, 37), np.full(90, 100)])
