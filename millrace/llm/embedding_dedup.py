@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from millrace.llm.components import components
 from millrace.llm.forest import Forest
 from millrace.llm.vectors import groups, matrix, packed, usable
-from millrace.session import materialize, with_row_tag
+from millrace.session import materialize
 
 BLOCK_ROWS, LEAST_BLOCKS = 32_768, 8
 _STRIPE = 512
@@ -98,7 +98,8 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9) -
     found = rows.groupBy("class").agg(
         F.first("dimension").alias("dimension"), F.first("vector").alias("vector"), F.min("id").alias("id"), F.count("*").alias("many")
     )
-    classes = with_row_tag(found, "node")
+    # The numbers are written with their classes: a later job may split the files otherwise.
+    classes = materialize(found.withColumn("node", F.monotonically_increasing_id()))
     blocks = max(LEAST_BLOCKS, -(-classes.count() // BLOCK_ROWS))
     dealt = classes.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

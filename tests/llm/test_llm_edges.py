@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import language_id, quality
+from millrace.llm import embedding_dedup, language_id, quality
 from millrace.llm.embedding_dedup import near_vectors
 from millrace.llm.inner_products import top_products
 from millrace.llm.minhash_dedup import near_duplicates
@@ -157,6 +157,31 @@ def test_near_vectors_lose_no_link(session):
     assert 100 < near.sum() and {r.k: r.n_links for r in got.collect()} == dict(enumerate(near.sum(axis=1).tolist()))
 
 
+def test_near_vectors_when_later_jobs_split_files_otherwise(session, monkeypatch):
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal((40, 16))
+    x = centre[np.arange(200) % 40] + 0.05 * rng.standard_normal((200, 16))
+    df = session.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, e array<double>")
+
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.minPartitionNum": "64"}
+    before = {k: session.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            session.conf.set(k, v)
+        original = embedding_dedup.components
+        monkeypatch.setattr(embedding_dedup, "components", lambda *a: _fewer_cores(session, original(*a)))
+        got = {r.k: (r.n_links, r.component_id) for r in near_vectors(df, "k", "e").collect()}
+    finally:
+        for k, v in before.items():
+            session.conf.unset(k) if v is None else session.conf.set(k, v)
+    assert got == {i: (4, i % 40) for i in range(200)}
+
+
+def _fewer_cores(session, df):
+    session.conf.set("spark.sql.files.minPartitionNum", "1")
+    return df
+
+
 def test_top_products_of_odd_rows(session):
     rows = [(k, v if v is None or len(v) != 3 else [x if x is None or not 1 < abs(x) < INF else 3.5 for x in v]) for k, v in VECTORS]
     good = [(k, np.floor(np.array(v, float) * 256)) for k, v in rows if v and None not in v and np.isfinite(v).all() and k is not None]
