@@ -27,11 +27,14 @@ _HEAD, _SAMPLE, _STRIPE, _LEAD = 1024, 20_000, 1024, 16
 _EXACT = float(1 << 52)
 
 
+_whole = np.vectorize(int, otypes=[object])  # Python integers, of any size
+
+
 def _scores(queries: np.ndarray, candidates: np.ndarray, bound: float) -> np.ndarray:
     """Integer inner products; doubles hold them where no partial sum can pass 2**52."""
     if bound < _EXACT:
         return queries @ candidates.T
-    wide = queries.astype(object) @ candidates.astype(object).T
+    wide = _whole(queries) @ _whole(candidates).T
     if any(abs(x) >= 1 << 63 for x in wide.ravel()):
         raise OverflowError("a score does not fit a long")
     return wide.astype(np.int64)

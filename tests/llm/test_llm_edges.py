@@ -202,6 +202,14 @@ def test_top_products_beyond_exact_doubles(session):
     assert got == [(1, big * big + 65536), (2, big * big + 32768)]
 
 
+def test_top_products_tell_odd_scores_beyond_doubles(session):
+    rows = [(0, [3e6, 1 / 256]), (1, [3e6, 255 / 256]), (2, [3e6, 1.0]), (3, [3e6, 257 / 256])]
+    df = session.createDataFrame(rows, "k long, e array<double>")
+    got = [(r.k, r.score) for r in top_products(df, "k", "e", F.col("k") == 0).orderBy("rank").collect()]
+    big = 256 * 3_000_000
+    assert got == [(3, big * big + 257), (2, big * big + 256), (1, big * big + 255)]
+
+
 # --- sharding --------------------------------------------------------------------------------------------------------
 
 
