@@ -4,7 +4,7 @@
 * A sketch deals the shingles' hashes to ``REGISTERS`` buckets and keeps of each bucket's minimum the count of leading
   zeros and ``MANTISSA`` further bits.  Empty registers of small sets copy another one, chosen by a fixed probing order.
 * Registers are banded; classes that agree in a band meet in its bucket.  A pair of similarity 0.8 meets in none of
-  the 40 bands of 5 registers once in eight million.
+  the 40 bands of 5 registers once in eight million; lower thresholds get shorter bands that miss no more.
 * A bucket's pairs are not listed.  Every class is compared with one leader, the first class of its buckets with which
   it shares most bands; links found join components.  What is left are buckets that hold several components.  Their members are compared sketch by sketch inside tiles of bounded size; classes of different
   components that may reach the similarity fall into one cluster.  Each cluster's full sets then meet in tiles, which
@@ -32,6 +32,7 @@ from millrace.llm.words import mix, shingles, words
 from millrace.session import materialize
 
 REGISTERS, BAND, MANTISSA = 200, 5, 10
+_MISSES = 1.3e-7  # how often a pair at the threshold may meet in no band
 _TILE = 2048  # sketches of one bucket that meet in a task, twice at most
 _CHUNK = 128  # full sets of one cluster, likewise
 _STRIPE, _PAIRS, _COLUMNS = 64, 1 << 16, 4096
@@ -68,10 +69,19 @@ def sketch(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def band_of(percent: int) -> int:
+    """Registers per band: ``BAND`` at most, and as few as a pair of similarity ``percent`` needs to meet in a band."""
+    for band in range(BAND, 0, -1):
+        if (1 - (percent / 100) ** band) ** (REGISTERS // band) <= _MISSES:
+            return band
+    raise ValueError(f"{REGISTERS} registers do not find all pairs of {percent} percent")
+
+
+def band_keys(registers: np.ndarray, band: int = BAND) -> np.ndarray:
     """One 64-bit key per band of each sketch; equal registers of different bands give different keys."""
-    parts = registers.astype(np.uint64) * _FACTORS
-    bands = parts.reshape(len(registers), -1, BAND).sum(axis=2) + np.arange(REGISTERS // BAND, dtype=np.uint64)
+    count = REGISTERS // band
+    parts = registers[:, : count * band].astype(np.uint64) * _FACTORS[: count * band]
+    bands = parts.reshape(len(registers), count, band).sum(axis=2) + np.arange(count, dtype=np.uint64)
     return mix(bands).view(np.int64)
 
 
@@ -84,8 +94,10 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
 
 
 def _least(n: np.ndarray, percent: int) -> np.ndarray:
-    """Estimates from which a pair may reach the threshold; sketches of small sets spread more."""
-    return percent / 100 - np.where(n >= REGISTERS, 0.145, 0.25)
+    """Estimates from which a pair may reach the threshold; sketches of small sets spread more, and those of pairs
+    near 50 percent: the margins are five standard deviations and more."""
+    spread = max(1.0, (percent / 100 * (1 - percent / 100) / 0.16) ** 0.5) if percent > 50 else 1.25
+    return percent / 100 - spread * np.where(n >= REGISTERS, 0.145, 0.25)
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,7 +115,7 @@ def _identity(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def _sketched(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def _sketched(docs: DataFrame, key: str, text: str, size: int, band: int) -> DataFrame:
     """id, n, class, registers, bands; class and sketch are NULL for texts without words."""
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
@@ -117,8 +129,8 @@ def _sketched(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 place = np.full(b - a, -1)
                 place[some] = np.arange(some.sum())
                 take = pa.array(place, pa.int64(), mask=~some)
-                keys = band_keys(registers)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), REGISTERS // BAND)
+                keys = band_keys(registers, band)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), REGISTERS // band)
                 columns = [
                     batch.column(0).slice(a, b - a),
                     pa.array(n, pa.int64()),
@@ -344,9 +356,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int = 5
     whole sequence is the one shingle.  Rows are linked where 100 * intersection >= percent * union;
     ``component_id`` is the smallest key reachable and ``kept`` marks the row with that key.  NULL texts and texts
     without words, and rows with a NULL key, are linked with nothing and kept.  Rows that repeat a key are each
-    compared by their own text.
+    compared by their own text.  A ``percent`` too low for the registers is an error.
     """
-    rows = materialize(_sketched(docs, key, text, shingle_words))
+    rows = materialize(_sketched(docs, key, text, shingle_words, band_of(percent)))
     usable = rows.where(F.col("class").isNotNull() & F.col("id").isNotNull())
     classes = materialize(
         usable.groupBy("class").agg(

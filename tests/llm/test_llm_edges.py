@@ -108,6 +108,19 @@ def test_near_duplicates_lose_no_link(session):
     assert got == want
 
 
+def test_near_duplicates_at_low_thresholds(session):
+    """Pairs that just reach half: none may be lost."""
+    rows = []
+    for i in range(60):
+        shared = [f"s{i}w{x}" for x in range(200)]
+        for side in "ab":
+            rows.append((len(rows), " ".join(shared + [f"{side}{i}w{x}" for x in range(100)]), "en", "s"))
+    got = {r.doc_id: r.component_id for r in near_duplicates(_docs(session, rows, False), "doc_id", "text", 1, 50).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+    with pytest.raises(ValueError):
+        near_duplicates(_docs(session, rows[:2], False), "doc_id", "text", 1, 2)
+
+
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
 NAN, INF = float("nan"), float("inf")
