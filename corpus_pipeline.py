@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import language_id, quality
-from millrace.llm.common import held_out, prepare
+from millrace.llm.common import fresh, held_out, prepare
 from millrace.llm.minhash_dedup import near_duplicates
 from millrace.llm.packing import pack, tokenize
 from millrace.llm.queries import END_TOKEN, GOOD_SCORE, SEQUENCE_TOKENS, mix_documents
@@ -52,11 +52,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id; rows without an id stay."""
+    """One row of each group of near-duplicates: one with the smallest id; rows without an id stay.
+
+    Ids may repeat, so rows are told apart by a number that is written with them.
+    """
     prepare(spark)
-    found = near_duplicates(docs, "doc_id", "text", SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(_columns(docs))
+    row = fresh(docs, "__row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(numbered, "doc_id", "text", SHINGLE_WORDS, SIMILAR_PERCENT, tag=row)
+    gone = found.where(~F.col("kept")).select(row)
+    return numbered.join(gone, row, "left_anti").select(_columns(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

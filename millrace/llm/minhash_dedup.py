@@ -115,9 +115,10 @@ def _identity(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def _sketched(docs: DataFrame, key: str, text: str, size: int, band: int) -> DataFrame:
-    """id, n, class, registers, bands; class and sketch are NULL for texts without words."""
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+def _sketched(docs: DataFrame, key: str, text: str, size: int, band: int, tag: str | None) -> DataFrame:
+    """id, tag, n, class, registers, bands; class and sketch are NULL for texts without words."""
+    numbered = F.lit(0) if tag is None else F.col(tag)
+    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), numbered.cast("long").alias("tag"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,14 +134,15 @@ def _sketched(docs: DataFrame, key: str, text: str, size: int, band: int) -> Dat
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), REGISTERS // band)
                 columns = [
                     batch.column(0).slice(a, b - a),
+                    batch.column(2).slice(a, b - a),
                     pa.array(n, pa.int64()),
                     pc.take(pa.array(_identity(found, inner)), take),
                     pc.take(pa.array([r.tobytes() for r in registers], pa.binary()), take),
                     pc.take(lists.cast(pa.list_(pa.int64())), take),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "class", "registers", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "n", "class", "registers", "bands"])
 
-    return source.mapInArrow(work, "id long, n long, class long, registers binary, bands array<long>")
+    return source.mapInArrow(work, "id long, tag long, n long, class long, registers binary, bands array<long>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -349,20 +351,26 @@ def _rest(docs, key, text, classes, meetings, labels: _Labels, tested: DataFrame
     return materialize(links.unionByName(confirmed))
 
 
-def near_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: the key (long), n_shingles, component_id, kept.
+def near_duplicates(
+    docs: DataFrame, key: str, text: str, shingle_words: int = 5, percent: int = 80, tag: str | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: the key (long), n_shingles, component_id, kept (and the ``tag``).
 
     Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; with fewer than ``shingle_words`` words the
     whole sequence is the one shingle.  Rows are linked where 100 * intersection >= percent * union;
     ``component_id`` is the smallest key reachable and ``kept`` marks the row with that key.  NULL texts and texts
     without words, and rows with a NULL key, are linked with nothing and kept.  Rows that repeat a key are each
-    compared by their own text.  A ``percent`` too low for the registers is an error.
+    compared by their own text; all rows with the smallest key are kept.
+
+    ``tag`` names a column of unique stored numbers.  It is carried through, and only the row of the smallest
+    (key, tag) of each component is kept.  A ``percent`` too low for the registers is an error.
     """
-    rows = materialize(_sketched(docs, key, text, shingle_words, band_of(percent)))
+    rows = materialize(_sketched(docs, key, text, shingle_words, band_of(percent), tag))
     usable = rows.where(F.col("class").isNotNull() & F.col("id").isNotNull())
     classes = materialize(
         usable.groupBy("class").agg(
             F.min("id").alias("id"),
+            F.min(F.struct("id", "tag")).alias("least"),
             F.first("n").alias("n"),
             F.first("registers").alias("registers"),
             F.first("bands").alias("bands"),
@@ -379,14 +387,20 @@ def near_duplicates(docs: DataFrame, key: str, text: str, shingle_words: int = 5
     if not tested.isEmpty():
         labels.merge(_links(docs, key, text, classes, tested, percent, shingle_words))
         labels.merge(_rest(docs, key, text, classes, meetings, labels, tested, percent, shingle_words))
-    placed = labels.of(classes.select("class", "id"), "class", "component")
-    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_class = placed.join(least, "component").select("class", "component_id")
-    found = rows.select("id", "n", "class").join(by_class, "class", "left")
+    placed = labels.of(classes.select("class", "least"), "class", "component")
+    least = placed.groupBy("component").agg(F.min("least").alias("least"))
+    by_class = placed.drop("least").join(least, "component").select(
+        "class", F.col("least.id").alias("component_id"), F.col("least.tag").alias("first")
+    )
+    found = rows.select("id", "tag", "n", "class").join(by_class, "class", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    kept = component.eqNullSafe(F.col("id"))
+    if tag is not None:
+        kept = kept & (F.col("id").isNull() | F.col("first").isNull() | (F.col("first") == F.col("tag")))
     return found.select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept"),
+        kept.alias("kept"),
+        *([] if tag is None else [F.col("tag").alias(tag)]),
     )

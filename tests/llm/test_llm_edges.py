@@ -526,6 +526,16 @@ def test_pipeline_on_odd_rows(session, small):
     assert corpus_pipeline.run(session, sf_dir).count() >= 1
 
 
+def test_pipeline_keeps_one_row_of_each_group_where_ids_repeat(session, small):
+    first, second, other = EN * 3, DE * 3, "none of these words is found in any other row of the table"
+    rows = [(1, first), (2, first), (2, other), (3, second), (3, second), (4, None), (4, None), (None, first), (2, second)]
+    sf_dir = small([(*r, "en", "src0") for r in rows], [])
+    docs = session.read.parquet(f"{sf_dir}/documents.parquet")
+    got = corpus_pipeline.without_near_duplicates(session, docs, sf_dir).collect()
+    want = [(1, first), (2, other), (2, second), (4, None), (4, None), (None, first)]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 def test_pipeline_on_empty_tables(session, small):
     assert corpus_pipeline.run(session, small([], [])).count() == 0
 
