@@ -97,7 +97,8 @@ def mix(
 ) -> DataFrame:
     """The chosen rows of ``docs`` with ``mix_domain``, ``mix_epoch`` (int, from 0), ``mix_tokens``, ``mix_order``.
 
-    The budget is ``share_percent`` of all tokens (rounded down).  NULL names form a leaf "(none)"; NULL tokens are 0.
+    Weights and the budget are met in ``tokens``, whatever they count: with ``word_count`` they are words, and a text in
+    a script without blanks weighs about one.  The budget is ``share_percent`` of all tokens (rounded down).  NULL names form a leaf "(none)"; NULL tokens are 0.
     A row without tokens goes with the place of its hash, and rows equal in key stand next to each other in an order
     that may vary between equal hashes only.  Columns of the four new names are replaced.  A leaf without tokens, and
     an empty table, give no rows.  ``max_leaves`` bounds the plan on the driver; more leaves are an error.
