@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm import language_id, quality
 from millrace.llm.common import held_out, prepare
+from millrace.llm.decontamination import find_phrases, hit_words
 from millrace.llm.embedding_dedup import near_vectors
 from millrace.llm.inner_products import top_products
+from millrace.llm.manifest import checked_manifest, lower_ascii
 from millrace.llm.minhash_dedup import near_duplicates
 from millrace.llm.mixing import Weights, mix, word_count
 from millrace.llm.packing import pack, tokenize
+from millrace.llm.phrases import collocations
 from millrace.llm.sharding import shard, text_key
 from millrace.llm.token_counts import token_count
 from millrace.llm.warc import archived_pages
@@ -301,3 +304,160 @@ def op10_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _record_sql(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return " || ".join(f"coalesce(octet_length(encode({v}))::VARCHAR || ':' || {v}, '-')" for v in values)
+
+
+def _tree_sql(name: str, leaves: str, part: str, levels: int) -> str:
+    """CTEs ``name``_0 ... over (part, slot, h) of ``leaves`` up to ``levels``, lone nodes left as they are."""
+    ctes = [f"{name}_0 AS (SELECT {part}, slot, h, count(*) OVER (PARTITION BY {part}) AS m FROM {leaves})"]
+    for k in range(levels):
+        ctes.append(f"""{name}_{k + 1} AS (
+  SELECT {part}, slot // 8 AS slot, CASE WHEN m = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY slot)) END AS h,
+    (m + 7) // 8 AS m
+  FROM {name}_{k} GROUP BY {part}, slot // 8, m
+)""")
+    return ",\n".join(ctes)
+
+
+def _fold_sql(name: str, part: str, levels: int, start: str) -> str:
+    """CTEs that take the rows of ``start`` (part, slot, cur, proof, other columns) through the levels of ``name``."""
+    ctes, last = [], start
+    for k in range(levels):
+        step = f"{start}_{name}_{k}"
+        ctes.append(f"""{step}_runs AS (
+  SELECT {part}, slot // 8 AS run, list(h ORDER BY slot) AS hs FROM {name}_{k} WHERE m > 1 GROUP BY {part}, slot // 8
+), {step} AS (
+  SELECT s.* REPLACE (s.slot // 8 AS slot,
+    CASE WHEN hs IS NULL THEN cur ELSE sha256(array_to_string(hs[1:s.slot % 8], '') || cur || array_to_string(hs[s.slot % 8 + 2:], '')) END AS cur,
+    CASE WHEN hs IS NULL THEN proof ELSE proof || array_to_string(hs[1:s.slot % 8], '') || array_to_string(hs[s.slot % 8 + 2:], '') END AS proof)
+  FROM {last} s LEFT JOIN {step}_runs r ON s.{part} IS NOT DISTINCT FROM r.{part} AND s.slot // 8 = r.run
+)""")
+        last = step
+    return ",\n".join(ctes)
+
+
+_CRC_TABLE_SQL = """crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda a, i:
+    CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, b)) AS steps
+)"""
+
+
+@query(f"""
+WITH {_CRC_TABLE_SQL}, d AS (
+  SELECT doc_id, lang, sha256({_record_sql("text")}) AS h,
+    sha256({_record_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS altered,
+    xor(list_reduce(list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i::INT + 1, 1))::BIGINT),
+      lambda a, b: xor(a // 256, steps[(xor(a, b) % 256) + 1]), 4294967295), 4294967295) % 3 = 0 AS tampered
+  FROM documents, crc_table
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS slot FROM d
+), {_tree_sql("t", "leaves", "lang", 7)},
+subroots AS (
+  SELECT 0 AS one, lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS slot FROM t_7
+), {_tree_sql("u", "subroots", "one", 4)},
+f AS (
+  SELECT doc_id, lang, slot, h AS leaf, CASE WHEN tampered THEN altered ELSE h END AS cur, '' AS proof FROM leaves
+), {_fold_sql("t", "lang", 7, "f")},
+g AS (
+  SELECT 0 AS one, f.doc_id, f.leaf, s.h AS subroot, s.slot, f.cur, f.proof
+  FROM f_t_6 f JOIN subroots s ON f.lang IS NOT DISTINCT FROM s.lang
+), {_fold_sql("u", "one", 4, "g")}
+SELECT doc_id, leaf, subroot, u_4.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = u_4.h AS verified
+FROM g_u_3, u_4
+""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*MANIFEST_FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    changed = {"text": lower_ascii(F.col("text"))}
+    return checked_manifest(docs, "lang", "doc_id", MANIFEST_FIELDS, changed, tampered)
+
+
+PHRASE_WORDS = 10
+
+
+@query(r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), g AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2),
+    lambda i: array_to_string(w[i:i + 9], ' '))) AS g FROM b WHERE len(w) > 0
+), u AS (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos,
+    unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS g
+  FROM w, (SELECT DISTINCT size FROM g) WHERE len(w) >= size
+), o AS (
+  SELECT doc_id, pos, u.size, item_id FROM u JOIN g ON u.g = g.g AND u.size = g.size
+), h AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM o) GROUP BY doc_id
+), i AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+  FROM o GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+""")
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = _table(spark, sf_dir, "benchmark")
+    found = find_phrases(docs, "text", items, "item_id", "text", PHRASE_WORDS)
+    counted = found.select("doc_id", "found.n_words", hit_words(F.col("found.spans")).alias("n_hit"), "found.items")
+    return counted.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query(r"""
+WITH p AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 1, 0) + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM w, (SELECT unnest([1, 2, 3]) AS k)
+), f AS MATERIALIZED (
+  SELECT lang, k, g, lang || chr(9) || g AS key, count(*)::HUGEINT AS f FROM g GROUP BY lang, k, g
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT lang, k, g, f AS a, string_split(g, ' ') AS ws FROM f WHERE k >= 2 AND f >= 10
+), parts AS MATERIALIZED (
+  SELECT lang, k, g, a, 1 AS cut, ws[1] AS p, array_to_string(ws[2:], ' ') AS q FROM c
+  UNION ALL SELECT lang, k, g, a, 2, array_to_string(ws[1:2], ' '), ws[3] FROM c WHERE k = 3
+), cuts AS (
+  SELECT t.lang, t.k, t.g, a, cut, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+  FROM parts t JOIN f x ON x.key = t.lang || chr(9) || p JOIN f y ON y.key = t.lang || chr(9) || q
+), best AS (
+  SELECT lang, k, g, a, l, r, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS o FROM cuts) WHERE o = 1
+), inside AS (
+  SELECT lang, array_to_string(ws[i:i + 1], ' ') AS g, max(a) AS most FROM c, (SELECT unnest([1, 2]) AS i)
+  WHERE k = 3 GROUP BY lang, array_to_string(ws[i:i + 1], ' ')
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN inside ON best.k = 2 AND best.lang = inside.lang AND best.g = inside.g
+  WHERE most IS NULL OR 100 * most < 50 * a
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM kept
+)
+SELECT lang, rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM r JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), "text", "lang", longest=3, least=10, top=2000, inside_percent=50)

@@ -7,6 +7,9 @@ values modulo 2**64, taken from prefix sums, so that no step loops over words or
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+from millrace.llm.common import utf8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,26 +46,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and len+1 offsets of the texts into them.  ASCII letters are lower-cased."""
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    held = ~_BLANK[data]
+def spans(held: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all longest runs of bytes that are ``held`` and belong to one text."""
     first = held.copy()
     first[1:] &= ~held[:-1]
-    begin = offsets[:-1][offsets[:-1] < len(data)]
+    begin = offsets[:-1][offsets[:-1] < len(held)]
     first[begin] = held[begin]
-    starts = np.flatnonzero(first)
-    # A word ends where the next byte is blank or belongs to another text.
+    # A run ends where the next byte is not held or belongs to another text.
     last = held.copy()
     last[:-1] &= ~held[1:]
     last[begin[begin > 0] - 1] = held[begin[begin > 0] - 1]
-    ends = np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_array(texts: pa.Array, word_bytes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of many texts, ASCII letters lower-cased: bytes, starts, lowered data, and offsets of the texts into the words.
+
+    ``word_bytes`` tells of every (lowered) byte value whether words hold it.  NULL texts have no words.
+    """
+    data, offsets = utf8(texts)
+    data = _LOWER[data]
+    held = word_bytes[data]
+    starts, ends = spans(held, offsets) if len(data) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=at[1:])
+    buffers = [None, pa.py_buffer(at), pa.py_buffer(data[held])]
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers)
+    return found, starts, data, np.searchsorted(starts, offsets)
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the given spans, none of them empty."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[_LOWER[data] if lower else data] * _powers("up", int(_BASE), len(data)), out=sums[1:])
+    np.cumsum(_VALUES[data] * _powers("up", int(_BASE), len(data)), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _powers("down", _inverse(int(_BASE)), len(data))[starts]
     h += (ends - starts).astype(np.uint64)
-    return mix(h), np.searchsorted(starts, offsets)
+    return mix(h)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and len+1 offsets of the texts into them.  ASCII letters are lower-cased."""
+    if not len(data):
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends = spans(~_BLANK[data], offsets)
+    return hashes_of(_LOWER[data] if lower else data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

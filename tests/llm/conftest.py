@@ -8,7 +8,7 @@ import pytest
 from millrace.llm.common import prepare
 
 SF_DIR = "/root/testdata/sf0.001"
-NAMES = ("documents", "embeddings", "pages", "labels")
+NAMES = ("documents", "embeddings", "pages", "labels", "benchmark")
 
 
 @pytest.fixture(scope="session")
