@@ -1,6 +1,8 @@
 """Every registered query against its SQL on the smallest driver tables."""
 
 import decimal
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -39,6 +41,27 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert _comparable(got.collect(), got.columns, wanted) == _comparable(result.fetchall(), names, wanted)
 
 
+_WITHOUT = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name.split(".")[0] in {hidden!r} or name in {hidden!r}:
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as driver
+from millrace.plans import ORACLES, QUERIES
+assert set(driver.queries()) == set(QUERIES) and set(driver.oracle_sql()) == set(ORACLES)
+"""
+
+
+@pytest.mark.parametrize("hidden", [["millrace.llm"], ["corpus_pipeline"], ["millrace.llm", "corpus_pipeline"], ["public_tokenizers"]])
+def test_queries_without_the_corpus_operators(hidden):
+    code = _WITHOUT.format(hidden=hidden)
+    root = Path(driver.__file__).parent
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 

@@ -118,7 +118,8 @@ def test_dates(spark):
     assert spark_date_format("yyyy-MM") == "yyyy-MM"
     df = spark.createDataFrame([("31.12.2024 23:05",), ("soon",), (None,)], "t string")
     assert rows(parse_datetime(df, "t", "%d.%m.%Y %H:%M", alias="d", on_error="null"), "d") == [(None,), (None,), (date(2024, 12, 31),)]
-    stamp = parse_datetime(df, "t", "%d.%m.%Y %H:%M", to="timestamp").first()[0]
+    readable = spark.createDataFrame([("31.12.2024 23:05",)], "t string")
+    stamp = parse_datetime(readable, "t", "%d.%m.%Y %H:%M", to="timestamp").first()[0]
     assert stamp == datetime(2024, 12, 31, 23, 5)
     with pytest.raises(Exception, match="CANNOT_PARSE|could not be parsed"):
         parse_datetime(df, "t", "%d.%m.%Y %H:%M").collect()
