@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm.common import fresh, held_by_worker, slices, utf8
+from millrace.llm.words import spans
 from millrace.session import local_table, materialize
 
 _CACHED = 600_000
@@ -31,19 +32,6 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _RANK_ROWS = 50_000  # pieces of one length that one group numbers
 
 
-class _Codes(dict):
-    """Numbers words as they are first looked up, and lists the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self)
-        self.new.append(word)
-        return code
-
-
 def _lowered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """ASCII capitals in lower case where the library's ids stay the same.
 
@@ -82,7 +70,7 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.codes = _Codes()
+        self.codes: dict[bytes, int] = {}
         self.ids = np.empty(1 << 20, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
@@ -117,22 +105,27 @@ class WordIds:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind each other, and len+1 offsets into them."""
         data, offsets = self._simplified(data, offsets)
-        body, words, per_text = data.tobytes(), [], []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            found = body[a:b].split()  # at ASCII white space: no multi-byte character holds such a byte
-            per_text.append(len(found))
-            words += found
-        if len(self.codes) > _CACHED:
-            self._clear()
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        if self.codes.new:
-            self._learn(self.codes.new)
-            self.codes.new = []
+        held = ~_BLANK[data]  # no multi-byte character holds an ASCII white space
+        starts, ends = spans(held, offsets) if len(data) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        at = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts, out=at[1:])
+        buffers = [None, pa.py_buffer(at), pa.py_buffer(data[held])]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+        codes = self._codes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
         begins, sizes = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
         ends = np.cumsum(sizes)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
-        bounds = np.r_[0, np.cumsum(per_text)]
-        return self.ids[at], np.r_[0, ends][bounds]
+        return self.ids[at], np.r_[0, ends][np.searchsorted(starts, offsets)]
+
+    def _codes(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of distinct words; new ones are learned."""
+        if len(self.codes) > _CACHED:
+            self._clear()
+        new = [w for w in words if w not in self.codes]
+        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
 
 
 def tokenize(
@@ -152,28 +145,27 @@ def tokenize(
             data, offsets = utf8(batch.column(1))
             for first, last in slices(offsets):
                 ids, bounds = words.encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                rows, piece, start, length, crc, kept = [], [], [], [], [], []
-                for i in range(last - first):
-                    whole = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end))
-                    for k in range(0, len(whole), capacity):
-                        part = np.ascontiguousarray(whole[k : k + capacity])
-                        rows.append(first + i)
-                        piece.append(k // capacity)
-                        start.append(k)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part))
-                        if keep_ids:
-                            kept.append(part.astype(np.int32))
+                whole = np.insert(ids, bounds[1:], np.uint32(end)).astype("<u4", copy=False)
+                bounds = bounds + np.arange(len(bounds))
+                sizes = np.diff(bounds)
+                counts = -(-sizes // capacity)
+                rows = np.repeat(np.arange(last - first), counts)
+                piece = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[rows] - start)
+                begin = bounds[rows] + start
+                spans_of = list(zip(begin.tolist(), (begin + length).tolist(), strict=True))
+                body = memoryview(whole).cast("B")
                 columns = [
-                    pc.take(batch.column(0), pa.array(rows, pa.int64())),
+                    pc.take(batch.column(0), pa.array(first + rows)),
                     pa.array(piece, pa.int32()),
                     pa.array(start, pa.int64()),
                     pa.array(length, pa.int64()),
-                    pa.array(crc, pa.int64()),
+                    pa.array([zlib.crc32(body[4 * i : 4 * j]) for i, j in spans_of], pa.int64()),
                 ]
                 names = ["__id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    columns.append(pa.array([whole[i:j].astype(np.int32) for i, j in spans_of], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
