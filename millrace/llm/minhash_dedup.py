@@ -162,39 +162,45 @@ def _plausible(percent: int) -> Column:
     return F.arrow_udf(test, "boolean")("registers_a", "registers_b", "n_a", "n_b")
 
 
-def _confirmed(percent: int, size: int) -> Column:
+def _confirmed(percent: int) -> Column:
     """Whether a pair's full sets reach the threshold."""
 
     def test(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for first in range(0, len(a), 128):
-            sides = []
-            for texts in (a.slice(first, 128), b.slice(first, 128)):
-                sides.append([h[c[i] : c[i + 1]] for _, _, h, c in _sets(texts, size) for i in range(len(c) - 1)])
-            for x, y in zip(*sides, strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
+        for x, y in zip(a, b, strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
         return pa.array(out, pa.bool_())
 
-    return F.arrow_udf(test, "boolean")("text_a", "text_b")
+    return F.arrow_udf(test, "boolean")("set_a", "set_b")
 
 
-def _class_of(size: int):
-    def work(texts: pa.Array) -> pa.Array:
-        parts = [np.where(np.diff(c) > 0, _identity(h, c), 0) for _, _, h, c in _sets(texts, size)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+def _set_of_class(size: int) -> Column:
+    """The full set of a text where it is that of the class, else NULL.
 
-    return F.arrow_udf(work, "long")
+    One function of both columns: as a comparison of two it would become a join key and run over all documents.
+    """
+
+    def work(texts: pa.Array, classes: pa.Array) -> pa.Array:
+        wanted, out = classes.to_numpy(), []
+        for a, b, found, bounds in _sets(texts, size):
+            same = (np.diff(bounds) > 0) & (_identity(found, bounds) == wanted[a:b])
+            out += [found[bounds[i] : bounds[i + 1]].tobytes() if same[i] else None for i in range(b - a)]
+        return pa.array(out, pa.binary())
+
+    return F.arrow_udf(work, "binary")("text", "class")
 
 
-def _texts_of(docs: DataFrame, key: str, text: str, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(class, text) of the ``wanted`` classes."""
+def _sets_of(docs: DataFrame, key: str, text: str, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(class, set) of the ``wanted`` classes, written."""
     wanted = materialize(wanted.distinct().join(classes.select("class", "id"), "class"))
     if wanted.count() <= _BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     # An id may stand in rows of several texts: the class is worked out again.
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id")
-    return texts.where(_class_of(size)(F.col("text")) == F.col("class")).dropDuplicates(["class"]).select("class", "text")
+    sets = materialize(texts.select("class", _set_of_class(size).alias("set")))
+    return sets.where(F.col("set").isNotNull()).dropDuplicates(["class"])
 
 
 def _links(docs: DataFrame, key: str, text: str, classes: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
@@ -204,17 +210,10 @@ def _links(docs: DataFrame, key: str, text: str, classes: DataFrame, pairs: Data
         pairs = pairs.join(side.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"registers_{x}")), x)
     likely = materialize(pairs.where(_plausible(percent)).select("a", "b"))
     ends = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class")))
-    texts = materialize(_texts_of(docs, key, text, classes, ends, size))
+    sets = _sets_of(docs, key, text, classes, ends, size)
     for x in ("a", "b"):
-        likely = likely.join(texts.select(F.col("class").alias(x), F.col("text").alias(f"text_{x}")), x)
-    return materialize(likely.where(_confirmed(percent, size)).select("a", "b"))
-
-
-def _set_of(size: int):
-    def work(texts: pa.Array) -> pa.Array:
-        return pa.array([h[c[i] : c[i + 1]].tobytes() for _, _, h, c in _sets(texts, size) for i in range(len(c) - 1)], pa.binary())
-
-    return F.arrow_udf(work, "binary")
+        likely = likely.join(sets.select(F.col("class").alias(x), F.col("set").alias(f"set_{x}")), x)
+    return materialize(likely.where(_confirmed(percent)).select("a", "b"))
 
 
 def _edges(names: np.ndarray, forest: Forest) -> pa.RecordBatch:
@@ -346,8 +345,8 @@ def _rest(docs, key, text, classes, meetings, labels: _Labels, tested: DataFrame
     if members.isEmpty():
         return links
     meeting = _cluster_tiles(members)
-    sets = _texts_of(docs, key, text, classes, members.select("class"), size).select("class", _set_of(size)(F.col("text")).alias("set"))
-    confirmed = _tiled(meeting.join(materialize(sets), "class"), ["cluster", "i", "j"], _confirmed_edges, percent)
+    sets = _sets_of(docs, key, text, classes, members.select("class"), size)
+    confirmed = _tiled(meeting.join(sets, "class"), ["cluster", "i", "j"], _confirmed_edges, percent)
     return materialize(links.unionByName(confirmed))
 
 
