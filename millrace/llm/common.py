@@ -54,9 +54,15 @@ def release() -> None:
     """Give up what the worker keeps: called by work that needs none of it, and returned to the system where it can be."""
     if _HELD:
         _HELD.clear()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Return freed memory to the system where it can be."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

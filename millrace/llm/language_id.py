@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import release, share, slices, utf8
+from millrace.llm.common import release, share, slices, trim, utf8
 
 UNDETERMINED = "und"
 _SPACE = 32
@@ -209,7 +209,11 @@ def train(
     g, n = (counted.column(c).to_numpy() for c in ("g", "n"))
     in_order = np.argsort(g)
     g, n = g[in_order], n[in_order].astype(np.float64)
-    return build(languages, g >> 32, g & 0xFFFFFFFF, n, max_states)
+    del counted
+    model = build(languages, g >> 32, g & 0xFFFFFFFF, n, max_states)
+    del g, n
+    trim()
+    return model
 
 
 def language_of(docs: DataFrame, text: Column, model: LanguageModel) -> Column:

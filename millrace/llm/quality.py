@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import release, share, slices, utf8
+from millrace.llm.common import release, share, slices, trim, utf8
 from millrace.llm.words import words
 
 TRIPLES = 2048
@@ -79,7 +79,7 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def _singular_vectors(rows: np.ndarray, rank: int, seed: int) -> np.ndarray:
     """The leading right singular vectors by subspace iteration."""
-    basis = np.random.default_rng(seed).standard_normal((rows.shape[1], min(rank + 16, *rows.shape)))
+    basis = np.random.default_rng(seed).standard_normal((rows.shape[1], min(rank + 16, *rows.shape))).astype(rows.dtype)
     for _ in range(6):
         basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
     left, _, right = np.linalg.svd(rows @ basis, full_matrices=False)
@@ -142,8 +142,7 @@ def train(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [np.minimum(b, 65535).astype("<u2") for b in _blocks(batch.column(2))]
-            rows = [r.tobytes() for b in blocks for r in b]
+            rows = [r.tobytes() for b in _blocks(batch.column(2)) for r in b.astype("<u4")]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], ["y", "f"])
 
     rows = shown.select(key, F.col("__label").cast("int"), "__text").mapInArrow(features, "y int, f binary").toArrow()
@@ -151,13 +150,20 @@ def train(
     if not len(y):
         one = np.ones(TRIPLES, np.float32)
         return QualityModel(one, np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), y, neighbours)
-    counts = np.frombuffer(b"".join(rows.column("f").to_pylist()), "<u2").reshape(len(y), FEATURES)
+    counts = np.empty((len(y), FEATURES), "<u4")
+    for i, f in enumerate(rows.column("f")):
+        counts[i] = np.frombuffer(f.as_buffer(), "<u4")
+    del rows
     order = np.lexsort((*counts[:, :8].T, counts.sum(axis=1), y))
     y, counts = y[order], counts[order]
     idf = np.log((1 + len(y)) / (1 + (counts[:, :TRIPLES] > 0).sum(axis=0))).astype(np.float32) + 1
     weighted = _weighted(counts, idf)
+    del counts
     axes = _singular_vectors(weighted, min(rank, *weighted.shape), seed).astype(np.float32)
-    return QualityModel(idf, axes, _unit(weighted @ axes).astype(np.float32), y, neighbours)
+    vectors = _unit(weighted @ axes).astype(np.float32)
+    del weighted
+    trim()
+    return QualityModel(idf, axes, vectors, y, neighbours)
 
 
 def quality_score(docs: DataFrame, text: Column, model: QualityModel) -> Column:
