@@ -89,7 +89,7 @@ def append_fields(
     (source chunk, target slice), so that neither side is ever copied whole into one
     task.
     """
-    source = _renamed(source, {c: f"{c}{suffix}" for c in source.columns if c in target.columns}, target.columns)
+    source = renamed_apart(source, {c: f"{c}{suffix}" for c in source.columns if c in target.columns}, target.columns)
     if all(isinstance(f.dataType, _CONSTANT_TYPES) for f in source.schema.fields):
         head = source.limit(2).collect()
         if len(head) == 1:
@@ -182,7 +182,7 @@ def _has_hot_key(side: tuple[DataFrame, list[str]], hot_rows: int | None) -> boo
     return not heavy_keys(df, keys, hot_rows).isEmpty()
 
 
-def _renamed(df: DataFrame, names: dict[str, str], taken: Sequence[str]) -> DataFrame:
+def renamed_apart(df: DataFrame, names: dict[str, str], taken: Sequence[str]) -> DataFrame:
     clash = [n for n in names.values() if n in taken or n in df.columns]
     if clash:
         raise ValueError(f"column names already in use: {clash}")

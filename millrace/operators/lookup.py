@@ -205,23 +205,16 @@ def _prefilter(hashes: DataFrame) -> np.ndarray:
     """A bit set in which every anchor's hash is marked: some 16 bits per anchor, 128 MB at most.
 
     A hash that is not marked is no anchor's, so nothing is lost; few others pass, and
-    the join drops them.  Hashes stream through the driver one partition at a time.
+    the join drops them.  Tasks put the bits together; the driver gets finished words.
     """
     size = 1 << min(30, max(16, (16 * hashes.count()).bit_length()))
-    marks = np.zeros(size // 8, np.uint8)
-    held = []
-
-    def mark() -> None:
-        bits = _slots(np.array(held, np.int64), size)
-        np.bitwise_or.at(marks, bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
-        held.clear()
-
-    for row in hashes.toLocalIterator(prefetchPartitions=True):
-        held.append(row[0])
-        if len(held) == 100_000:
-            mark()
-    mark()
-    return marks
+    name = hashes.columns[0]
+    slot = (F.col(name).bitwiseXOR(F.shiftright(name, 32))).bitwiseAND(F.lit(size - 1))
+    slots = hashes.select(F.shiftright(slot, 6).cast("int").alias("at"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = slots.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).toArrow()
+    marks = np.zeros(size // 64, "<i8")
+    marks[words["at"].to_numpy()] = words["mask"].to_numpy()
+    return marks.view(np.uint8)
 
 
 def _slots(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -6,6 +6,7 @@ from millrace.operators.columns import select_columns
 from millrace.operators.filters import filter_true
 from millrace.operators.formulas import with_formulas
 from millrace.operators.joins import append_fields, join, join_anchors
+from millrace.operators.range_join import range_join
 from millrace.operators.lookup import find_replace
 from millrace.operators.sets import union_all
 from millrace.operators.summarize import Agg, summarize
@@ -170,6 +171,47 @@ def theta_append(t):
     return filter_true(append_fields(lines, _mean_price(t)), "l_extendedprice >= mean_price")
 
 
+@query("""
+SELECT s_suppkey, count(*) AS customers, min(c_acctbal) AS least, max(c_custkey) AS last
+FROM supplier JOIN customer ON c_acctbal >= s_acctbal GROUP BY s_suppkey
+""")
+def theta_join_richer(t):
+    """An inequality between two tables, counted per row of one."""
+    pairs = range_join(t.customer, t.supplier, "c_acctbal", low="s_acctbal", rows_per_range=200)
+    return pairs.groupBy("s_suppkey").agg(
+        F.count(F.lit(1)).alias("customers"), F.min("c_acctbal").alias("least"), F.max("c_custkey").alias("last")
+    )
+
+
+@query("""
+SELECT e.event_id, p.event_id AS opened FROM events e JOIN events p
+  ON p.user_id = e.user_id AND p.event_id % 5 = 0 AND e.ts > p.ts AND e.ts <= p.ts + INTERVAL 1 DAY
+""")
+def band_join_periods(t):
+    """Events in the day after certain events of the same user."""
+    periods = t.events.where("event_id % 5 = 0").select(
+        F.col("event_id").alias("opened"), "user_id", F.col("ts").alias("since"), F.expr("ts + INTERVAL 1 DAY").alias("until")
+    )
+    found = range_join(
+        t.events, periods, "ts", "since", "until", include_low=False, include_high=True, on=["user_id"], rows_per_range=500
+    )
+    return found.select("event_id", "opened")
+
+
+@query("""
+SELECT p_brand, count(*) AS lines, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN part
+  ON l_extendedprice > p_retailprice AND l_extendedprice <= p_retailprice + 10 GROUP BY p_brand
+""")
+def band_join_prices(t):
+    """Lines whose price lies at most 10 above a part's, whatever the part."""
+    parts = t.part.select("p_brand", "p_retailprice", (F.col("p_retailprice") + 10).alias("most"))
+    lines = t.lineitem.select("l_orderkey", "l_extendedprice")
+    found = range_join(lines, parts, "l_extendedprice", "p_retailprice", "most", include_low=False, include_high=True)
+    return found.groupBy("p_brand").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("l_orderkey").alias("orders")
+    )
+
+
 @query("SELECT * FROM customer, region")
 def append_rows(t):
     return append_fields(t.customer, t.region)

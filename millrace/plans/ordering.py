@@ -171,23 +171,23 @@ def sample_hash_check(t):
 
 @query(ORACLES["lag_lead"])
 def lag_lead_hot(t):
-    return lag_lead(t, hot_rows=75)
+    return lag_lead(t, hot_rows=10)
 
 
 @query(ORACLES["running_total_per_user"])
 def running_total_hot(t):
-    return running_total_per_user(t, hot_rows=75)
+    return running_total_per_user(t, hot_rows=10)
 
 
 @query(ORACLES["fill_down_types"])
 def fill_down_hot(t):
-    return fill_down_types(t, hot_rows=75)
+    return fill_down_types(t, hot_rows=10)
 
 
 @query(ORACLES["fold_balance"].replace("cast(balance AS double)", "round(balance::double, 6)"))
 def fold_balance_hot(t):
     """Composed steps add up in another order: the last bits of doubles may differ."""
-    out = fold_balance(t, group_rows=75)
+    out = fold_balance(t, group_rows=10)
     return out.withColumn("balance", F.round("balance", 6))
 
 
@@ -210,7 +210,7 @@ def fold_total(t, **limits):
 
 @query(_FOLD_TOTAL)
 def fold_total_hot(t):
-    return fold_total(t, group_rows=75)
+    return fold_total(t, group_rows=10)
 
 
 @query(ORACLES["record_ids"])

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.naming import all_equal, col, cols, quote, require, sortable
+from millrace.naming import cols, require
 from millrace.operators.ordered import dedupe_by_key
 
 WRITE_MODES = ("overwrite", "append")
@@ -21,7 +21,6 @@ _COLUMN_MAPPING = {
 }
 # Characters that such a table needs the properties for (fixed values).
 _UNSAFE = re.compile(r"[ ,;{}()\[\]\t\n=]")
-_VERSION = "version="
 
 
 def needs_column_mapping(df: DataFrame) -> bool:
@@ -63,43 +62,21 @@ def merge_rows(
     tie the one with the smallest remaining columns.  The same holds against the stored
     row, so the result does not depend on how changes are cut into batches, and replayed
     or late batches do no harm.  Without ``sequence_by`` the batch always wins.
-    ``target`` holds one row per key.
 
-    The changes are reduced to one row per key first; where that makes them small,
-    the target is neither shuffled nor sorted.
+    State and changes meet in one shuffle by key, before which Spark drops all but the
+    first row of a key in every task.
     """
     names = target.columns
     require(target, [*keys, *([sequence_by] if sequence_by else [])])
     require(source, names)
-    rest = [c for c in names if c not in keys]
-    changes = dedupe_by_key(source.select(*cols(names)), keys, [sequence_by] if sequence_by else [])
-    key_alias = {k: f"__change_key_{i}" for i, k in enumerate(keys)}
-    change = changes.select(
-        *[col(k).alias(a) for k, a in key_alias.items()],
-        F.struct(F.lit(True).alias("__hit"), *cols(rest)).alias("__change"),
-    )
-    same = all_equal((col(k), F.col(a)) for k, a in key_alias.items())
-    applies = F.col("__change").isNotNull()
-    if sequence_by:
-        stored, new = col(sequence_by), F.col("__change").getField(sequence_by)
-        ties = [c for c in rest if c != sequence_by and sortable(target.schema[c].dataType)]
-        smaller = F.lit(False)
-        if ties:
-            smaller = F.struct(*[F.col("__change").getField(c).alias(c) for c in ties]) < F.struct(*cols(ties))
-        applies &= stored.isNull() & new.isNotNull() | F.coalesce(new > stored, F.lit(False)) | new.eqNullSafe(stored) & smaller
-    updated = target.join(change, same, "left").select(
-        *[
-            col(c) if c in keys else F.when(applies, F.col("__change").getField(c)).otherwise(col(c)).alias(c)
-            for c in names
-        ]
-    )
-    # of the target only the keys hit by a change are needed to find the new ones
-    hits = target.select(*cols(keys)).join(change.select(*key_alias.values()), same, "left_semi")
-    hits = hits.select(*[col(k).alias(a) for k, a in key_alias.items()])
-    return updated.unionByName(changes.join(hits, same, "left_anti"))
+    both = target.withColumn(_NEW, F.lit(False)).unionByName(source.select(*cols(names)).withColumn(_NEW, F.lit(True)))
+    return dedupe_by_key(both, keys, [sequence_by or _NEW]).drop(_NEW)
 
 
 DELETED = "_deleted"
+BUCKETS = 16
+_BUCKET, _NEW = "__bucket", "__new"
+_DATA, _PENDING = "buckets=", "_pending"
 
 
 def upsert(
@@ -109,7 +86,7 @@ def upsert(
     keys: Sequence[str],
     sequence_by: str | None = None,
     delete_when: str | None = None,
-    keep_versions: int = 2,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Apply changes to the parquet table at path ``target``; returns the new state.
 
@@ -117,45 +94,73 @@ def upsert(
     stays stored with its sequence, so that an older change arriving late cannot
     bring it back.
 
-    Plain files cannot be updated in place, and a table cannot be overwritten while
-    it is read: the new state is written beside the old one as the next version, and
-    counts only once it is complete.  The last ``keep_versions`` states stay, so that
-    running readers finish.  Tables whose catalog updates rows go through
-    ``merge_into`` instead, which rewrites only the files it touches.
+    The table is partitioned by a hash of the keys into ``buckets``, which the first
+    call fixes.  A batch reads and replaces only the buckets that it has keys of; the
+    files of all others stay.  Choose so many that a bucket is a few files.
+
+    The new buckets are written beside the table first and then put in place.  If that is
+    interrupted, the next call begins by finishing it, so a batch applies whole or, sent
+    again, once more with the same result.  One writer at a time.  Readers may see a
+    part of the buckets replaced while a call runs.
     """
-    if keep_versions < 1:
-        raise ValueError("keep_versions must be at least 1")
+    if buckets < 1:
+        raise ValueError("buckets must be at least 1")
+    _finish(spark, target)
     gone = F.coalesce(F.expr(delete_when), F.lit(False)) if delete_when else F.lit(False)
     changes = source.withColumn(DELETED, gone)
-    version = _latest_version(spark, target)
-    if version is None:
+    held = _bucket_count(spark, target)
+    changes = changes.withColumn(_BUCKET, F.pmod(F.xxhash64(*cols(keys)), F.lit(held or buckets)).cast("int"))
+    if held is None:
+        if changes.isEmpty():
+            return source.limit(0)  # no table yet
         new = dedupe_by_key(changes, keys, [sequence_by] if sequence_by else [])
     else:
-        new = merge_rows(changes, spark.read.parquet(_version_path(target, version)), keys, sequence_by)
-    new.write.mode("overwrite").parquet(_version_path(target, (version or 0) + 1))
-    for old in _complete_versions(spark, target)[:-keep_versions]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_version_path(target, old))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        hit = [r[0] for r in changes.select(_BUCKET).distinct().collect()]  # at most one per bucket
+        if not hit:
+            return read_latest(spark, target)
+        stored = spark.read.parquet(f"{target}/{_DATA}{held}")
+        new = merge_rows(changes, stored.where(F.col(_BUCKET).isin(hit)), keys, sequence_by)
+    pending = f"{target}/{_PENDING}/{_DATA}{held or buckets}"
+    # Rebalanced by bucket: about one file each, several where a bucket is large.
+    new.hint("rebalance", F.col(_BUCKET)).write.mode("overwrite").partitionBy(_BUCKET).parquet(pending)
+    _finish(spark, target)
     return read_latest(spark, target)
 
 
 def read_latest(spark: SparkSession, target: str) -> DataFrame:
     """The current state of a table kept by ``upsert``."""
-    version = _latest_version(spark, target)
-    if version is None:
-        raise ValueError(f"no complete version at {target}")
-    stored = spark.read.parquet(_version_path(target, version))
-    return stored.where(~F.col(DELETED)).drop(DELETED)
+    held = _bucket_count(spark, target)
+    if held is None:
+        raise ValueError(f"no table at {target}")
+    stored = spark.read.parquet(f"{target}/{_DATA}{held}")
+    return stored.where(~F.col(DELETED)).drop(DELETED, _BUCKET)
+
+
+def _finish(spark: SparkSession, target: str) -> None:
+    """Put completely written buckets in place and forget them; incomplete ones are dropped."""
+    files, path = _files(spark, target)
+    pending = path(f"{target}/{_PENDING}")
+    if not files.exists(pending):
+        return
+    for status in files.listStatus(pending):
+        name = status.getPath().getName()
+        if files.exists(path(f"{target}/{_PENDING}/{name}/_SUCCESS")):
+            writer = spark.read.parquet(f"{target}/{_PENDING}/{name}").write.mode("overwrite")
+            writer.option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(f"{target}/{name}")
+    files.delete(pending, True)
 
 
-def merge_into(source: DataFrame, table: str, keys: Sequence[str]) -> None:
-    """Upsert into a catalog table that supports row-level changes (MERGE INTO).
+def _bucket_count(spark: SparkSession, target: str) -> int | None:
+    files, path = _files(spark, target)
+    if not files.exists(path(target)):
+        return None
+    names = [s.getPath().getName() for s in files.listStatus(path(target))]
+    return next((int(n[len(_DATA) :]) for n in names if n.startswith(_DATA)), None)
 
-    ``source`` must hold one row per key.
-    """
-    changes = source.alias("changes")
-    same = all_equal((F.col(f"{table}.{quote(k)}"), F.col(f"changes.{quote(k)}")) for k in keys)
-    changes.mergeInto(table, same).whenMatched().updateAll().whenNotMatched().insertAll().merge()
+
+def _files(spark: SparkSession, target: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(target).getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def _save_options(df, mode, fmt, partition_by, column_mapping):
@@ -168,26 +173,3 @@ def _save_options(df, mode, fmt, partition_by, column_mapping):
     if wanted and fmt == "delta":
         writer = writer.options(**_COLUMN_MAPPING)
     return writer.partitionBy(*partition_by) if partition_by else writer
-
-
-def _version_path(target: str, version: int) -> str:
-    return f"{target}/{_VERSION}{version}"
-
-
-def _latest_version(spark: SparkSession, target: str) -> int | None:
-    return max(_complete_versions(spark, target), default=None)
-
-
-def _complete_versions(spark: SparkSession, target: str) -> list[int]:
-    """Versions whose write finished, oldest first."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(target)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return []
-    complete = []
-    for status in files.listStatus(root):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith(_VERSION) and files.exists(done):
-            complete.append(int(name[len(_VERSION) :]))
-    return sorted(complete)

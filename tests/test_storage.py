@@ -1,3 +1,5 @@
+import shutil
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -85,15 +87,56 @@ def test_upsert_replays_late_changes_and_deletions(spark, people, tmp_path):
     for batch in (people, gone, gone, late, people):
         upsert(spark, batch, target, ["id"], "seq", delete_when="name = '-'")
     assert rows(read_latest(spark, target)) == [(1, "Anna", 3)]
-    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["version=4", "version=5"]
     back = late.withColumn("seq", F.lit(9))
     assert rows(upsert(spark, back, target, ["id"], "seq", delete_when="name = '-'")) == [(1, "Anna", 3), (2, "late", 9)]
-    (tmp_path / "t" / "version=99").mkdir()  # an interrupted write does not count
+    (tmp_path / "t" / "_pending" / "buckets=16").mkdir(parents=True)  # an interrupted write does not count
     assert read_latest(spark, target).count() == 2
+    assert rows(upsert(spark, late, target, ["id"], "seq")) == [(1, "Anna", 3), (2, "late", 9)]
+    assert not (tmp_path / "t" / "_pending").exists()
     with pytest.raises(ValueError):
         read_latest(spark, str(tmp_path / "none"))
 
 
+def _bucket_files(folder):
+    return {p.parent.name: sorted(q.name for q in p.parent.glob("*.parquet")) for p in folder.glob("buckets=*/*/*.parquet")}
+
+
+def test_upsert_keeps_untouched_buckets(spark, tmp_path):
+    target = str(tmp_path / "t")
+    start = spark.range(200).selectExpr("id", "id * 2 AS v", "1 AS seq")
+    upsert(spark, start, target, ["id"], "seq", buckets=16)
+    before = _bucket_files(tmp_path / "t")
+    assert len(before) == 16
+    change = spark.createDataFrame([(7, -1, 2), (7, -2, 2), (1000, 5, 2)], start.schema)
+    hit = {f"__bucket={r[0]}" for r in change.selectExpr("pmod(xxhash64(id), 16)").collect()}
+    for _ in range(2):  # sent twice
+        got = upsert(spark, change, target, ["id"], "seq", buckets=3)  # the count of the first call holds
+        assert got.count() == 201 and rows(got.where("id IN (7, 1000)")) == [(7, -2, 2), (1000, 5, 2)]
+        after = _bucket_files(tmp_path / "t")
+        assert {b for b in after if after[b] != before[b]} == hit and len(after) == 16
+    assert rows(upsert(spark, change.limit(0), target, ["id"], "seq")) == rows(got)
+
+
+def test_upsert_finishes_what_was_interrupted(spark, people, tmp_path):
+    target = str(tmp_path / "t")
+    upsert(spark, people, target, ["id"], "seq", buckets=1)
+    shutil.copytree(tmp_path / "t", tmp_path / "copy")
+    changed = people.withColumns({"seq": F.lit(50), "name": F.lit("z")})
+    upsert(spark, changed, str(tmp_path / "copy"), ["id"], "seq")
+    # All is written, then the writer dies half way: the only bucket is gone.
+    (tmp_path / "t" / "_pending").mkdir()
+    shutil.copytree(tmp_path / "copy" / "buckets=1", tmp_path / "t" / "_pending" / "buckets=1")
+    (tmp_path / "t" / "_pending" / "buckets=1" / "_SUCCESS").touch()
+    shutil.rmtree(tmp_path / "t" / "buckets=1" / "__bucket=0")
+    assert rows(upsert(spark, people, target, ["id"], "seq")) == rows(read_latest(spark, str(tmp_path / "copy")))
+
+
+def test_upsert_of_nothing(spark, people, tmp_path):
+    target = str(tmp_path / "t")
+    assert rows(upsert(spark, people.limit(0), target, ["id"], "seq")) == []
+    assert rows(upsert(spark, people, target, ["id"], "seq")) == rows(people)
+
+
 def test_medallion(spark, people, tmp_path):
     out = medallion(
         spark,
