@@ -39,14 +39,27 @@ def compare_counts(source: DataFrame, target: DataFrame) -> DataFrame:
 def column_checksum(name: str) -> Column:
     """Order-independent checksum of a column, NULLs included, salted with its name.
 
-    Hash values are summed as decimals of 38 digits: no cancelling of pairs, and no
-    overflow below 10^19 rows, even where they all hold the same value.
+    The sum of all 64-bit hashes as a whole number: three parts of each are summed as
+    longs, which holds for 4 * 10^12 rows even where all have the same value.
     """
-    return F.coalesce(F.sum(_hash_value(name)), F.lit(0).cast("decimal(38,0)"))
+    zero = F.lit(0).cast(_WIDE)
+    sums = [F.sum(p).cast(_WIDE) * F.lit(1 << shift).cast("decimal(17,0)") for p, shift in _hash_parts(name)]
+    return F.coalesce((sums[0].cast(_WIDE) + sums[1].cast(_WIDE) + sums[2].cast(_WIDE)).cast(_WIDE), zero)
 
 
-def _hash_value(name: str) -> Column:
-    return F.xxhash64(F.lit(name), col(name).isNull(), col(name)).cast("decimal(28,0)")
+_WIDE = "decimal(38,0)"
+_PART_BITS = 21
+
+
+def _hash_parts(name: str) -> list[tuple[Column, int]]:
+    """The hash of a value in three numbers, with the bits each stands above."""
+    value = F.xxhash64(F.lit(name), col(name).isNull(), col(name))
+    low = (1 << _PART_BITS) - 1
+    return [
+        (F.shiftright(value, 2 * _PART_BITS), 2 * _PART_BITS),
+        (F.shiftright(value, _PART_BITS).bitwiseAND(F.lit(low)), _PART_BITS),
+        (value.bitwiseAND(F.lit(low)), 0),
+    ]
 
 
 def column_checksums(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -118,6 +131,13 @@ def _key_value(func: str, column: str, side: Column) -> Column:
     return _KEY_FUNCS[func](F.when(side, col(column))).cast("double")
 
 
+def _balanced(prefix: str) -> Column:
+    """Whether all three parts add up to nothing; sums beyond a long do not."""
+    sums = [F.col(f"{prefix}{k * _PART_BITS}") for k in range(3)]
+    none = [F.coalesce(F.try_sum(x), F.count(x)) == 0 for x in sums]
+    return none[0] & none[1] & none[2]
+
+
 def parity_report(
     source: DataFrame, target: DataFrame, keys: Sequence[str], values: Sequence[str], func: str = "sum"
 ) -> DataFrame:
@@ -131,13 +151,14 @@ def parity_report(
     names = list(dict.fromkeys([*keys, *values]))
     for side in (source, target):
         require(side, names)
-    is_source, none = F.col("__source"), F.lit(0).cast("decimal(38,0)")
+    is_source = F.col("__source")
     by_key = _both(source, target, names).groupBy(*cols(keys)).agg(
         F.count_if(is_source).alias("__in_source"),
         F.count_if(~is_source).alias("__in_target"),
         *[
-            F.sum(F.when(is_source, _hash_value(c)).otherwise(-_hash_value(c))).alias(f"__balance_{i}")
+            F.sum(F.when(is_source, part).otherwise(-part)).alias(f"__balance_{i}_{shift}")
             for i, c in enumerate(names)
+            for part, shift in _hash_parts(c)
         ],
         *[_key_value(func, c, is_source).alias(f"__source_{i}") for i, c in enumerate(values)],
         *[_key_value(func, c, ~is_source).alias(f"__target_{i}") for i, c in enumerate(values)],
@@ -146,7 +167,7 @@ def parity_report(
     zero = F.lit(0).cast("long")
     outcomes = by_key.agg(
         (F.coalesce(F.sum("__in_source"), zero) == F.coalesce(F.sum("__in_target"), zero)).alias("rows"),
-        *[(F.coalesce(F.sum(f"__balance_{i}"), none) == none).alias(f"sum_{i}") for i in range(len(names))],
+        *[_balanced(f"__balance_{i}_").alias(f"sum_{i}") for i in range(len(names))],
         *[
             (F.count_if(one_sided | ~_close(F.col(f"__source_{i}"), F.col(f"__target_{i}"))) == 0).alias(f"key_{i}")
             for i in range(len(values))

@@ -77,7 +77,7 @@ def script_groups(t, **limits):
 @query(ORACLES["script_groups"])
 def script_groups_cut(t):
     """The longest groups cut into blocks."""
-    return script_groups(t, group_rows=75)
+    return script_groups(t, group_rows=10)
 
 
 @query("""

@@ -102,7 +102,7 @@ def concat_alone(t):
     """Nothing but concatenation, block by block."""
     orders = t.orders.withColumn("priority", F.nullif("o_orderpriority", F.lit("5-LOW")))
     joined = Agg("priority", "concat", "priorities", ("o_orderdate", "o_orderkey"), sep="|")
-    return summarize(orders, ["o_custkey"], [joined], concat_rows=17)
+    return summarize(orders, ["o_custkey"], [joined], concat_rows=6)
 
 
 @query('SELECT count(*) AS "Count" FROM lineitem')
@@ -154,7 +154,7 @@ def duplicates(t):
 
 @query(ORACLES["duplicates"])
 def duplicates_hot(t):
-    return unique(t.lineitem, ["l_orderkey"], ["l_shipdate"], hot_rows=11).duplicates
+    return unique(t.lineitem, ["l_orderkey"], ["l_shipdate"], hot_rows=7).duplicates
 
 
 @query("SELECT l_returnflag, approx AS near FROM (SELECT l_returnflag, true AS approx FROM lineitem GROUP BY l_returnflag)")
