@@ -106,6 +106,14 @@ class _File:
         return self.held[position - self.at : position - self.at + length]
 
 
+    def peek(self, position: int, length: int) -> bytes:
+        """A few bytes, without reading on."""
+        if self.at <= position and position + length <= self.at + len(self.held):
+            return self.held[position - self.at : position - self.at + length]
+        self.file.seek(position)
+        return self.file.read(length)
+
+
 class _Member:
     """The gzip member at ``position``: inflated as far as asked for."""
 
@@ -113,7 +121,7 @@ class _Member:
         self.file, self.begin = file, position
         self.inflate = zlib.decompressobj(31)
         self.fed, self.out, self.length = position, b"", None
-        head = file.read(position, 24)
+        head = file.peek(position, 24)
         if head[3:4] == b"\x04" and head[12:16] == b"sl\x08\x00":
             self.length = struct.unpack("<I", head[16:20])[0]
 
@@ -138,31 +146,22 @@ class _Member:
         return self.fed - len(self.inflate.unused_data)
 
 
-def _starts_record(file: _File, position: int) -> bool:
-    try:
-        first = _Member(file, position)
-        return first.grow(5) and first.out[:5] == b"WARC/"
-    except (ValueError, zlib.error):
-        return False
-
+def _first_member(file: _File, start: int) -> int:
+    """The first position from ``start`` on where a record begins, reached from the file's first one by lengths.
 
-def _first_member(file: _File, start: int, stop: int) -> int | None:
-    """The first position in [start, stop) where a compressed record begins."""
-    at = start
-    while at < stop:
-        chunk = file.read(at, _CHUNK)
-        found = chunk.find(_MAGIC)
-        while found >= 0 and at + found < stop:
-            if _starts_record(file, at + found):
-                return at + found
-            found = chunk.find(_MAGIC, found + 1)
-        at += max(1, len(chunk) - len(_MAGIC) + 1)
-    return None
+    A payload may hold an archive itself, so bytes that look like a record prove nothing.
+    """
+    at = 0
+    while at < min(start, file.size):
+        at = _Member(file, at).end()
+    return at
 
 
 def _compressed(file: _File, start: int, stop: int, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    at = start if start == 0 else _first_member(file, start, stop)
-    while at is not None and at < min(stop, file.size):
+    if _Member(file, 0).length is None:  # records that do not tell their lengths: the first range takes all of them
+        start, stop = (0, file.size) if start == 0 else (file.size, file.size)
+    at = _first_member(file, start)
+    while at < min(stop, file.size):
         one = _Member(file, at)
         end = -1
         while end < 0 and one.grow(len(one.out) + 1):

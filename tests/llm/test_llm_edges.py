@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import gzip
 import itertools
 import math
 import re
@@ -19,7 +20,7 @@ from millrace.llm.mixing import Weights, budgets, deal, mix, word_count
 from millrace.llm.packing import WordIds, pack, plan, tokenize
 from millrace.llm.sharding import shard, text_key
 from millrace.llm.token_counts import Merges, token_count
-from millrace.llm.warc import WarcSource, archived_pages, write_pages
+from millrace.llm.warc import WarcSource, archived_pages, member, record, write_pages
 from millrace.session import scratch_path
 
 LONG = " ".join(f"word{i % 977} and{i}" for i in range(30_000))
@@ -412,6 +413,27 @@ def test_archive_reader_cuts_files_and_pushes_predicates(session):
     assert bare.where("record_type = 'response' AND payload IS NULL").count() == len(rows)
 
 
+@pytest.mark.parametrize("tells", [True, False])
+def test_archive_reader_is_not_misled_by_archives_inside(session, tmp_path, tells):
+    noise = np.random.default_rng(1)
+
+    def entry(name, block):
+        whole = record({"WARC-Type": "response", "WARC-Record-ID": name}, block)
+        return member(whole) if tells else gzip.compress(whole)
+
+    payloads = {}
+    for i in range(3):  # records that cannot be compressed are stored as they are, with their own headers in sight
+        inner = b"".join(entry(f"inner{i}-{j}", noise.bytes(9000)) for j in range(6))
+        payloads[f"outer{i}"] = inner
+    body = b"".join(entry(name, block) for name, block in payloads.items())
+    (tmp_path / "a.warc.gz").write_bytes(body)
+    session.dataSource.register(WarcSource)
+    for size in (len(body), len(body) // 2, len(body) // 7, 5000):
+        found = session.read.format("warc").option("partition_bytes", str(size)).load(str(tmp_path))
+        assert {r.record_id: bytes(r.payload) for r in found.collect()} == payloads
+        assert found.count() == 3
+
+
 def test_archive_reader_takes_other_writers_files(session, tmp_path):
     import gzip
 
