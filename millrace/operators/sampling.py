@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from millrace.naming import OrderBy, cols, order_names, row_hash, sort_keys
+from millrace.naming import OrderBy, cols, order_names, require, row_hash, sort_keys
 from millrace.operators.positions import HOT_ROWS, POSITION, in_ordered_groups, numbered
 
 _TOP_K = 10_000  # up to here every task's first N go to one; beyond, rows are numbered
@@ -68,3 +68,29 @@ def sample_fraction(df: DataFrame, fraction: float, key_columns: Sequence[str],
         raise ValueError("fraction must lie between 0 and 1")
     bucket = F.pmod(F.xxhash64(F.lit(seed).cast("long"), *cols(key_columns)), F.lit(1_000_000))
     return df.where(bucket < round(fraction * 1_000_000))
+
+
+def sample_exact(
+    df: DataFrame,
+    n: int,
+    key: Sequence[str],
+    seed: int = 0,
+    group_by: Sequence[str] = (),
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Exactly ``n`` random rows (all, if fewer), overall or of every group.
+
+    The rows with the smallest MD5 of the seed and their ``key`` columns: the same rows however the table is laid
+    out, and as likely as any others.  Up to 10 000 rows (1000 per group) every task keeps only its own smallest;
+    beyond, rows are numbered by range, so that no task sorts a large group.  Rows of one key rank by their other
+    columns.  A table that is drawn from twice with one seed gives the smaller sample inside the larger.
+    """
+    if n < 0:
+        raise ValueError("n must not be negative")
+    require(df, [*key, *group_by])
+    text = F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols(key)])
+    drawn = df.withColumn(_DRAW, F.md5(text))
+    return sample(drawn, n, order_by=[_DRAW], group_by=group_by, hot_rows=hot_rows).drop(_DRAW)
+
+
+_DRAW = "__draw"

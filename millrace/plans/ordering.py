@@ -12,7 +12,7 @@ from millrace.operators.ordered import (
     row_tag,
     running_total,
 )
-from millrace.operators.sampling import sample, sample_fraction, sort
+from millrace.operators.sampling import sample, sample_exact, sample_fraction, sort
 from millrace.operators.scripts import multi_row_fold
 from millrace.plans.registry import ORACLES, query
 
@@ -166,6 +166,25 @@ def sample_hash_check(t):
     )
 
 
+_DRAWN_SQL = """
+SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('3|' || o_orderkey)) AS r
+  FROM orders) WHERE r <= 400
+"""
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('3|' || o_orderkey) LIMIT 700")
+def sample_exact_rows(t):
+    """Exactly 700 random orders."""
+    return sample_exact(t.orders, 700, ["o_orderkey"], seed=3).select("o_orderkey", "o_totalprice")
+
+
+@query(_DRAWN_SQL)
+def sample_exact_group(t):
+    """Exactly 400 random orders of every status, or all of them."""
+    orders = t.orders.select("o_orderkey", "o_orderstatus")
+    return sample_exact(orders, 400, ["o_orderkey"], seed=3, group_by=["o_orderstatus"])
+
+
 # The ways for large groups, forced on the largest ones by small limits: they must give the same rows.
 
 

@@ -17,7 +17,7 @@ from millrace.operators.ordered import (
     running_total,
 )
 from millrace.operators.positions import POSITION, numbered, split_by_group_size
-from millrace.operators.sampling import sample, sample_fraction, sort
+from millrace.operators.sampling import sample, sample_exact, sample_fraction, sort
 from millrace.operators.scripts import map_groups, map_pandas, multi_row_fold, scan_groups
 from millrace.operators.sets import unique
 from millrace.naming import sort_keys
@@ -279,3 +279,22 @@ def test_map_groups_streams_in_order(skewed, spark):
 def test_map_pandas(skewed):
     got = map_pandas(skewed.select("id"), lambda f: f.assign(twice=f.id * 2), "id long, twice long")
     assert rows(got) == [(i, 2 * i) for i in range(600)]
+
+
+def test_exact_samples(spark):
+    df = spark.range(600).selectExpr("id", "IF(id % 3 = 0, NULL, id % 2) AS g", "id % 5 AS copy")
+
+    def drawn(n, source=df, **more):
+        return rows(sample_exact(source, n, ["id"], **more))
+
+    for n in (0, 1, 50, 600, 900):
+        assert len(drawn(n)) == min(n, 600) and drawn(n) == drawn(n, df.repartition(9, "copy"))
+    assert set(drawn(20)) <= set(drawn(50)) and drawn(50, seed=1) != drawn(50)
+    for n, hot in ((7, 10), (1500, 10), (40, None)):  # beyond 1000 by numbering
+        got = sample_exact(df, n, ["id"], group_by=["g"], hot_rows=hot)
+        assert got.columns == df.columns
+        assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == dict.fromkeys((None, 0, 1), min(n, 200))
+    copies = df.select(F.lit(1).alias("id"), "copy")
+    assert len(drawn(33, copies)) == 33 and drawn(5, df.limit(0)) == []
+    with pytest.raises(ValueError):
+        sample_exact(df, -1, ["id"])
