@@ -299,8 +299,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.level = int(options.get("level", 6))
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
-        if overwrite:
-            system.delete_dir_contents(root)
+        self.overwrite = overwrite
 
     def write(self, iterator) -> WriterCommitMessage:
         system, root = _open(self.path)
@@ -333,7 +332,13 @@ class WarcWriter(DataSourceArrowWriter):
         return record(headers, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + body)
 
     def commit(self, messages) -> None:
+        """Earlier files go only now that all new ones are written."""
         system, root = _open(self.path)
+        if self.overwrite:
+            new = {f"_{name}" for m in messages if m for name in m.names}
+            for f in system.get_file_info(fs.FileSelector(root)):
+                if f.base_name not in new:
+                    (system.delete_file if f.is_file else system.delete_dir)(f.path)
         for m in messages:
             for name in m.names if m else []:
                 system.move(f"{root}/_{name}", f"{root}/{name}")

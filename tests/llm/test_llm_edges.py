@@ -434,6 +434,26 @@ def test_archive_reader_is_not_misled_by_archives_inside(session, tmp_path, tell
         assert found.count() == 3
 
 
+def test_archive_writer_replaces_files_only_when_it_is_done(session):
+    path = scratch_path(session, "warc")
+    session.dataSource.register(WarcSource)
+    rows = session.range(5).selectExpr(
+        "'response' AS record_type", "concat('r', id) AS record_id", "'u' AS target_uri", "'2024-01-01T00:00:00Z' AS date",
+        "cast(null AS string) AS refers_to", "'sha1:x' AS digest", "cast('body' AS binary) AS payload", "id",
+    )
+
+    def read():
+        return sorted(r[0] for r in session.read.format("warc").load(path).where("record_type = 'response'").select("record_id").collect())
+
+    rows.drop("id").write.format("warc").mode("overwrite").save(path)
+    failing = rows.withColumn("record_id", F.when(F.col("id") < 9, F.raise_error(F.lit("lost")).cast("string"))).drop("id")
+    with pytest.raises(Exception, match="lost"):
+        failing.write.format("warc").mode("overwrite").save(path)
+    assert read() == [f"r{i}" for i in range(5)]
+    rows.where("id = 2").drop("id").write.format("warc").mode("overwrite").save(path)
+    assert read() == ["r2"]
+
+
 def test_archive_reader_takes_other_writers_files(session, tmp_path):
     import gzip
 
