@@ -14,11 +14,12 @@ from millrace.operators.quality import (
     null_profile,
     parity_report,
     row_parity,
+    row_parity_tree,
     validate,
 )
 from millrace.operators.sets import union_all
 from millrace.operators.summarize import Agg, summarize
-from millrace.plans.registry import query
+from millrace.plans.registry import ORACLES, query
 
 _COLUMNS = ["l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
 
@@ -149,6 +150,29 @@ def row_parity_sample(t):
     return difference_sample(row_parity(copy, lines, ignore=["l_quantity", "l_returnflag"]).missing)
 
 
+@query(ORACLES["row_parity_summary"])
+def parity_tree_summary(t):
+    """Buckets by key; few of their checksums differ in the finer level."""
+    lines, copy = _copies(t)
+    return row_parity_tree(copy, lines, ["l_orderkey", "l_linenumber"]).summary
+
+
+@query(ORACLES["row_parity_missing"])
+def parity_tree_missing(t):
+    """Few buckets of few rows, which are divided down three levels."""
+    lines, copy = _copies(t)
+    return row_parity_tree(copy, lines, ["l_orderkey", "l_linenumber"], ["L_RETURNFLAG"], bits=15, levels=3).missing
+
+
+@query("""
+SELECT count(*) AS migrated_count, count(*) AS expected_count, 0::bigint AS extra_rows, 0::bigint AS missing_rows, true AS passed
+FROM lineitem
+""")
+def parity_tree_equal(t):
+    """A table against itself in another order: nothing is compared row by row."""
+    return row_parity_tree(t.lineitem.repartition(5, "l_suppkey"), t.lineitem).summary
+
+
 _HOLES = "SELECT event_id, nullif(event_type, 'view') AS event_type, nullif(user_id, 8) AS user_id FROM events"
 
 

@@ -9,6 +9,7 @@ from millrace.functions import vocabulary as fn
 from millrace.operators.columns import select_columns
 from millrace.operators.filters import filter_true
 from millrace.operators.formulas import with_formulas
+from millrace.operators.machines import state_fold
 from millrace.operators.relate import lineage_edges
 from millrace.operators.scripts import compose, map_groups, map_pandas, scan_groups
 from millrace.plans.registry import ORACLES, query
@@ -80,6 +81,43 @@ def script_groups_cut(t):
     return script_groups(t, group_rows=10)
 
 
+_STATUS = {
+    "signup": {"visitor": "member", "lost": "member"},
+    "click": {"warned": "member"},
+    "purchase": "buyer",
+    "error": {"member": "warned", "warned": "lost", "buyer": "member"},
+}
+_STEP = """CASE WHEN {e} = 'purchase' THEN 'buyer'
+       WHEN {e} = 'signup' AND {s} IN ('visitor', 'lost') THEN 'member'
+       WHEN {e} = 'click' AND {s} = 'warned' THEN 'member'
+       WHEN {e} = 'error' AND {s} = 'member' THEN 'warned'
+       WHEN {e} = 'error' AND {s} = 'warned' THEN 'lost'
+       WHEN {e} = 'error' AND {s} = 'buyer' THEN 'member' ELSE {s} END"""
+
+
+@query(f"""
+WITH RECURSIVE n AS (
+  SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (
+  SELECT event_id, user_id, event_type, i, {_STEP.format(e="event_type", s="'visitor'")} AS status FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.event_id, n.user_id, n.event_type, n.i, {_STEP.format(e="n.event_type", s="f.status")}
+  FROM f JOIN n ON n.user_id = f.user_id AND n.i = f.i + 1)
+SELECT event_id, user_id, event_type, status FROM f
+""")
+def fold_status(t, **limits):
+    """A user's status, which each event changes according to what it was."""
+    events = select_columns(t.events, ["event_id", "user_id", "ts", "event_type"])
+    folded = state_fold(events, "status", _STATUS, "visitor", "event_type", ["user_id"], ["ts", "event_id"], False, **limits)
+    return folded.drop("ts")
+
+
+@query(ORACLES["fold_status"])
+def fold_status_hot(t):
+    """The same with users cut into ten blocks or so."""
+    return fold_status(t, group_rows=7)
+
+
 @query("""
 SELECT conv_id, turn, role, cast(sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS bigint) AS switches
 FROM (SELECT *, coalesce(role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn), false) AS changed FROM conversations)

@@ -11,6 +11,7 @@ from millrace.operators.sets import union_all
 from millrace.operators.summarize import Agg, summarize
 from millrace.plans.registry import ORACLES, query
 from millrace.session import scratch_path
+from millrace.sources.incremental import read_gold, refresh_gold
 from millrace.sources.layers import medallion
 from millrace.sources.readers import (
     inline_table,
@@ -266,3 +267,41 @@ def stream_upsert(t):
         stream = read_stream(t.spark, source, events.schema)
         apply_changes(stream, target, ["user_id"], "ts", checkpoint).awaitTermination()
     return read_latest(t.spark, target)
+
+
+_GOLD_SQL = """
+SELECT o_custkey, count(*) AS row_count, cast(sum(cast(o_totalprice AS decimal(18, 2))) AS double) AS total,
+       cast(min(cast(o_totalprice AS decimal(18, 2))) AS double) AS smallest,
+       cast(max(cast(o_totalprice AS decimal(18, 2))) AS double) AS largest, max(o_orderdate) AS latest
+FROM orders WHERE {kept} GROUP BY o_custkey
+"""
+
+
+def _loaded_gold(t, loads, **options):
+    """Orders that arrive load by load, and their gold table after the last one."""
+    base = scratch_path(t.spark, "gold")
+    orders = select_columns(t.orders, ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
+    orders = orders.withColumn("price", F.col("o_totalprice").cast("decimal(18,2)")).drop("o_totalprice")
+    for arrived, gone in loads:
+        load = orders.where(arrived).withColumn("gone", F.lit(gone))
+        write_path(load, f"{base}/in", mode="append")
+        stream = read_stream(t.spark, f"{base}/in", load.schema)
+        refresh_gold(stream, f"{base}/out", ["o_custkey"], ["price", "o_orderdate"], "gone", **options).awaitTermination()
+    return read_gold(t.spark, f"{base}/out", ["o_custkey"], ["price", "o_orderdate"]).select(
+        "o_custkey", "row_count", F.col("sum_price").cast("double").alias("total"),
+        F.col("min_price").cast("double").alias("smallest"), F.col("max_price").cast("double").alias("largest"),
+        F.col("max_o_orderdate").alias("latest"),
+    )
+
+
+@query(_GOLD_SQL.format(kept="true"))
+def layers_incremental(t):
+    """Three loads, each read once."""
+    return _loaded_gold(t, [(f"o_orderkey % 3 = {i}", False) for i in range(3)])
+
+
+@query(_GOLD_SQL.format(kept="o_orderkey % 5 <> 1"))
+def layers_deleted(t):
+    """Two loads, then one that takes back orders, extremes among them; states are merged on the way."""
+    loads = [("o_orderkey % 2 = 0", False), ("o_orderkey % 2 = 1", False), ("o_orderkey % 5 = 1", True)]
+    return _loaded_gold(t, loads, compact_after=2)

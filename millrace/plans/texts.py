@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.operators.columns import select_columns
-from millrace.operators.relate import similar_sets, tag_counts
+from millrace.operators.relate import similar_sets, similar_sets_many, tag_counts
 from millrace.operators.text import (
     format_datetime,
     parse_datetime,
@@ -123,6 +123,22 @@ def similar_tags(t):
     return similar_sets(_tagged(t), "doc_id", "tags", _ASKED, k=20).select("doc_id", "score")
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '\p{L}+')) AS tags FROM documents),
+p AS (SELECT doc_id, len(tags) AS size, unnest(tags) AS tag FROM d),
+pairs AS (
+  SELECT q.doc_id AS query_id, r.doc_id AS id, count(*) / (q.size + r.size - count(*)) AS score
+  FROM p q JOIN p r ON q.tag = r.tag WHERE q.doc_id % 50 = 0 AND q.doc_id <> r.doc_id
+  GROUP BY q.doc_id, r.doc_id, q.size, r.size)
+SELECT query_id, rank, id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs) WHERE rank <= 5
+""")
+def similar_tags_many(t):
+    """Every 50th document asks all documents."""
+    tagged = _tagged(t)
+    return similar_sets_many(tagged.where("doc_id % 50 = 0"), tagged, "doc_id", "tags", 5, exclude_same_id=True)
+
+
 @query(r"""
 SELECT tag, count(*) AS count FROM (
   SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) AS tag FROM documents) GROUP BY tag
