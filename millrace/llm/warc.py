@@ -38,6 +38,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from millrace.operators.positions import fits_broadcast
 from millrace.session import materialize, scratch_path
 
 # The header names of the format.
@@ -378,7 +379,8 @@ def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """A record for each page: of equal payloads of at least ``least_bytes``, all but the largest page_id are revisits.
 
     NULL html is an empty payload.  Rows repeated with the same page_id are all responses; a NULL page_id counts as
-    the smallest.  Equal payloads are found by digest and length; only groups that have copies are joined.
+    the smallest.  Equal payloads are found by digest and length.  The digests that have copies are listed first, in a
+    job of their own; while that list is small it is shipped, and no payload leaves its task.
     """
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     keyed = pages.select(
@@ -395,6 +397,10 @@ def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
         .where((F.col("many") > 1) & F.col("kept_id").isNotNull())
         .drop("many")
     )
+    copies = materialize(copies)
+    many = copies.count()
+    if fits_broadcast(many, 64 * many):  # 40 letters of a digest and two numbers
+        copies = F.broadcast(copies)
     revisit = F.col("kept_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept_id"))
     found = keyed.join(copies, ["sha1", "size"], "left")
     return found.select(
