@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.forest import Forest
-from millrace.llm.vectors import groups, matrix, packed, usable
+from millrace.llm.vectors import block_rows, groups, matrix, packed, usable
 from millrace.session import materialize
 
 BLOCK_ROWS, LEAST_BLOCKS = 32_768, 8
@@ -100,7 +100,8 @@ def near_vectors(df: DataFrame, key: str, vector: str, threshold: float = 0.9) -
     )
     # The numbers are written with their classes: a later job may split the files otherwise.
     classes = materialize(found.withColumn("node", F.monotonically_increasing_id()))
-    blocks = max(LEAST_BLOCKS, -(-classes.count() // BLOCK_ROWS))
+    count, widest = classes.agg(F.count("*"), F.max("dimension")).first()
+    blocks = max(LEAST_BLOCKS, -(-count // block_rows(BLOCK_ROWS, widest or 1)))
     dealt = classes.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     tiles = dealt.select(

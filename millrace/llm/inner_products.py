@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.vectors import groups, matrix, packed, usable
+from millrace.llm.vectors import block_rows, groups, matrix, packed, usable
 from millrace.session import materialize, with_row_tag
 
 BLOCK_ROWS, LEAST_BLOCKS, QUERY_ROWS = 16_384, 16, 4096
@@ -131,14 +131,15 @@ def top_products(df: DataFrame, key: str, vector: str, is_query: Column, k: int
     counts = {(r[0], r[1]): r[2] for r in rows.groupBy("dimension", "asks").count().collect()}
     total, asking = sum(counts.values()), sum(n for (_, asks), n in counts.items() if asks)
     dimensions = sorted({d for d, _ in counts})
-    blocks = max(LEAST_BLOCKS, -(-total // BLOCK_ROWS))
-    chunks = max(1, -(-asking // QUERY_ROWS))
+    widest = max(dimensions, default=1)
+    blocks = max(LEAST_BLOCKS, -(-total // block_rows(BLOCK_ROWS, widest)))
+    chunks = max(1, -(-asking // block_rows(QUERY_ROWS, widest)))
     # A bounded start for each dimension: the longest vectors, and a sample for the rotation.
     heads, turns = {}, {}
     for d in dimensions:
         mine = rows.where(F.col("dimension") == d)
-        head = mine.orderBy(F.desc("length"), "id").limit(_HEAD).select("id", "vector").toArrow()
-        rate = min(1.0, _SAMPLE / max(1, total))
+        head = mine.orderBy(F.desc("length"), "id").limit(block_rows(_HEAD, d)).select("id", "vector").toArrow()
+        rate = min(1.0, block_rows(_SAMPLE, d) / max(1, total))
         sample = mine.where(F.pmod(F.xxhash64("tag"), F.lit(1 << 20)) < rate * (1 << 20)).select("vector").toArrow()
         heads[d] = (head.column("id").to_numpy(), _integers(head.column("vector"), d, factor))
         turns[d] = rotation(_integers(sample.column("vector"), d, factor))

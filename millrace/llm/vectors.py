@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+BLOCK_BYTES = 32 << 20
+"""Most bytes of doubles in a block, however many components a vector has."""
+
+
+def block_rows(most: int, dimension: int, block_bytes: int = BLOCK_BYTES) -> int:
+    """Rows of a block: at most ``most``, and at most ``block_bytes`` of doubles; one vector always fits."""
+    return max(1, min(most, block_bytes // (8 * max(1, dimension))))
+
+
 def usable(vector: Column) -> Column:
     """Neither NULL nor empty, and every component a finite number."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
