@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from millrace.operators.columns import select_columns
 from millrace.operators.reshape import cross_tab, transpose
 from millrace.operators.sets import except_all, union_all, unique
+from millrace.operators.sketches import compare_sketches, distinct_sketches, merge_sketches, sketched_count
 from millrace.operators.summarize import Agg, category_counts, count_records, latest_by, summarize
 from millrace.plans.registry import ORACLES, query
+from millrace.session import materialize
 
 
 def _rounded(df, places, *names):
@@ -246,3 +248,37 @@ FROM orders GROUP BY o_custkey
 def cross_tab_first(t):
     order = ["o_orderdate", "o_orderkey"]
     return cross_tab(t.orders, ["o_custkey"], "o_orderstatus", "o_totalprice", "first", ["F", "O"], order)
+
+
+def _daily_users(t):
+    """A stored sketch of the users of each kind of event on each day."""
+    events = t.events.select("event_type", F.date_trunc("day", "ts").alias("day"), "user_id")
+    return materialize(distinct_sketches(events, ["event_type", "day"], "user_id"))
+
+
+@query("""
+SELECT event_type, date_trunc('month', ts) AS month, count(DISTINCT user_id) AS users FROM events GROUP BY ALL
+UNION ALL SELECT 'any', date_trunc('month', ts) AS month, count(DISTINCT user_id) FROM events GROUP BY ALL
+""")
+def sketch_months(t):
+    """Days rolled up to months, per kind of event and over all, from the stored sketches alone."""
+    months = _daily_users(t).withColumn("month", F.date_trunc("month", "day"))
+    per_type = merge_sketches(months, ["event_type", "month"])
+    over_all = merge_sketches(per_type, ["month"]).select(F.lit("any").alias("event_type"), "month", "sketch")
+    return per_type.unionByName(over_all).select("event_type", "month", sketched_count(F.col("sketch")).alias("users"))
+
+
+@query("""
+WITH d AS (SELECT DISTINCT event_type, cast(date_trunc('day', ts) AS timestamp) AS day, user_id FROM events),
+m AS (SELECT coalesce(a.event_type, b.event_type) AS event_type, coalesce(a.day, b.day + INTERVAL 1 DAY) AS day,
+             a.user_id AS now, b.user_id AS was
+      FROM d a FULL JOIN d b ON a.event_type = b.event_type AND a.user_id = b.user_id AND a.day = b.day + INTERVAL 1 DAY)
+SELECT event_type, day, count(*) FILTER (now IS NOT NULL AND was IS NOT NULL) AS both,
+       count(*) FILTER (was IS NULL) AS joined, count(*) FILTER (now IS NULL) AS left
+FROM m GROUP BY event_type, day
+""".replace(" AS left", ' AS "left"'))
+def sketch_returning(t):
+    """Users of a day who also came the day before, who are new, and who stayed away."""
+    days = _daily_users(t)
+    before = days.withColumn("day", F.expr("day + INTERVAL 1 DAY"))
+    return compare_sketches(before, days, ["event_type", "day"])
