@@ -13,6 +13,7 @@ from millrace.plans.registry import ORACLES, query
 from millrace.session import scratch_path
 from millrace.sources.incremental import read_gold, refresh_gold
 from millrace.sources.layers import medallion
+from millrace.sources.mixed_json import read_json_typed
 from millrace.sources.readers import (
     inline_table,
     list_files,
@@ -22,6 +23,7 @@ from millrace.sources.readers import (
     read_query,
     read_table,
 )
+from millrace.sources.records import read_csv_records
 from millrace.sources.writers import read_latest, upsert, write_path, write_table
 from millrace.streaming.changes import append_stream, apply_changes, read_stream
 
@@ -46,6 +48,58 @@ def read_csv(t):
     return read_csv_strings(t.spark, path)
 
 
+@query("""
+SELECT cast(o_orderkey AS varchar) AS "key", 'to ' || o_custkey || chr(10) || '"' || o_orderpriority || '",' || chr(10) || 'end' AS note,
+       o_orderstatus AS status
+FROM orders
+""")
+def read_csv_with_breaks(t, **limits):
+    """Cells that hold line breaks, quotes and commas."""
+    path = scratch_path(t.spark, "records")
+    note = F.format_string('to %s\n"%s",\nend', F.col("o_custkey").cast("string"), "o_orderpriority")
+    orders = t.orders.select(F.col("o_orderkey").alias("key"), note.alias("note"), F.col("o_orderstatus").alias("status"))
+    orders.write.options(header=True, escape='"').csv(path)
+    return read_csv_records(t.spark, path, **limits)
+
+
+@query(ORACLES["read_csv_with_breaks"])
+def read_csv_with_breaks_cut(t):
+    """Blocks of 60 kB, so that records cross the ends of many."""
+    return read_csv_with_breaks(t, block_bytes=60_000)
+
+
+def _mixed_events(t):
+    """JSON files in which user_id is a number, a text, or missing."""
+    path = scratch_path(t.spark, "json")
+    third = F.col("event_id") % 3
+    event = t.events.select("event_id", "event_type", "user_id")
+    event.where(third == 0).write.json(f"{path}/numbers")
+    event.where(third == 1).withColumn("user_id", F.concat(F.lit("u"), "user_id")).write.json(f"{path}/texts")
+    event.where(third == 2).drop("user_id").write.json(f"{path}/none")
+    return [f"{path}/{part}" for part in ("numbers", "texts", "none")]
+
+
+@query("""
+SELECT event_id, event_type, CASE event_id % 3 WHEN 0 THEN cast(user_id AS varchar) WHEN 1 THEN 'u' || user_id END AS user_id,
+       cast(NULL AS varchar) AS _unfit
+FROM events
+""")
+def read_json_of_all_types(t):
+    """A field that is a number in one file and a text in another becomes a text."""
+    return read_json_typed(t.spark, _mixed_events(t))
+
+
+@query("""
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN user_id END AS user_id,
+       CASE event_id % 3 WHEN 1 THEN '{"event_type":"' || event_type || '","user_id":"u' || user_id || '"}'
+                         ELSE '{"event_type":"' || event_type || '"}' END AS _unfit
+FROM events
+""")
+def read_json_as_declared(t):
+    """What does not fit the declared columns stands beside them."""
+    return read_json_typed(t.spark, _mixed_events(t), "event_id long, user_id long")
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders")
 def read_formats(t):
     """One table through ORC, read with a column list known beforehand."""
