@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from millrace.operators.columns import add_audit_columns, select_columns
+from millrace.operators.lookalike import likeness, profile, rows_like
 from millrace.operators.quality import (
     check_layers,
     compare_checksums,
@@ -227,3 +228,45 @@ def layer_checks(t):
     silver = union_all(bronze, bronze.where("o_orderkey % 50 = 0"))
     gold = summarize(silver, ["o_custkey"], [Agg("o_totalprice", "max", "largest")])
     return check_layers(bronze, silver, gold, ["o_orderkey"], ["o_custkey"])
+
+
+_LIKE = ["l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
+
+
+@query(f"""
+SELECT name AS "column", count(*) AS n, CASE name WHEN 'l_orderkey' THEN true END AS keys_alike, true AS nulls_alike, true AS values_alike
+FROM lineitem, (SELECT unnest({_LIKE!r}) AS name) GROUP BY name
+""")
+def rows_like_lines(t):
+    """Made lines, as many as there are: orders and shares of values within 1.5 % and what chance adds."""
+    lines = t.lineitem.select(*_LIKE)
+    seen = profile(lines)
+    made = rows_like(t.spark, seen, keys=["l_orderkey"])
+    chance = 2 / F.sqrt(F.col("other_rows"))
+    both = lines.agg(F.count_distinct("l_orderkey").alias("found")), made.agg(F.count_distinct("l_orderkey").alias("made"))
+    orders = union_all(*both).agg(F.max("found").alias("found"), F.max("made").alias("made")).select(
+        F.lit("l_orderkey").alias("column"), (F.abs(F.col("made") - F.col("found")) <= 0.015 * F.col("found")).alias("keys_alike")
+    )
+    return likeness(lines, made, seen).join(orders, "column", "left").select(
+        "column", F.col("other_rows").alias("n"), "keys_alike",
+        (F.col("null_gap") <= 0.001 + chance).alias("nulls_alike"),
+        (F.col("rank_gap") <= 0.015 + chance).alias("values_alike"),
+    )
+
+
+@query("""
+SELECT event_type, (SELECT count(DISTINCT event_type) FROM events) AS kinds, true AS share_alike FROM events GROUP BY event_type
+""")
+def rows_like_events(t):
+    """Frequent texts keep their shares in made rows; no other text of the column occurs."""
+    events = t.events.select("event_type")
+    made = rows_like(t.spark, profile(events), n=50_000)
+
+    def shares(df, label):
+        counted = df.groupBy("event_type").agg(F.count(F.lit(1)).alias(label))
+        total = df.agg(F.count(F.lit(1)).alias("n")).first().n
+        return counted.withColumn(label, F.col(label) / total)
+
+    both = shares(events, "found").join(shares(made, "made"), "event_type", "full")
+    gap = F.abs(F.coalesce("found", F.lit(0.0)) - F.coalesce("made", F.lit(0.0)))
+    return both.select("event_type", F.lit(made.agg(F.count_distinct("event_type")).first()[0]).cast("long").alias("kinds"), (gap <= 0.02).alias("share_alike"))
