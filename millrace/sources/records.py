@@ -27,19 +27,20 @@ _LINES = "file string, block long, no long, inside boolean, odd boolean, if_out
 
 
 def read_records(
-    spark: SparkSession, path: str | Sequence[str], quote: str = '"', block_bytes: int | None = None
+    spark: SparkSession, path: str | Sequence[str], sep: str = ",", quote: str = '"', block_bytes: int | None = None
 ) -> DataFrame:
     """Rows (file, block, no, record): the records of text files, in which quoted line breaks do not end a record.
 
-    ``quote`` stands round cells and is doubled inside them, and nowhere else; a file that ends inside quotes is an
-    error. ``block`` and ``no`` order a file's records. Records end at a line feed, a carriage return before it is cut;
+    ``quote`` stands round cells and is doubled inside them. A file that ends inside quotes is an error, and so is a
+    record of several lines with a quote inside an unquoted cell, which would join lines by mistake. ``block`` and ``no`` order a file's records. Records end at a line feed, a carriage return before it is cut;
     inside quotes both stay. Lines of blanks alone outside of quotes are skipped.
 
     Files are cut into blocks of ``block_bytes`` (the session's setting unless given); compressed ones cannot be cut.
     The lines are written to the scratch area once, so that a block means the same in every pass.
     """
-    if len(quote) != 1 or not quote.isascii():
-        raise ValueError(f"quote must be one ASCII character: {quote!r}")
+    for name, mark in (("quote", quote), ("sep", sep)):
+        if len(mark) != 1 or not mark.isascii():
+            raise ValueError(f"{name} must be one ASCII character: {mark!r}")
     with _setting(spark, _BLOCK_BYTES, block_bytes):
         text = spark.read.option("lineSep", "\n").text(path if isinstance(path, str) else list(path))
         lines = text.select(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), "value")
@@ -59,8 +60,10 @@ def read_records(
     parts = placed.where(~alone).select("file", first.alias("first"), F.struct("block", "no", "line").alias("part"))
     met = parts.groupBy("file", "first").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     joined = met.select("file", "first.block", "first.no", F.array_join("parts.line", "\n").alias("record"))
-    records = whole.unionByName(joined).withColumn("record", F.regexp_replace("record", r"\r\z", ""))
-    return records.where(F.trim("record") != "")
+    whole, joined = (r.withColumn("record", F.regexp_replace("record", r"\r\z", "")) for r in (whole, joined))
+    message = F.concat(F.lit("a quote stands inside an unquoted cell: "), "file", F.lit(" near "), F.left("record", F.lit(80)))
+    strict = F.when(_has_stray_quote("record", sep, quote), F.raise_error(message)).otherwise(F.col("record"))
+    return whole.unionByName(joined.withColumn("record", strict)).where(F.trim("record") != "")
 
 
 def read_csv_records(
@@ -71,7 +74,7 @@ def read_csv_records(
     As ``read_csv_strings``: header names are trimmed, short rows are filled with ``''``, surplus cells are cut. Paths
     without any record, files whose headers differ, and repeated names are errors. For the quotes see ``read_records``.
     """
-    records = read_records(spark, path, quote, block_bytes).withColumn("record", _without_mark(F.col("record")))
+    records = read_records(spark, path, sep, quote, block_bytes).withColumn("record", _without_mark(F.col("record")))
     # a header that spans blocks is still numbered by its first line
     at = F.struct("block", "no")
     firsts = records.where("block = 0").groupBy("file").agg(F.min_by("record", at).alias("header"), F.min(at).alias("at"))
@@ -147,6 +150,13 @@ def _cases(lines: DataFrame) -> DataFrame:
     )
 
 
+def _has_stray_quote(record: str, sep: str, quote: str) -> Column:
+    """Whether something other than a separator stands beside a quoted cell; every quoted run is first cut to one quote."""
+    s, q = (f"\\x{ord(c):02x}" for c in (sep, quote))
+    cells = F.regexp_replace(record, f"{q}[^{q}]*{q}", f"\\{quote}" if quote in "$\\" else quote)
+    return cells.rlike(f"[^{s}{q}\ufeff]{q}|{q}[^{s}{q}]")
+
+
 def _without_mark(record: Column) -> Column:
     """A byte order mark stands only at the start of a file, before the first header name."""
     return F.when((F.col("block") == 0) & (F.col("no") == 0), F.regexp_replace(record, "^﻿", "")).otherwise(record)

@@ -1,4 +1,5 @@
 import csv
+import gzip
 import io
 
 import pytest
@@ -46,6 +47,20 @@ def test_ends_of_lines_marks_and_ragged_rows(spark, tmp_path):
     assert rows(read_csv_records(spark, _file(tmp_path, "a;b\n'x\n;y';2\n", "b.csv"), sep=";", quote="'")) == [("x\n;y", "2")]
 
 
+def test_a_compressed_file_is_one_block(spark, tmp_path):
+    with gzip.open(tmp_path / "a.csv.gz", "wt") as f:
+        f.write(_csv([["a", "b"], *[[str(i), f"{i}\n\"{i}\""] for i in range(50)]]))
+    got = read_csv_records(spark, str(tmp_path / "a.csv.gz"), block_bytes=64)
+    assert rows(got) == sorted((str(i), f'{i}\n"{i}"') for i in range(50))
+
+
+def test_other_marks(spark, tmp_path):
+    for sep, quote in ((";", "$"), ("|", "\\"), ("\t", "'"), ("^", "]")):
+        text = f"a{sep}b\n{quote}x{sep}\n{quote}{quote}y{quote}{sep}2\n"
+        path = _file(tmp_path, text, f"marks{ord(quote)}.csv")
+        assert [r.record for r in read_records(spark, path, sep, quote).orderBy("no").collect()] == text[:-1].split("\n", 1)
+
+
 def test_many_files(spark, tmp_path):
     folder = tmp_path / "many"
     folder.mkdir()
@@ -62,6 +77,11 @@ def test_many_files(spark, tmp_path):
 def test_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="inside quotes"):
         read_csv_records(spark, _file(tmp_path, 'a,b\n1,"open\n2,3\n'), block_bytes=4)
+    stray = _file(tmp_path, 'a,b\n5" pipe,1\nplain,2\n6" pipe,3\n', "stray.csv")
+    with pytest.raises(Exception, match="inside an unquoted cell"):
+        read_csv_records(spark, stray).collect()
+    even = _file(tmp_path, 'a,b\n5" x 6" pipe,1\n"x\ny",2\n', "even.csv")
+    assert rows(read_csv_records(spark, even)) == [('5" x 6" pipe', "1"), ("x\ny", "2")]
     with pytest.raises(ValueError, match="empty"):
         read_csv_records(spark, _file(tmp_path, "", "none.csv"))
     with pytest.raises(ValueError, match="repeated"):
