@@ -63,7 +63,7 @@ def read_records(
     whole, joined = (r.withColumn("record", F.regexp_replace("record", r"\r\z", "")) for r in (whole, joined))
     message = F.concat(F.lit("a quote stands inside an unquoted cell: "), "file", F.lit(" near "), F.left("record", F.lit(80)))
     strict = F.when(_has_stray_quote("record", sep, quote), F.raise_error(message)).otherwise(F.col("record"))
-    return whole.unionByName(joined.withColumn("record", strict)).where(F.trim("record") != "")
+    return whole.where(F.trim("record") != "").unionByName(joined.withColumn("record", strict))
 
 
 def read_csv_records(
