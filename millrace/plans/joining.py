@@ -177,9 +177,10 @@ FROM supplier JOIN customer ON c_acctbal >= s_acctbal GROUP BY s_suppkey
 """)
 def theta_join_richer(t):
     """An inequality between two tables, counted per row of one."""
-    pairs = range_join(t.customer, t.supplier, "c_acctbal", low="s_acctbal", rows_per_range=200)
+    totals = {"customers": ("count", "c_custkey"), "least": ("min", "c_acctbal"), "last": ("max", "c_custkey")}
+    pairs = range_join(t.customer, t.supplier, "c_acctbal", low="s_acctbal", rows_per_range=200, totals=totals)
     return pairs.groupBy("s_suppkey").agg(
-        F.count(F.lit(1)).alias("customers"), F.min("c_acctbal").alias("least"), F.max("c_custkey").alias("last")
+        F.sum("customers").alias("customers"), F.min("least").alias("least"), F.max("last").alias("last")
     )
 
 
