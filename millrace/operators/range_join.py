@@ -1,6 +1,6 @@
 """Joins on inequalities: a value of the left side within bounds of the right side.
 
-Both sides are cut at quantiles of the left values.  A right row goes to every range that its bounds reach; where it
+Both sides are cut at quantiles of the left values, more finely where bounds crowd.  A right row goes to every range that its bounds reach; where it
 covers a range whole, it meets all left rows there without a comparison, and only at the two edges are bounds compared.
 So the sides meet by an equi-join on the range, which Spark shuffles and, where a range is crowded, splits; and a right
 row is copied only to ranges that give it output rows. Where further columns must be equal, only their frequent values
@@ -23,6 +23,7 @@ from millrace.session import materialize
 
 ROWS_PER_RANGE = 20_000
 MAX_RANGES = 32**3
+_FINE_RANGES = 4096
 _FAN = 32
 _LEFT, _RIGHT, _X, _WHOLE = "__range", "__right_range", "__x", "__whole"
 _STRIDE, _RIGHT_STRIDE, _LEVEL, _RIGHT_LEVEL = "__stride", "__right_stride", "__level", "__right_level"
@@ -69,7 +70,7 @@ def range_join(
     bounded = [c.isNotNull() for c in (lows, highs) if c is not None]
     reach = reach.where(bounded[0] if len(bounded) == 1 else bounded[0] & bounded[1])
     if not on:
-        cuts = _cuts(left.select(x.alias(_X)), rows_per_range)
+        placed, cuts = _crowded_cuts(placed, x, reach, lows, highs, rows_per_range)
     else:
         # The most frequent key sets the number of ranges; others take several of these as one, rare keys all of them.
         sizes = materialize(heavy_keys(placed, on, max(1, rows_per_range)))
@@ -110,7 +111,8 @@ def range_join(
         if high:
             whole &= F.col(_RIGHT) < F.col("__last")
         reach = reach.withColumn(_RIGHT, F.explode(F.sequence("__first", "__last"))).withColumn(_WHOLE, whole)
-        found = placed.join(reach.drop("__first", "__last"), meet).where(F.col(_WHOLE) | inside)
+        # Spark takes the copies for as few as the rows: they are never shipped to every task.
+        found = placed.join(reach.drop("__first", "__last").hint("merge"), meet).where(F.col(_WHOLE) | inside)
         return found.select(*cols(left.columns), *cols(shown))
 
     own = [names.get(c, c) for c in right.columns]
@@ -119,7 +121,7 @@ def range_join(
         raise ValueError(f"column names already in use: {taken}")
     alone = [(F.lit(1).cast("long") if f == "count" else col(c)).alias(n) for n, (f, c) in totals.items()]
     at_edges = reach.withColumn(_RIGHT, F.explode(F.array_distinct(F.array(*edges))))
-    single = placed.join(at_edges, meet).where(inside).select(*cols(own), *alone)
+    single = placed.join(at_edges.hint("merge"), meet).where(inside).select(*cols(own), *alone)
     # The ranges between the edges as few blocks of 1, 2, 4, ... ranges, each met by one row of totals.
     start = F.col("__first") + 1 if low else F.col("__first")
     end = F.col("__last") if high else F.col("__last") + 1
@@ -135,7 +137,7 @@ def range_join(
         pieces += [F.when((a < b) & (a % 2 == 1), _piece(k, a)), F.when((a < b) & (b % 2 == 1), _piece(k, b - 1))]
     blocks = reach.withColumn("__piece", F.explode(F.array_compact(F.array(*pieces))))
     blocks = blocks.withColumns({_RIGHT: F.col("__piece.at"), _RIGHT_LEVEL: F.col("__piece.level")})
-    many = tree.join(blocks, meet & F.col(_LEVEL).eqNullSafe(F.col(_RIGHT_LEVEL))).select(*cols(own), *cols(totals))
+    many = tree.join(blocks.hint("merge"), meet & F.col(_LEVEL).eqNullSafe(F.col(_RIGHT_LEVEL))).select(*cols(own), *cols(totals))
     return single.unionAll(many)
 
 
@@ -165,6 +167,39 @@ def _cuts(values: DataFrame, rows_per_range: int, rows: int | None = None) -> li
     return sorted({c for c in found if c == c})
 
 
+def _crowded_cuts(left, x, right, lows, highs, rows_per_range: int) -> tuple[DataFrame, list]:
+    """The left rows that bounds can hold, and cuts after ``rows_per_range`` of them or as many bounds, whichever is first.
+
+    Where bounds crowd, a range may hold as little as a hundredth of its rows: each bound is compared with all of them.
+    """
+    least = [F.min(lows)] if lows is not None else []
+    most = [F.max(highs)] if highs is not None else []
+    ends = list(right.agg(F.count(F.lit(1)), *least, *most).first())
+    bounds, ends = ends[0], ends[1:]
+    if not bounds:
+        return left.where(F.lit(False)), []
+    if least and ends[0] == ends[0]:  # above NaN lies nothing but NaN
+        left = left.where(x >= F.lit(ends[0]))
+    if most and ends[-1] == ends[-1]:
+        left = left.where(x <= F.lit(ends[-1]))
+    values = left.select(x.alias(_X))
+    rows = values.count()
+    if bounds <= rows_per_range:
+        return left, _cuts(values, rows_per_range, rows)
+    ranges = max(2, rows // max(1, rows_per_range))
+    fine = max(1, rows // min(MAX_RANGES, max(ranges, _FINE_RANGES)), rows_per_range // 100)
+    cuts = _cuts(values, fine, rows)
+    edges = F.array(*[_place(b, cuts) for b in (lows, highs) if b is not None])
+    counts = dict(right.select(F.explode(edges).alias("at")).groupBy("at").count().collect())
+    kept, held, met = [], 0.0, 0
+    for k, cut in enumerate(cuts):
+        held, met = held + rows / (len(cuts) + 1), met + counts.get(k, 0)
+        if held >= rows_per_range or met >= rows_per_range:
+            kept.append(cut)
+            held, met = 0.0, 0
+    return left, kept
+
+
 def _place(x: Column, cuts: list) -> Column:
     """How many cuts are at most ``x``, found in steps of ``_FAN`` branches."""
     if not cuts:

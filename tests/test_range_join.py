@@ -123,3 +123,13 @@ def test_totals_do_not_write_out_pairs(spark):
     found = range_join(left, right, "x", "low", rows_per_range=10, totals={"n": ("count", "x")})
     assert found.count() < 100_000
     assert found.agg(F.sum("n")).first()[0] == sum(4000 - i for i in range(3000))
+
+
+def test_ranges_are_fine_where_bounds_crowd(spark):
+    """All bounds lie among a hundredth of the rows, which one range of 200 rows would hold."""
+    left = spark.range(10_000).selectExpr("id as x")
+    right = spark.range(3000).selectExpr("id as n", "id % 90 as low", "id % 90 + 5 as high")
+    x, low, high = F.col("x"), F.col("low"), F.col("high")
+    kept, cuts = range_joins._crowded_cuts(left, x, right, low, high, 200)
+    assert kept.count() == 95 and len(cuts) > 20
+    assert range_join(left, right, "x", "low", "high", rows_per_range=200).count() == 15_000
