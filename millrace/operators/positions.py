@@ -25,6 +25,10 @@ HOT_ROWS = 2_000_000
 RANGE_PARTITIONS = 20_000
 """Most partitions of a range shuffle; sorting spills, so larger ones cost disk, not memory."""
 
+FREE_PARTITIONS = 64
+PARTITION_ROWS = 100_000
+"""Beyond so many partitions of a range shuffle none gets fewer rows than this: each costs a sample and a task."""
+
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 """A side is broadcast only when both its counted rows and its measured bytes stay below these."""
@@ -132,7 +136,8 @@ def numbered(
     """
     # equal rows carry distinct tags, so even a group of copies can be split
     tagged = with_row_tag(df, _TAG)
-    parts = min(partitions_for(total_rows, rows_per_partition), RANGE_PARTITIONS)
+    most = min(RANGE_PARTITIONS, max(FREE_PARTITIONS, partitions_for(total_rows, PARTITION_ROWS)))
+    parts = min(partitions_for(total_rows, rows_per_partition), most)
     layout = [*[col(k).asc() for k in keys], *order, F.col(_TAG).asc()]
     stored = materialize(
         tagged.repartitionByRange(parts, *(layout if range_keys is None else [*layout[: len(keys)], *range_keys, F.col(_TAG).asc()]))

@@ -7,6 +7,7 @@ package need not be installed there.
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -262,37 +263,55 @@ def _emit_stretches(rows: DataFrame, columns, emit, state_fields, schema) -> Dat
     target = to_arrow_schema(schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))
     columns = list(columns)
 
-    def emitted(stretch: list[pa.RecordBatch]) -> pa.Table:
-        table = pa.Table.from_batches(stretch).combine_chunks()
+    def emitted(table: pa.Table) -> pa.Table:
         before = None
         if state_fields and table.column("__known")[0].as_py():
             before = {f: table.column(f"__state_{f}")[0].as_py() for f in state_fields}
         return emit(table.select(columns), before).select(target.names).cast(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretch, ready, ready_rows = [], [], 0
-        for batch in batches:
-            cut = 0
-            for start in np.flatnonzero(batch.column("__opens").to_numpy(zero_copy_only=False)):
-                if start > cut:
-                    stretch.append(batch.slice(cut, start - cut))
-                if stretch:
-                    ready.append(emitted(stretch))
-                    ready_rows += ready[-1].num_rows
-                stretch, cut = [], start
-                if ready_rows >= _BATCH_ROWS:
-                    yield from pa.concat_tables(ready).combine_chunks().to_batches()
-                    ready, ready_rows = [], 0
-            if cut < batch.num_rows:
-                stretch.append(batch.slice(cut))
-        if stretch:
-            ready.append(emitted(stretch))
+        ready, ready_rows = [], 0
+        for table in _stretches(batches):
+            ready.append(emitted(table))
+            ready_rows += ready[-1].num_rows
+            if ready_rows >= _BATCH_ROWS:
+                yield from pa.concat_tables(ready).combine_chunks().to_batches()
+                ready, ready_rows = [], 0
         if ready:
             yield from pa.concat_tables(ready).combine_chunks().to_batches()
 
     return rows.mapInArrow(run, schema)
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The stretches that ``__opens`` marks, each as one table; one that batches cut is put together."""
+    stretch: list[pa.RecordBatch] = []
+    for batch in batches:
+        cut = 0
+        for start in np.flatnonzero(batch.column("__opens").to_numpy(zero_copy_only=False)).tolist():
+            if start > cut:
+                stretch.append(batch.slice(cut, start - cut))
+            if stretch:
+                yield pa.Table.from_batches(stretch).combine_chunks()
+            stretch, cut = [], start
+        if cut < batch.num_rows:
+            stretch.append(batch.slice(cut))
+    if stretch:
+        yield pa.Table.from_batches(stretch).combine_chunks()
+
+
+def _summed(batches, summarise, names) -> Iterator[tuple[pa.Table, dict]]:
+    """The named columns of each block's first row, and the effect of the block."""
+    for table in _stretches(batches):
+        yield table.select(names).slice(0, 1), summarise(table.drop_columns([BLOCK, "__opens"]))
+
+
+def _chunked(pairs: Iterator[tuple[Any, Any]], size: int) -> Iterator[tuple[tuple, tuple]]:
+    """Up to ``size`` pairs at a time, as two sequences."""
+    while some := list(islice(pairs, size)):
+        yield tuple(zip(*some, strict=True))
+
+
 def _carried_states(rows, keys, summarise, combine, state):
     """Add ``__state_*``, the state before each block, and ``__known``, false for a first block."""
     fields = T.StructType.fromDDL(state).fields
@@ -304,14 +323,16 @@ def _carried_states(rows, keys, summarise, combine, state):
     carry_schema = T.StructType([*summary_schema.fields, T.StructField("__known", T.BooleanType())])
     key_list = list(keys)
 
-    def summaries(table: pa.Table) -> pa.Table:
-        table = table.sort_by(POSITION)
-        head = table.slice(0, 1)
-        effect = summarise(table.drop_columns([POSITION, BLOCK]))
-        out = {i: head.column(k) for i, k in zip(id_names, key_list, strict=True)}
-        return pa.table(
-            {**out, "__id_block": head.column(BLOCK), **{f"__state_{n}": [effect.get(n)] for n in names}}
-        )
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(summary_schema)
+        for heads, effects in _chunked(_summed(batches, summarise, [*key_list, BLOCK]), _BATCH_ROWS):
+            head = pa.concat_tables(heads)
+            out = {i: head.column(k) for i, k in zip(id_names, key_list, strict=True)}
+            out["__id_block"] = head.column(BLOCK)
+            for field in state_fields:
+                name = field.name.removeprefix("__state_")
+                out[field.name] = pa.array([e.get(name) for e in effects], target.field(field.name).type)
+            yield from pa.table(out).select(target.names).cast(target).combine_chunks().to_batches()
 
     def carries(table: pa.Table) -> pa.Table:
         table = table.sort_by("__id_block")
@@ -324,7 +345,8 @@ def _carried_states(rows, keys, summarise, combine, state):
             out[f"__state_{n}"] = [None if s is None else s.get(n) for s in states]
         return pa.table({**out, "__known": [s is not None for s in states]})
 
-    blocks = rows.groupBy(*cols(keys), F.col(BLOCK)).applyInArrow(_cast_to(summaries, summary_schema), summary_schema)
+    # Blocks stream through in order: a group of its own for each would cost more than a small block's work.
+    blocks = _opened(rows, [*keys, BLOCK], [F.col(POSITION)]).drop(POSITION).mapInArrow(summaries, summary_schema)
     carried = blocks.groupBy(*id_names).applyInArrow(_cast_to(carries, carry_schema), carry_schema)
     pairs = zip(keys, id_names, strict=True)
     same = (F.col(BLOCK) == F.col("__id_block")) & all_equal((col(k), F.col(i)) for k, i in pairs)
