@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.naming import col, cols, require
+from millrace.operators.tag_blocks import Best, Block
 from millrace.session import materialize, with_row_tag
 
 
@@ -43,9 +48,10 @@ def similar_sets(
 
 
 ROUNDS = (60,)
-"""Similarities, in percent, down to which ``similar_sets_many`` looks before it compares everything.
+"""Similarities, in percent, at which ``similar_sets_many`` leaves out records whose sizes lie too far apart."""
 
-Lower rounds pay only where tags are few per set: at 30 % the index holds most of a set's tags."""
+BLOCK_ROWS, BLOCK_TAGS, BLOCK_BEST = 8192, 1 << 20, 1 << 22
+"""Most queries, tags and kept records of a block of queries; one query always fits."""
 
 
 def similar_sets_many(
@@ -64,96 +70,66 @@ def similar_sets_many(
     NULL and repeated tags do not count, NULL and empty sets match nothing. Ids should be
     unique: rows of one id are ranked apart. ``exclude_same_id`` keeps a record from answering itself.
 
-    Tags are ordered from rare to frequent. A pair of similarity t shares one of the first
-    ``n - ceil(t * n) + 1`` tags of either set, so an index of these, the rare ones, finds all
-    pairs at t. Rounds go down through ``rounds``; a query leaves once it has ``k``
-    records at t, as all others lie below. What is left meets by all of its tags.
+    Queries are cut into blocks of bounded size. One block after the other is sent to all
+    tasks, and each compares its share of the records with the whole block and
+    returns at most ``k`` of them per query. Records are never shuffled, pairs never written.
+    The comparisons grow with queries times records. A pair of similarity t has sizes
+    within t of each other: once all queries of a stripe have ``k`` records at one of ``rounds``,
+    records of other sizes are left out, as they lie below.
     """
     if k < 1 or any(not 0 < p <= 100 for p in rounds):
         raise ValueError("k must be at least 1 and rounds in percent above 0")
     for side in (queries, records):
         require(side, [id_column, set_column])
-    asked, stored = (_numbered_sets(df, id_column, set_column) for df in (queries, records))
-    frequency = stored.select(F.explode("set").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    frequency = materialize(frequency)
-    asked, stored = (materialize(_rare_first(df, frequency)) for df in (asked, stored))
-    results, open_queries = [], asked
-    for percent in sorted(set(rounds), reverse=True):
-        near = materialize(_pairs_at(open_queries, stored, percent, exclude_same_id))
-        enough = near.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("q")
-        results.append(near.join(enough, "q", "left_semi"))
-        open_queries = materialize(open_queries.join(enough.withColumnRenamed("q", "row"), "row", "left_anti"))
-    results.append(_all_pairs(open_queries, stored, exclude_same_id))
-    pairs = results[0]
-    for more in results[1:]:
-        pairs = pairs.unionByName(more)
-    best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id").asc(), F.col("r").asc())
+    asked, stored = (_plain_sets(df, id_column, set_column) for df in (queries, records))
+    asked, stored = materialize(with_row_tag(asked, "q")), materialize(stored)
+    tags, key = (_common_type(asked, stored, c) for c in ("set", "id"))
+    left = asked.select("q", F.col("id").cast(key).alias("key"), F.col("set").cast(tags).alias("set"))
+    # in this order an earlier record wins among equal scores
+    right = stored.select("id", F.col("id").cast(key).alias("key"), F.col("set").cast(tags).alias("set"))
+    right = right.sortWithinPartitions("id")
+    rows, held = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("set")), F.lit(0))).first()
+    blocks = max(1, -(-rows // max(1, min(BLOCK_ROWS, BLOCK_BEST // k))), -(-held // BLOCK_TAGS))
+    at = F.pmod(F.xxhash64("q"), F.lit(blocks))
+    found = [_best_of_block(left.where(at == b), right, k, exclude_same_id, rounds) for b in range(blocks)]
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id").asc())
+    pairs = reduce(DataFrame.unionByName, found)
     ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "score")
+    named = ranked.join(asked.select("q", F.col("id").alias("query_id")), "q")
+    return named.select("query_id", "rank", "id", "score")
 
 
-def _numbered_sets(df: DataFrame, id_column: str, set_column: str) -> DataFrame:
+def _plain_sets(df: DataFrame, id_column: str, set_column: str) -> DataFrame:
     tags = F.array_compact(F.array_distinct(col(set_column)))
-    sets = df.select(col(id_column).alias("id"), tags.alias("set")).where(F.size("set") > 0)
-    return materialize(with_row_tag(sets, "row"))
-
-
-def _rare_first(sets: DataFrame, frequency: DataFrame) -> DataFrame:
-    """``row, id, size, set`` with the tags from rare to frequent; unknown ones are the rarest."""
-    tags = sets.select("row", F.explode("set").alias("tag")).join(frequency, "tag", "left")
-    placed = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("tag"))
-    ordered = tags.groupBy("row").agg(F.array_sort(F.collect_list(placed))["tag"].alias("set"))
-    return ordered.join(sets.select("row", "id"), "row").select("row", "id", F.size("set").cast("long").alias("size"), "set")
-
-
-def _share(percent: int, count) -> str:
-    """The least whole number that is ``percent`` of ``count``."""
-    return f"(({percent} * {count} + 99) div 100)"
-
-
-def _postings(sets: DataFrame, side: str, percent: int) -> DataFrame:
-    first = F.slice("set", F.lit(1), F.expr(f"cast(size - {_share(percent, 'size')} + 1 as int)"))
-    return sets.select(
-        F.col("row").alias(side), F.col("size").alias(f"{side}_size"), F.col("id").alias(f"{side}_id"),
-        F.posexplode(first).alias(f"{side}_at", "tag"),
-    )
-
-
-def _pairs_at(asked: DataFrame, stored: DataFrame, percent: int, exclude_same_id: bool) -> DataFrame:
-    """All pairs of at least this similarity."""
-    # shared >= p / (100 + p) of both sizes together; the rest of either set must still hold as many
-    needed = f"(({percent} * (q_size + r_size) + {99 + percent}) div {100 + percent})"
-    met = _postings(asked, "q", percent).join(_postings(stored, "r", percent), "tag")
-    met = met.where(f"100 * least(q_size, r_size) >= {percent} * greatest(q_size, r_size)")
-    met = met.where(f"least(q_size - q_at, r_size - r_at) >= {needed}")
-    if exclude_same_id:
-        met = met.where("not q_id <=> r_id")
-    pairs = met.select("q", "r").distinct()
-    left = asked.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("set").alias("q_set"))
-    right = stored.select(F.col("row").alias("r"), "id", F.col("set").alias("r_set"))
-    sized = pairs.join(left, "q").join(right, "r").select(
-        "q", "query_id", "r", "id", F.size(F.array_intersect("q_set", "r_set")).alias("shared"),
-        (F.size("q_set") + F.size("r_set")).alias("both"),
-    )
-    return _scored(sized).where(f"100 * shared >= {percent} * (both - shared)").drop("shared", "both")
-
-
-def _all_pairs(asked: DataFrame, stored: DataFrame, exclude_same_id: bool) -> DataFrame:
-    """All pairs that share a tag, from the postings alone."""
-    def tags(sets, side):
-        return sets.select(F.col("row").alias(side), F.explode("set").alias("tag"))
-
-    shared = tags(asked, "q").join(tags(stored, "r"), "tag").groupBy("q", "r").agg(F.count(F.lit(1)).alias("shared"))
-    left = asked.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("size").alias("q_size"))
-    right = stored.select(F.col("row").alias("r"), "id", F.col("size").alias("r_size"))
-    sized = shared.join(left, "q").join(right, "r").withColumn("both", F.expr("q_size + r_size"))
-    if exclude_same_id:
-        sized = sized.where("not query_id <=> id")
-    return _scored(sized).select("q", "query_id", "r", "id", "score")
-
-
-def _scored(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("score", F.col("shared") / (F.col("both") - F.col("shared")))
+    return df.select(col(id_column).alias("id"), tags.alias("set")).where(F.size("set") > 0)
+
+
+def _common_type(left: DataFrame, right: DataFrame, column: str) -> T.DataType:
+    """The type in which Spark compares the two sides."""
+    return left.select(column).unionByName(right.select(column)).schema[column].dataType
+
+
+def _best_of_block(asked: DataFrame, stored: DataFrame, k: int, exclude_same_id: bool, rounds: Sequence[int]) -> DataFrame:
+    """``q, id, score``: at most ``k`` records per query and task, all of a query's best among them."""
+    block = Block(asked.toArrow(), exclude_same_id)
+    shared = asked.sparkSession.sparkContext.broadcast(block)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, ids, seen = Best(shared.value, k, rounds), [], 0
+        for batch in batches:
+            for first, *rest in shared.value.slices(batch):
+                best.see(seen + first, *rest)
+            ids.append(batch.column("id").take(pa.array(np.arange(len(batch)))))  # a copy, which lets the sets go
+            seen += len(batch)
+        if seen:
+            q, at, score = best.found()
+            of = pa.chunked_array(ids).take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(q), of, pa.array(score)], ["q", "id", "score"])
+
+    schema = T.StructType([T.StructField("q", T.LongType()), stored.schema["id"], T.StructField("score", T.DoubleType())])
+    met = materialize(stored.mapInArrow(work, schema))
+    shared.destroy()
+    return met
 
 
 def tag_counts(df: DataFrame, set_column: str, tag: str = "tag", count: str = "count") -> DataFrame:

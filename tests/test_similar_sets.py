@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from conftest import rows
 
+from millrace.operators import relate, tag_blocks
 from millrace.operators.relate import similar_sets_many
 
 
@@ -40,3 +42,81 @@ def test_empty_tables_and_clashing_names(spark):
     assert similar_sets_many(full, full.limit(0), "id", "tag").collect() == []
     with pytest.raises(ValueError):
         similar_sets_many(full, full, "id", "tag", k=0)
+
+
+def test_alike_sets_are_not_written_as_pairs(spark, monkeypatch):
+    table = spark.createDataFrame([(i, ["a", "b", "c", f"t{i % 7}"]) for i in range(300)], "id int, tags array<string>").repartition(3)
+    written, materialize = [], relate.materialize
+
+    def counted(df):
+        out = materialize(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(relate, "materialize", counted)
+    got = similar_sets_many(table, table, "id", "tags", 2, True)
+    assert rows(got) == _by_hand(*2 * [[tuple(r) for r in table.collect()]], 2, True)
+    assert max(written) <= 300 * 2 * 8
+    assert "Generate explode" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("limit", ["BLOCK_ROWS", "BLOCK_TAGS", "BLOCK_BEST"])
+def test_many_blocks_of_queries(spark, monkeypatch, limit):
+    random.seed(3)
+    monkeypatch.setattr(relate, limit, 40)
+    table = [(i, random.sample([f"t{i}" for i in range(30)], random.choice([1, 5, 12]))) for i in range(60)]
+    df = spark.createDataFrame(table, "id int, tags array<string>").repartition(4)
+    assert rows(similar_sets_many(df, df, "id", "tags", 4, True)) == _by_hand(table, table, 4, True)
+
+
+@pytest.mark.parametrize("limits", [{}, {"STRIPE": 7, "SLICE_ROWS": 5}, {"SLICE_TAGS": 20, "HITS": 3, "COLUMNS": 2}, {"COLUMNS": 0}])
+@pytest.mark.parametrize("k,rounds", [(1, (90, 50, 20)), (4, ()), (300, (60,))])
+def test_slices_and_stripes(monkeypatch, limits, k, rounds):
+    for name, value in limits.items():
+        monkeypatch.setattr(tag_blocks, name, value)
+    random.seed(k)
+    stored = [(i, random.sample(range(40), random.choice([1, 2, 9, 30]))) for i in range(90)]
+    asked = stored[::4] + [(900, [77])]
+    kind = pa.list_(pa.int32())
+
+    def table(sets):
+        return pa.table({"q": [i for i, _ in sets], "key": [i for i, _ in sets], "set": pa.array([s for _, s in sets], kind)})
+
+    block = tag_blocks.Block(table(asked), True)
+    best, seen = tag_blocks.Best(block, k, rounds), 0
+    for batch in table(stored).to_batches(max_chunksize=37):
+        for first, *rest in block.slices(batch):
+            best.see(seen + first, *rest)
+        seen += len(batch)
+    got = sorted((q, -s, r) for q, r, s in zip(*(x.tolist() for x in best.found()), strict=True))
+    assert got == [(q, -s, r) for q, _, r, s in _by_hand(asked, stored, k, True)]
+
+
+@pytest.mark.parametrize("schema,ids", [
+    ("id int, tags array<string>", [None, None, 1]),
+    ("id date, tags array<string>", ["2020-01-03", "2020-01-02", "2020-01-01"]),
+    ("id struct<a: int, b: string>, tags array<string>", ["2,x", "1,y", "1,x"]),
+])
+def test_ids_of_any_type(spark, schema, ids):
+    text = spark.createDataFrame([(i, [t, "u"]) for i, t in zip(ids, "abc", strict=True)], "id string, tags array<string>")
+    kind = schema.split(",")[0].removeprefix("id ")
+    if "struct" in schema:
+        df = text.selectExpr("from_csv(id, 'a int, b string') AS id", "tags")
+    else:
+        df = text.selectExpr(f"cast(id AS {kind}) AS id", "tags")
+    got = similar_sets_many(df, df, "id", "tags", 5, True).selectExpr("cast(query_id AS string)", "rank", "cast(id AS string)", "score")
+    shown = [r[0] for r in df.selectExpr("cast(id AS string)").collect()]
+    expected = []
+    for q in shown:
+        others = sorted((r for r in shown if r != q), key=lambda r: (r is not None, r))
+        expected += [(q, i + 1, r, 1 / 3) for i, r in enumerate(others)]
+    assert rows(got) == sorted(expected, key=lambda r: [(v is not None, v if v is not None else 0) for v in r])
+
+
+def test_tags_of_two_types(spark):
+    asked = spark.createDataFrame([(1, [1, 2])], "id int, tags array<int>")
+    stored = spark.createDataFrame([(1, [1, 2, 3]), (2, [2 + (1 << 32)]), (3, [2])], "id bigint, tags array<bigint>")
+    assert rows(similar_sets_many(asked, stored, "id", "tags", 5, True)) == [(1, 1, 3, 0.5)]
+    zeros = spark.createDataFrame([(1, [0.0, 1.0])], "id int, tags array<double>")
+    minus = spark.createDataFrame([(2, [-0.0, float("nan")])], "id int, tags array<double>")
+    assert rows(similar_sets_many(zeros, minus, "id", "tags")) == [(1, 1, 2, 1 / 3)]
