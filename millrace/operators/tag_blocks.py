@@ -62,7 +62,7 @@ class Block:
         self.column = np.full(len(held), -1, np.int64)
         self.column[common] = np.arange(len(common))
         dense = self.column[tag] >= 0
-        self.matrix = np.zeros((len(self.size), len(common)), np.float32)
+        self.matrix = np.zeros((len(self.size), len(common)), np.uint8)
         self.matrix[row[dense], self.column[tag[dense]]] = 1
         tag, row = tag[~dense], row[~dense]
         list_ = row // STRIPE * len(held) + tag
@@ -74,7 +74,7 @@ class Block:
         """Where the posting list of each stripe and tag begins."""
         stripes = -(-len(self.size) // STRIPE)
         counts = np.bincount(self.lists, minlength=stripes * len(self.vocabulary))
-        return np.r_[0, np.cumsum(counts)]
+        return np.r_[0, np.cumsum(counts)].astype(np.int32 if len(self.lists) < 1 << 31 else np.int64)
 
     def slices(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
         """Slices of a batch: first record, sizes, record and number of every tag that a query has, numbers of the keys."""
@@ -140,19 +140,21 @@ class Best:
         if not len(at):
             return
         count = rows.stop - rows.start
-        shared = (self.block.matrix[rows] @ matrix.T).astype(np.float64)
+        shared = (self.block.matrix[rows].astype(np.float32) @ matrix.T).astype(np.float64)
         list_ = rows.start // STRIPE * len(self.block.vocabulary) + tag
         begin = self.starts[list_]
         many = self.starts[list_ + 1] - begin
-        begin, many, record = begin[many > 0], many[many > 0], record[many > 0]
+        hit = np.flatnonzero(many)
+        begin, many, record = begin[hit], many[hit], record[hit]
         ends = np.cumsum(many)
         first = 0
         while first < len(ends):
             before = ends[first] - many[first]
             last = max(first + 1, int(np.searchsorted(ends, before + HITS, side="right")))
             some = many[first:last]
-            entry = np.arange(ends[last - 1] - before) + np.repeat(begin[first:last] - (ends[first:last] - some - before), some)
-            pair = self.block.rows[entry] * np.int64(len(at)) + np.repeat(record[first:last], some)
+            shift = begin[first:last] - (ends[first:last] - some - before)
+            entry = np.arange(ends[last - 1] - before, dtype=begin.dtype) + np.repeat(shift.astype(begin.dtype), some)
+            pair = self.block.rows[entry] * np.int32(len(at)) + np.repeat(record[first:last].astype(np.int32), some)
             shared += np.bincount(pair, minlength=count * len(at)).reshape(count, len(at))
             first = last
         if key is not None:
