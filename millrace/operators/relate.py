@@ -7,12 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.naming import col, cols, require
-from millrace.operators.tag_blocks import Best, Block
+from millrace.operators.tag_blocks import Best, Block, numbered, plain
 from millrace.session import materialize, with_row_tag
 
 
@@ -47,12 +48,15 @@ def similar_sets(
     return best.where(col(score) > 0)
 
 
-ROUNDS = (60,)
+ROUNDS = tuple(range(5, 101, 5))
 """Similarities, in percent, at which ``similar_sets_many`` leaves out records whose sizes lie too far apart."""
 
-BLOCK_ROWS, BLOCK_TAGS, BLOCK_BEST = 8192, 1 << 20, 1 << 22
+BLOCK_ROWS, BLOCK_TAGS, BLOCK_BEST = 8192, 1 << 22, 1 << 22
 """Most queries, tags and kept records of a block of queries; one query always fits."""
 
+LOOKUP = 1 << 20
+"""Most tags that are looked up at once when sets are numbered."""
+
 
 def similar_sets_many(
     queries: DataFrame,
@@ -82,11 +86,14 @@ def similar_sets_many(
     for side in (queries, records):
         require(side, [id_column, set_column])
     asked, stored = (_plain_sets(df, id_column, set_column) for df in (queries, records))
-    asked, stored = materialize(with_row_tag(asked, "q")), materialize(stored)
+    # only then filtered, or the sets would be made twice
+    asked = materialize(with_row_tag(asked, "q")).where(F.size("set") > 0)
     tags, key = (_common_type(asked, stored, c) for c in ("set", "id"))
     left = asked.select("q", F.col("id").cast(key).alias("key"), F.col("set").cast(tags).alias("set"))
-    # in this order an earlier record wins among equal scores
     right = stored.select("id", F.col("id").cast(key).alias("key"), F.col("set").cast(tags).alias("set"))
+    numbers = _Numbers(left)
+    left, right = (materialize(numbers.of(side)).where(F.size("set") > 0) for side in (left, right))
+    # in this order an earlier record wins among equal scores
     right = right.sortWithinPartitions("id")
     rows, held = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("set")), F.lit(0))).first()
     blocks = max(1, -(-rows // max(1, min(BLOCK_ROWS, BLOCK_BEST // k))), -(-held // BLOCK_TAGS))
@@ -101,7 +108,30 @@ def similar_sets_many(
 
 def _plain_sets(df: DataFrame, id_column: str, set_column: str) -> DataFrame:
     tags = F.array_compact(F.array_distinct(col(set_column)))
-    return df.select(col(id_column).alias("id"), tags.alias("set")).where(F.size("set") > 0)
+    return df.select(col(id_column).alias("id"), tags.alias("set"))
+
+
+class _Numbers:
+    """Numbers for the tags of ``queries``, under which all blocks compare them; -1 for all other tags."""
+
+    def __init__(self, queries: DataFrame):
+        self.context = queries.sparkSession.sparkContext
+        tags = queries.select(F.explode("set").alias("tag")).distinct().toArrow().column("tag")
+        known = pc.unique(plain(tags))
+        self.shared = self.context.broadcast([known.slice(i, LOOKUP) for i in range(0, len(known), LOOKUP)])
+
+    def of(self, df: DataFrame) -> DataFrame:
+        """``df`` with numbers in place of the tags; sets keep their sizes."""
+        shared = self.shared
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index("set")
+                sets = numbered(batch.column(at), shared.value)
+                yield pa.RecordBatch.from_arrays([sets if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+        fields = [T.StructField("set", T.ArrayType(T.IntegerType())) if f.name == "set" else f for f in df.schema]
+        return df.mapInArrow(work, T.StructType(fields))
 
 
 def _common_type(left: DataFrame, right: DataFrame, column: str) -> T.DataType:

@@ -3,6 +3,7 @@ import random
 import pyarrow as pa
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from millrace.operators import relate, tag_blocks
 from millrace.operators.relate import similar_sets_many
@@ -92,6 +93,67 @@ def test_slices_and_stripes(monkeypatch, limits, k, rounds):
     assert got == [(q, -s, r) for q, _, r, s in _by_hand(asked, stored, k, True)]
 
 
+def _best_by_kernel(asked, stored, k, rounds=(60, 20)):
+    def table(sets):
+        kind = pa.list_(pa.int32())
+        return pa.table({"q": [i for i, _ in sets], "key": [i for i, _ in sets], "set": pa.array([s for _, s in sets], kind)})
+
+    block = tag_blocks.Block(table(asked), True)
+    best, seen = tag_blocks.Best(block, k, rounds), 0
+    for batch in table(stored).to_batches(max_chunksize=70):
+        for first, *rest in block.slices(batch):
+            best.see(seen + first, *rest)
+        seen += len(batch)
+    return block, sorted((q, -s, r) for q, r, s in zip(*(x.tolist() for x in best.found()), strict=True))
+
+
+@pytest.mark.parametrize("batch", [1, 64 * 5, 1 << 19])
+def test_kinds_of_sets_meet_in_their_own_stripes(monkeypatch, batch):
+    for name, value in {"KINDS": 3, "KIND_ROWS": 10, "STRIPE": 20, "BATCH": batch}.items():
+        monkeypatch.setattr(tag_blocks, name, value)
+    random.seed(batch)
+    words = [range(100 * kind, 100 * kind + 40) for kind in range(3)]
+    stored = [(i, random.sample(words[i % 3], random.choice([5, 12, 30])) + random.sample(range(900, 940), i % 2)) for i in range(180)]
+    asked = stored[::2]
+    block, got = _best_by_kernel(asked, stored, 4)
+    assert got == [(q, -s, r) for q, _, r, s in _by_hand(asked, stored, 4, True)]
+    for stripe in block.stripes:
+        assert len({int(q) % 3 for q in block.q[stripe.first : stripe.first + len(stripe.size)]}) == 1
+
+
+@pytest.mark.parametrize("share", [1, 2, 10])
+def test_counts_beyond_a_byte(monkeypatch, share):
+    monkeypatch.setattr(tag_blocks, "COLUMN_SHARE", share)
+    random.seed(share)
+    stored = [(i, random.sample(range(900), random.choice([1, 250, 300, 800]))) for i in range(40)] + [(40 + i, [*range(600)]) for i in range(5)]
+    _, got = _best_by_kernel(stored, stored, 3)
+    assert got == [(q, -s, r) for q, _, r, s in _by_hand(stored, stored, 3, True)]
+
+
+def test_sets_are_made_once_and_compared_as_numbers(spark, monkeypatch):
+    text = spark.createDataFrame([(i, f"a b t{i % 5} u{i}") for i in range(40)], "id int, text string")
+    path = relate.materialize(text)
+    tagged = path.select("id", F.regexp_extract_all("text", F.lit("[a-z0-9]+"), F.lit(0)).alias("tags"))
+    made, types, materialize, best_of_block = [], [], relate.materialize, relate._best_of_block
+
+    def counted(df):
+        made.append(df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all("))
+        return materialize(df)
+
+    def typed(asked, stored, *rest):
+        types.extend(df.schema["set"].dataType.elementType.simpleString() for df in (asked, stored))
+        return best_of_block(asked, stored, *rest)
+
+    monkeypatch.setattr(relate, "materialize", counted)
+    monkeypatch.setattr(relate, "_best_of_block", typed)
+    monkeypatch.setattr(relate, "LOOKUP", 7)
+    got = similar_sets_many(tagged.where("id % 4 = 0"), tagged, "id", "tags", 3, True)
+    table = [(r.id, r.text.split()) for r in text.collect()]
+    assert rows(got) == _by_hand(table[::4], table, 3, True)
+    assert sorted(made)[-2:] == [1, 1] and sum(made) == 2
+    assert set(types) == {"int"}
+
+
 @pytest.mark.parametrize("schema,ids", [
     ("id int, tags array<string>", [None, None, 1]),
     ("id date, tags array<string>", ["2020-01-03", "2020-01-02", "2020-01-01"]),
