@@ -54,6 +54,9 @@ ROUNDS = tuple(range(5, 101, 5))
 BLOCK_ROWS, BLOCK_TAGS, BLOCK_BEST = 8192, 1 << 22, 1 << 22
 """Most queries, tags and kept records of a block of queries; one query always fits."""
 
+TASK_ROWS = 1 << 15
+"""About how many records meet a block in a task, fewer where tasks would be too few: each task returns its own best."""
+
 LOOKUP = 1 << 20
 """Most tags that are looked up at once when sets are numbered."""
 
@@ -92,9 +95,11 @@ def similar_sets_many(
     left = asked.select("q", F.col("id").cast(key).alias("key"), F.col("set").cast(tags).alias("set"))
     right = stored.select("id", F.col("id").cast(key).alias("key"), F.col("set").cast(tags).alias("set"))
     numbers = _Numbers(left)
-    left, right = (materialize(numbers.of(side)).where(F.size("set") > 0) for side in (left, right))
+    left, right = (materialize(numbers.of(side)) for side in (left, right))
+    tasks = max(3 * queries.sparkSession.sparkContext.defaultParallelism, -(-right.count() // TASK_ROWS))
+    left, right = (side.where(F.size("set") > 0) for side in (left, right))
     # in this order an earlier record wins among equal scores
-    right = right.sortWithinPartitions("id")
+    right = right.coalesce(tasks).sortWithinPartitions("id")
     rows, held = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("set")), F.lit(0))).first()
     blocks = max(1, -(-rows // max(1, min(BLOCK_ROWS, BLOCK_BEST // k))), -(-held // BLOCK_TAGS))
     at = F.pmod(F.xxhash64("q"), F.lit(blocks))
@@ -115,10 +120,10 @@ class _Numbers:
     """Numbers for the tags of ``queries``, under which all blocks compare them; -1 for all other tags."""
 
     def __init__(self, queries: DataFrame):
-        self.context = queries.sparkSession.sparkContext
         tags = queries.select(F.explode("set").alias("tag")).distinct().toArrow().column("tag")
         known = pc.unique(plain(tags))
-        self.shared = self.context.broadcast([known.slice(i, LOOKUP) for i in range(0, len(known), LOOKUP)])
+        parts = [known.slice(i, LOOKUP) for i in range(0, len(known), LOOKUP)]
+        self.shared = queries.sparkSession.sparkContext.broadcast(parts)
 
     def of(self, df: DataFrame) -> DataFrame:
         """``df`` with numbers in place of the tags; sets keep their sizes."""

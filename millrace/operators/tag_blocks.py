@@ -16,11 +16,11 @@ import pyarrow.compute as pc
 
 STRIPE = 2048
 """Queries of a stripe."""
-SLICE_ROWS, SLICE_TAGS = 8192, 1 << 21
+SLICE_ROWS, SLICE_TAGS = 1 << 14, 1 << 22
 """Most records and tags of a slice; one record always fits."""
 BATCH = 1 << 19
 """Pairs of a stripe and records alike that meet at once."""
-COLUMNS, COLUMN_SHARE = 8192, 150
+COLUMNS, COLUMN_SHARE = 8192, 80
 """Most tags of a stripe that are rows of bits; one in how many of its queries a tag must be in to become one."""
 RARE, NOWHERE = -1, -2
 KINDS, KIND_ROWS, KIND_TAGS = 6, 256, 512
