@@ -77,8 +77,9 @@ def similar_sets_many(
     NULL and repeated tags do not count, NULL and empty sets match nothing. Ids should be
     unique: rows of one id are ranked apart. ``exclude_same_id`` keeps a record from answering itself.
 
-    Queries are cut into blocks of bounded size. One block after the other is sent to all
-    tasks, and each compares its share of the records with the whole block and
+    The driver sees all distinct tags of the queries and numbers them; sets are written down
+    as numbers. Queries are cut into blocks of bounded size. One block after the other is sent to
+    all tasks, and each compares its share of the records with the whole block and
     returns at most ``k`` of them per query. Records are never shuffled, pairs never written.
     The comparisons grow with queries times records. A pair of similarity t has sizes
     within t of each other: once all queries of a stripe have ``k`` records at one of ``rounds``,
